@@ -34,7 +34,7 @@ class Encoder:
     keep: pieces remembered from one call to the next; beyond that, the memory is emptied.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -113,6 +113,9 @@ class Encoder:
         return ids, before[np.searchsorted(start, ends)]
 
 
+#: Bytes of text encoded at once: a worker holds about forty times that in arrays.
+UNIT_BYTES = 4 << 20
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm._text import bounded_batches, texts, units
-from pagewarden.llm._tokens import default_path, encoder
+from pagewarden.llm._tokens import UNIT_BYTES, default_path, encoder
 from pagewarden.llm.token_files import with_last
 
 END_ID = 0
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             sequence += k
             return out(rows, sequence - k + window, before - before[first])
 
-        for unit in units(batches):
+        for unit in units(batches, limit=UNIT_BYTES):
             ids, ends = with_last(*encoder(vocabulary).encode(texts(unit)), end_id)
             doc_id, total = np.asarray(unit.column("doc_id")), np.diff(ends)
             rest = total % capacity

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm._shared import new_path
 from pagewarden.llm._text import bounded_batches, texts, units
-from pagewarden.llm._tokens import default_path, encoder
+from pagewarden.llm._tokens import UNIT_BYTES, default_path, encoder
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for unit in units(batches):
+        for unit in units(batches, limit=UNIT_BYTES):
             ids, ends = with_last(*encoder(vocabulary).encode(texts(unit)), end_id)
             for lo in range(0, unit.num_rows, 500):
                 hi = min(lo + 500, unit.num_rows)
