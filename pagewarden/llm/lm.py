@@ -33,7 +33,8 @@ from pagewarden.llm._shared import written
 from pagewarden.llm._text import LOWER, ODD, VISIBLE, bounded_batches, flat, mixed, texts, units, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_200_000
+BLOCK_BYTES = 5 << 20
 DEFAULT = (0.5, 0.4, 0.1)  # bigram, unigram, uniform
 BUCKETS = 40
 STEPS = 4  # bins to an octave
@@ -82,7 +83,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for unit in units(batches):
+        for unit in units(batches, limit=BLOCK_BYTES):
             held = np.asarray(unit.column("held").to_numpy(zero_copy_only=False), dtype=bool)
             for side in (False, True):
                 own = unit.filter(pa.array(held == side))
