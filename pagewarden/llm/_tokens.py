@@ -31,7 +31,7 @@ def default_path() -> str:
 class Encoder:
     """encode(strings) -> (ids, ends): all ids in a row, and where each row's begin.
 
-    keep: pieces remembered from one call to the next; beyond that, the memory is emptied.
+    keep: pieces remembered from one call to the next; beyond that, only the pieces of the current call stay.
     """
 
     def __init__(self, path: str, keep: int = 400_000) -> None:
@@ -54,6 +54,15 @@ class Encoder:
         self.n = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
+    def forget_but(self, pieces: list[str]) -> None:
+        """Keep what is known of these pieces only."""
+        kept = [p for p in pieces if p in self.known]
+        code = np.array([self.known[p] for p in kept], dtype=np.int64)
+        at, n, pool = self.at[code], self.n[code], self.pool
+        self.known = dict(zip(kept, range(len(kept))))
+        self.at, self.n = np.cumsum(n) - n, n
+        self.pool = pool[np.repeat(at - self.at, n) + np.arange(int(n.sum()))]
+
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -101,9 +110,9 @@ class Encoder:
         start = np.flatnonzero(begins[:-1])
         bounds = np.append(start, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        if len(self.known) > self.keep:
-            self.forget()
         distinct = pieces.dictionary.to_pylist()
+        if len(self.known) > self.keep:
+            self.forget_but(distinct)
         if missing := [p for p in distinct if p not in self.known]:
             self.learn(missing)
         code = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[pieces.indices.to_numpy()]
@@ -119,8 +128,9 @@ UNIT_BYTES = 4 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = 400_000) -> Encoder:
     """One per worker and vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].keep = keep
     return _ENCODERS[path]

@@ -73,13 +73,17 @@ def differenced(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def packed(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """(window of each size, windows): the fewest tried windows of which none is over capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """(window of each size, windows): the least count tried of which no window is over capacity."""
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         window = differenced(sizes, k)
-        if np.bincount(window, weights=sizes, minlength=k).max() <= capacity:
+        over = int(np.bincount(window, weights=sizes, minlength=k).max()) - capacity
+        if over <= 0:
             return window, k
-        k += max(1, k // 250)
+        # The fullest window is this much above the mean; with as much room below capacity, k windows may do.
+        spread = over + capacity - total / k
+        k = max(k + 1, -(-total // max(1, int(capacity - spread))))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, piece: int = 256, group: int = 2048) -> DataFrame:
@@ -112,8 +116,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             sequence += k
             return out(rows, sequence - k + window, before - before[first])
 
-        for unit in units(batches, limit=UNIT_BYTES):
-            ids, ends = with_last(*encoder(vocabulary).encode(texts(unit)), end_id)
+        for unit in units(batches, limit=2 * UNIT_BYTES):
+            ids, ends = with_last(*encoder(vocabulary, 700_000).encode(texts(unit)), end_id)
             doc_id, total = np.asarray(unit.column("doc_id")), np.diff(ends)
             rest = total % capacity
             n = total // capacity + -(-rest // piece)
