@@ -17,6 +17,7 @@ no rows, or no hits. Other columns are ignored (find_benchmark) or passed throug
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -179,19 +180,19 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // block_bytes
     parts = ([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()] for b in range(n))
-    return [spark.sparkContext.broadcast((p, window)) for p in parts]
+    return [spark.sparkContext.broadcast((p, window, uuid.uuid4().hex)) for p in parts]
 
 
-_QUERIES: dict[int, Queries] = {}
+_QUERIES: dict[str, Queries] = {}
 
 
 def _queries(broadcast) -> Queries:
     """Built once per worker; only the last block stays."""
-    items, window = broadcast.value
-    if id(broadcast.value) not in _QUERIES:
+    items, window, name = broadcast.value
+    if name not in _QUERIES:
         _QUERIES.clear()
-        _QUERIES[id(broadcast.value)] = Queries(items, window)
-    return _QUERIES[id(broadcast.value)]
+        _QUERIES[name] = Queries(items, window)
+    return _QUERIES[name]
 
 
 _STATE = "hit binary, items array<string>, longest long, longest_word long, longest_item string, longest_item_word long"
