@@ -347,7 +347,7 @@ def freshness_score() -> Column:
     A date property counts at any depth, with any value but null, false, 0 and ''.
     """
     blocks = F.col("json_ld")
-    stated = lambda k: F.exists(blocks, lambda t: t.rlike(rf'"{k}"\s*:\s*(?!null|false|""|0\s*[,}}\]])'))
+    stated = lambda k: F.exists(blocks, lambda t: t.rlike(rf'"{k}"\s*:\s*+(?!null|false|""|0\s*[,}}\]])'))
     times = having("time", also=lambda n: n["attrs"]["datetime"].isNotNull())
 
     def published(n: Column) -> Column:
