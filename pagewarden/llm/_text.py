@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -100,20 +100,6 @@ def words(data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
     return start, np.flatnonzero(end) + 1, np.searchsorted(start, ends)
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
-_INVERSES = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        n = 1 << (n - 1).bit_length()
-        inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, ODD)]), dtype=np.uint64)
-        _INVERSES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]), dtype=np.uint64)
-    return _POWERS[:n], _INVERSES[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x.astype(np.uint64, copy=True)
@@ -133,10 +119,16 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hashes of byte spans: equal bytes, equal hash, wherever the span stands."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_WEIGHTS[data] * power[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start
+    before = np.cumsum(size) - size
+    total = int(before[-1] + size[-1])
+    within = np.arange(total, dtype=np.int32) - np.repeat(before.astype(np.int32), size)
+    at = np.repeat(start.astype(np.int32), size)
+    at += within
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()) - 1, ODD)]), dtype=np.uint64)
+    values = power[within]
+    values *= _WEIGHTS[data[at]]
+    return mixed(np.add.reduceat(values, before) + size.astype(np.uint64))
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

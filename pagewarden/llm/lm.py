@@ -34,7 +34,7 @@ from pagewarden.llm._text import LOWER, ODD, VISIBLE, bounded_batches, flat, mix
 
 FOLDS, HELD_OUT = 7, 2
 PART_TOKENS = 1_200_000
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
 DEFAULT = (0.5, 0.4, 0.1)  # bigram, unigram, uniform
 BUCKETS = 40
 STEPS = 4  # bins to an octave
