@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions.nodes import first, having, meta, nodes, text_content, visible_text
 from pagewarden.functions.text import SPACE, collapsed, rounded, trimmed, units, words
+from pagewarden.sources.structured_data import structured_data
 
 
 @dataclass(frozen=True)
@@ -248,6 +249,7 @@ def with_facts(pages: DataFrame) -> DataFrame:
         tags("twitter", ("card", "title", "description", "image"), "name", "property").alias("twitter"),
         canonical_href().alias("canonical"),
         json_ld_texts().alias("json_ld"),
+        structured_data(json_ld_blocks()).alias("ld"),
         F.lower(url_path()).alias("path"),
     )
     pages = pages.select("*", F.array_min(F.transform("candidates", lambda x: x["rank"])).alias("main_rank"), F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"\.(html?|php)$", "")).alias("segments"))
@@ -335,10 +337,13 @@ def language_score() -> Column:
     return _less(3, cost)
 
 
+def json_ld_blocks() -> Column:
+    return F.transform(having("script", also=lambda n: F.lower(n["attrs"]["type"]) == "application/ld+json"), text_content)
+
+
 def json_ld_texts() -> Column:
     """The JSON-LD blocks that parse, as text."""
-    scripts = having("script", also=lambda n: F.lower(n["attrs"]["type"]) == "application/ld+json")
-    return F.filter(F.transform(scripts, text_content), lambda t: F.try_parse_json(t).isNotNull())
+    return F.filter(json_ld_blocks(), lambda t: F.try_parse_json(t).isNotNull())
 
 
 def freshness_score() -> Column:

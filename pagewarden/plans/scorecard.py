@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions.text import rounded
-from pagewarden.operators.checks import PAGE_CHECKS, Check, with_facts
+from pagewarden.operators.checks import Check, with_facts
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS
 from pagewarden.sources.html import parsed
 
 #: Least percentage and name of each grade.
@@ -41,13 +42,23 @@ def grade(percentage: Column) -> Column:
     return out
 
 
-def page_results(pages: DataFrame, checks: Sequence[Check] = PAGE_CHECKS) -> DataFrame:
+def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS) -> DataFrame:
     """site_id, page_id, check_id, category, weight, score: one row per page and check."""
     nodes = with_facts(with_nodes(pages))
     entries = F.array(*(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), F.coalesce(F.least(F.greatest(F.floor(c.score()), F.lit(0)), F.lit(c.weight)), F.lit(0)).cast("int").alias("score")) for c in checks))
     return nodes.select("site_id", "page_id", entries.alias("entries")).select("site_id", "page_id", F.inline("entries"))
 
 
+def excluding(results: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Results without the pages in `excluded` (site_id, page_id): only their indexability counts, in full.
+
+    A page that is kept out of search on purpose is no defect.
+    """
+    out = results.join(excluded.select("site_id", "page_id", F.lit(True).alias("out")), ["site_id", "page_id"], "left")
+    own = F.col("check_id") == "crawlability.indexability"
+    return out.filter(F.col("out").isNull() | own).withColumn("score", F.when(F.col("out"), F.col("weight")).otherwise(F.col("score"))).drop("out")
+
+
 def check_summary(results: DataFrame) -> DataFrame:
     """Per site and check: the mean over pages to one decimal, its status, and what was lost."""
     means = results.groupBy("site_id", "check_id", "category", "weight").agg(F.sum("score").alias("total"), F.count("*").alias("pages"), F.count_if(F.col("score") < F.col("weight")).alias("failing_pages"))

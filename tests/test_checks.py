@@ -1,7 +1,7 @@
 import pytest
 
 from pagewarden.operators.access import MAJOR_BOTS, bot_access, bot_crawlability, excluded_pages, sitemap_score
-from pagewarden.operators.checks import PAGE_CHECKS
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS as PAGE_CHECKS
 from pagewarden.plans.scorecard import category_summary, check_summary, page_results, site_summary
 
 CHECKS = {c.id: c for c in PAGE_CHECKS}
@@ -11,6 +11,10 @@ def page(head="", body="", lang="en"):
     return f'<html lang="{lang}"><head>{head}</head><body>{body}</body></html>'
 
 
+def ld(*blocks):
+    return "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+
+
 CASES = [
     ("meta.title", page(), 0),
     ("meta.title", page("<title>A guide to pinning in place of all versions - Brand</title>"), 5),
@@ -34,6 +38,27 @@ CASES = [
     ("content.quality", page(body="<article>few words</article>"), 1),
     ("meta.open-graph", page('<meta property="og:title" content="t"><meta name="og:description" content="d"><meta property="og:image" content=" ">'), 1),
     ("meta.twitter-cards", page('<meta property="og:title" content="t">'), 2),
+    ("structured-data.present", page(body="x"), 0),
+    ("structured-data.present", page(body='<div itemscope itemtype="https://schema.org/Thing"></div>'), 4),
+    ("structured-data.present", page(ld('{"@type": "Organization", "name": "O"}', '{"@type": "WebSite", "url": "u"}')), 12),
+    ("structured-data.present", page(ld('{"@graph": [{"@type": "Article"}]}')), 6),
+    ("structured-data.present", page(ld('{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q", "acceptedAnswer": {"@type": "Answer", "text": "a"}}]}')), 12),
+    ("structured-data.present", page(ld('{"@type": {{ kind }}, {% if a %}')), 8),
+    ("structured-data.valid", page(ld('{"@type": "Person", "name": "P"}', "{,")), 4),
+    ("structured-data.valid", page(ld('{"@type": "Article", "headline": "h", "author": {"@id": "#a"}, "datePublished": "{{ d }}"}', '{"@id": "#a", "@type": "Person", "name": "P"}')), 5),
+    ("structured-data.valid", page(ld('{"@type": "VideoObject"}')), 3),
+    ("crawlability.indexability", page('<meta name="robots" content="NONE"><title>t</title>', "word " * 300), 0),
+    ("crawlability.indexability", page("<title>t</title>", "word " * 300), 7),
+    ("crawlability.indexability", page('<title>Not found</title>', "few words"), 0),
+    ("crawlability.indexability", page('<link rel="canonical" href="https://other.example/">', "word " * 300), 0),
+    ("crawlability.indexability", page('<link rel="canonical" href="/x/y/"><meta name="googlebot" content="nofollow">', "word " * 300), 6),
+    ("agent-readiness.server-rendered", page(body='<div id="root"></div><script src="a.js"></script>'), 0),
+    ("agent-readiness.server-rendered", page("<title>t</title>", '<h1>Few</h1><script>run()</script>'), 3),
+    ("agent-readiness.server-rendered", page(body='<div id="app"></div>' + "word " * 90), 1),
+    ("agent-readiness.server-rendered", page(body="few words"), 6),
+    ("agent-readiness.controls", page(body="<button></button><a>x</a><div onclick=x>y</div><input name=firstName>"), 0),
+    ("agent-readiness.controls", page(body='<span id=l>Send</span><button aria-labelledby="k l"></button><a href="/a">x</a><div onclick=x tabindex=0>y</div><input name=first-name autocomplete=given-name>'), 4),
+    ("agent-readiness.controls", page(body='<div hidden><button></button></div><input name="statement"><a id="top"></a>'), 4),
 ]
 
 
