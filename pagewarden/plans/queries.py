@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pagewarden.operators.access import MAJOR_BOTS, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
 from pagewarden.operators.checks import PAGE_CHECKS, url_path, with_facts
-from pagewarden.plans.scorecard import category_summary, check_summary, compared, page_results, problems, site_of, site_summary, with_nodes
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS, READINESS_CHECKS
+from pagewarden.plans.scorecard import category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
@@ -31,6 +32,14 @@ BODIES = (
     '<form><label for="q">Find</label><input id="q"><input type="hidden" name="h"><textarea></textarea></form><h2>More</h2>',
 )
 
+#: Structured data, canonical links and controls, for the checks that read them.
+READY = (
+    '<script type="application/ld+json">[{"@type": "Organization", "name": "O"}, {"@type": "WebSite", "url": "u"}]</script><button></button>',
+    '<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q", "acceptedAnswer": {"@type": "Answer", "text": "a"}}]}</script><link rel="canonical" href="https://other.example/a"><div onclick="x()">y</div>',
+    '<script type="application/ld+json">{,</script><link rel="canonical" href="/elsewhere/than/here"><input name="userEmail">',
+    '<script type="application/ld+json">{"@type": "Person", "name": "P"}</script><div hidden><button></button></div>',
+)
+
 
 def _by_page(parts: tuple[str, ...]) -> Column:
     out = F.lit(parts[-1])
@@ -45,6 +54,10 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.replace(html, F.lit("</article>"), F.concat(_by_page(BODIES), F.lit("</article>"))))
 
 
+def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmented(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</article>"), F.concat(_by_page(READY), F.lit("</article>"))))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -126,8 +139,9 @@ def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one(check_id: str) -> Callable[[SparkSession, str], DataFrame]:
-    check = next(c for c in PAGE_CHECKS if c.id == check_id)
-    return lambda spark, sf_dir: page_results(augmented(spark, sf_dir), (check,))
+    check = next(c for c in ALL_PAGE_CHECKS if c.id == check_id)
+    rows = ready if check in READINESS_CHECKS else augmented
+    return lambda spark, sf_dir: page_results(rows(spark, sf_dir), (check,))
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +203,11 @@ def noindex_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excluded_pages(pages, listed)
 
 
+def full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site scores over all page checks, without pages that are kept out of search on purpose."""
+    return site_summary(check_summary(excluding(page_results(augmented(spark, sf_dir)), noindex_pages(spark, sf_dir))))
+
+
 _RULES = "/*\n  X-Frame: one\n/en/*\n  X-Frame: two\n  Cache-Control: no-store\n"
 
 
@@ -218,8 +237,8 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample)}
-_KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in PAGE_CHECKS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard)}
+_KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
 _WITH = f"WITH {SQL_PAGES}"
@@ -240,4 +259,10 @@ SQL: dict[str, str] = {
     "path_keys": "SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html?$', '/'), '(?i)\\.html?$', ''), '/+$', '')), ''), '/') AS key FROM pages",
     "page_headers": "WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages) SELECT page_id, 'x-frame' AS name, CASE WHEN path LIKE '/en/%' THEN 'one, two' ELSE 'one' END AS value FROM p UNION ALL SELECT page_id, 'cache-control', 'no-store' FROM p WHERE path LIKE '/en/%'",
 }
-SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items() if i != "content.quality"}
+SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items() if i in {c.id for c in IN_SQL}}
+#: Scores of the fragments in READY, by page_id % 4.
+_READY_SCORES = {"structured-data.present": (12, 12, 0, 7), "structured-data.valid": (5, 5, 2, 4), "crawlability.indexability": (7, 0, 6, 0), "agent-readiness.server-rendered": (6, 6, 6, 6), "agent-readiness.controls": (3, 3, 3, 4)}
+SQL |= {
+    _KEYS[c.id]: f"SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, page_id, '{c.id}' AS check_id, '{c.category}' AS category, {c.weight} AS weight, (CASE page_id % 4 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_READY_SCORES[c.id]))} END)::INT AS score FROM pages"
+    for c in READINESS_CHECKS
+}
