@@ -117,7 +117,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             return out(rows, sequence - k + window, before - before[first])
 
         for unit in units(batches, limit=UNIT_BYTES):
-            ids, ends = with_last(*encoder(vocabulary, 500_000).encode(texts(unit)), end_id)
+            ids, ends = with_last(*encoder(vocabulary, 1_000_000).encode(texts(unit)), end_id)
             doc_id, total = np.asarray(unit.column("doc_id")), np.diff(ends)
             rest = total % capacity
             n = total // capacity + -(-rest // piece)
