@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm._shared import new_path
 from pagewarden.llm._text import bounded_batches, texts, units
-from pagewarden.llm._tokens import UNIT_BYTES, default_path, encoder
+from pagewarden.llm._tokens import default_path, encoder
 
 END_ID = 2
+#: Bytes of text encoded at once, beside the rows of the sort and the writer's pages.
+UNIT_BYTES = 4 << 20
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
@@ -47,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for unit in units(batches, limit=UNIT_BYTES):
-            ids, ends = with_last(*encoder(vocabulary).encode(texts(unit)), end_id)
+            ids, ends = with_last(*encoder(vocabulary, 1_000_000).encode(texts(unit)), end_id)
             for lo in range(0, unit.num_rows, 500):
                 hi = min(lo + 500, unit.num_rows)
                 lists = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(ids[ends[lo] : ends[hi]].astype(np.int32)))
