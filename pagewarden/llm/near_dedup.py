@@ -84,8 +84,8 @@ def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42)
     return h
 
 
-def fingerprints_of(strings: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints, unsigned."""
+def shingles_of(strings: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, n): XXH64 of the shingles of all rows, and how many each row has."""
     data, ends = flat(strings)
     start, end, first = words(data, ends, VISIBLE)
     size = end - start
@@ -98,7 +98,12 @@ def fingerprints_of(strings: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     n = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
     left = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
     right = left + np.repeat(np.minimum(n_words, shingle), n) - 1
-    h = xxh64(clean, before[left], before[right] + size[right])
+    return xxh64(clean, before[left], before[right] + size[right]), n
+
+
+def fingerprints_of(strings: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprints, unsigned."""
+    h, n = shingles_of(strings, shingle)
     out = np.zeros(len(n), dtype=np.uint64)
     some = np.flatnonzero(n)
     if len(some):

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewarden.llm import decontamination, exact_dedup, licenses, lm, near_dedup, packing, quality, quotations, secrets, token_files
+from pagewarden.llm import decontamination, exact_dedup, licenses, lm, near_dedup, packing, quality, quotations, secrets, similar, token_files
 from pagewarden.llm._shared import new_path
 from pagewarden.llm._tokens import default_path, encoder
 
@@ -213,6 +213,68 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 41)} | {100: 90}
 
 
+def brute_components(texts):
+    """Per id the smallest id of its component; links are Jaccard >= 0.8 of five-word shingles, or no words in both."""
+    words = {i: VISIBLE.findall((t or "").translate(AZ)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    root = {i: i for i in texts}
+    near = {i: [j for j in sets if sets[i] == sets[j] or sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in sets}
+    for _ in texts:
+        new = {i: min(root[j] for j in near[i]) for i in sets}
+        if new == root:
+            return root
+        root = new
+
+
+def planted(seed=4, groups=12):
+    """Texts of 60 to 200 words, each with copies that differ in 1 to 4 places, and a long chain of copies of copies."""
+    r = np.random.default_rng(seed)
+    texts = {}
+    for g in range(groups):
+        own = [f"w{x}" for x in r.integers(0, 5000, r.integers(60, 200))]
+        texts[10 * g] = " ".join(own)
+        for k in range(1, 5):
+            copy = own.copy()
+            for at in r.integers(0, len(own), k):
+                copy[at] = f"new{k}"
+            texts[10 * g + k] = " ".join(copy)
+    chain = [f"c{x}" for x in range(100)]
+    for k in range(30):
+        texts[1000 + k] = " ".join(chain)
+        chain[3 * k] = f"d{k}"
+    return texts
+
+
+def test_similar_documents(spark, docs, nothing):
+    texts = planted() | {5000 + i: t for i, t in enumerate(TEXTS)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_components(texts)
+    assert sum(i != c for i, c in want.items()) > 50
+    assert {i: r["component_id"] for i, r in rows(similar.similar_documents(df)).items()} == want
+    assert similar.similar_documents(nothing).count() == 0
+
+
+def test_links_across_components():
+    r = np.random.default_rng(6)
+    sets = [np.sort(r.choice(12, r.integers(8, 12), replace=False)).astype(np.uint64) for _ in range(60)]
+    near = [(i, j) for i in range(60) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    root = np.arange(60) // 3
+    found = similar.across(root, sets, 0.8)
+    first = [(i, 3 * k) for k in range(20) for i in range(3 * k + 1, 3 * k + 3)]
+    a, b = ([np.array(x) for x in zip(*pairs)] for pairs in (first + near, first + found))
+    assert set(found) <= {(i, j) for x in near for i, j in (x, x[::-1])} and len(found) < 20
+    assert (near_dedup._forest(60, *a) == near_dedup._forest(60, *b)).all()
+
+
+def test_pipeline_near_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    texts = planted()
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near(spark, df, None)
+    assert kept.schema == df.schema and {r["doc_id"]: r["text"] for r in kept.collect()} == {i: texts[i] for i, c in brute_components(texts).items() if i == c}
+
+
 def test_packing(docs, nothing):
     got = packing.pack(docs, capacity=64, piece=16, group=50).collect()
     by_doc, by_sequence = {}, {}
