@@ -2,8 +2,8 @@
 
 A token's probability is a mixture of maximum-likelihood estimates: bigram, unigram, and uniform over
 the known tokens and an unknown one. The weights depend on how often the context was seen (a bucket
-per power of two) and are learned by expectation-maximisation on the tokens of held-out documents,
-whose counts are left out of the estimates.
+per power of two) and are learned by expectation-maximisation on the training tokens, each with its own
+occurrence taken out of all counts (leave-one-out). Held-out documents count and teach nothing.
 
 Tokens are counted by blocks, bounded pieces of the input that never mix held-out and other documents.
 A block's tokens are written once, as numbers into its own sorted vocabulary. For counting, each block
@@ -11,12 +11,12 @@ sends its distinct tokens and bigrams, sorted and packed, to parts of the hash r
 the counts and answers each block in the order it asked in. So one entry per block and distinct n-gram
 is shuffled, and not one row per token, whatever is frequent; every count covers all training rows.
 The number of parts grows with the tokens. Expectation-maximisation works on a histogram of the
-held-out tokens (bucket, and both ratios to the uniform estimate in quarter octaves) of bounded size.
+training tokens (bucket, and both ratios to the uniform estimate in quarter octaves) of bounded size.
 
 Unigram hashes have 64 bits; bigram hashes 52, so that a few of 10^8 bigrams share a count.
 
 A null or empty text is only its end token. Repeated rows count and are scored each. An empty table
-gives no rows. Without held-out tokens the weights are DEFAULT. Extra columns are ignored.
+gives no rows. Without training tokens the weights are DEFAULT. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,14 +228,15 @@ def train_weights(of: DataFrame, counts: DataFrame, total: int, distinct: int) -
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         bins = []
         for row in left.to_pylist():
-            bucket, two, one = _estimates(*_answers(b := Block(row), right), total, distinct)
+            cw, ch, chw = (c - 1 for c in _answers(Block(row), right))  # each token's own occurrence taken out
+            bucket, two, one = _estimates(cw, ch, np.minimum(chw, ch), total - 1, distinct)
             scaled = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * STEPS).astype(np.int64) + 1000, 0) for x in (two, one)]
             key, n = np.unique((bucket * 4096 + scaled[0]) * 4096 + scaled[1], return_counts=True)
             bins.append(pa.table({"bucket": key >> 24, "two": key >> 12 & 4095, "one": key & 4095, "n": n}))
         return pa.concat_tables(bins) if bins else pa.schema([(c, pa.int64()) for c in ("bucket", "two", "one", "n")]).empty_table()
 
-    held = of.filter("held").groupBy("block").cogroup(counts.filter("held").groupBy("block"))
-    rows = held.applyInArrow(tally, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    training = of.filter("not held").groupBy("block").cogroup(counts.filter("not held").groupBy("block"))
+    rows = training.applyInArrow(tally, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     got = np.array([tuple(r) for r in rows.collect()], dtype=np.int64).reshape(-1, 4)
     return weights(got[np.lexsort(got.T[::-1])])
 

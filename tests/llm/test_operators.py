@@ -113,6 +113,16 @@ def test_lm(docs, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def test_lm_weights_do_not_see_held_out_texts(spark):
+    def scored(held_text):
+        texts = [held_text if zlib.crc32(str(i).encode()) % 7 == 2 else f"{BASE} word{i % 3} {BASE}" for i in range(40)]
+        got = rows(lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+        return {i: r["score"] for i, r in got.items() if not r["held_out"]}
+
+    one, other = scored("never seen before " * 50), scored(BASE)
+    assert len(one) > 20 and one == pytest.approx(other, rel=1e-12)
+
+
 def test_mixture_is_a_distribution():
     w = lm.weights(np.array([[3, 1020, 1004, 50], [3, 0, 1004, 10], [5, 0, 0, 7]]))
     assert np.allclose(w.sum(axis=1), 1) and w[3, 0] > w[5, 0] and (w[5] @ [0, 0, 1]) > 0.9
