@@ -6,6 +6,7 @@ row if that alone is larger), so a worker's memory follows the unit and not the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,24 +112,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Each byte value weighs a random 64-bit number in the hash of a word.
-_WEIGHTS = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+#: Bytes of a word kept by its last lane.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Longer spans are hashed and compared one by one.
+LONG = 4096
+
+
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """Per place, the eight bytes that begin there, as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes, equal hash, wherever the span stands."""
+    """64-bit hashes of byte spans: equal bytes, equal hash, wherever the span stands.
+
+    Eight bytes at a time, mixed by a bijection: spans of one size up to 8 never share a hash. Longer ones
+    may, by chance; who must not take two words for one compares bytes (`same_spans`).
+    """
+    size = end - start
+    h = mixed(size.astype(np.uint64) * ODD + np.uint64(1))
     if not len(start):
-        return np.zeros(0, dtype=np.uint64)
+        return h
+    lanes = lanes_of(data)
+    h = mixed(h ^ (lanes[start] & _MASKS[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    more = more[np.argsort(-size[more], kind="stable")]
+    at, left = start[more] + 8, size[more] - 8
+    while len(more):
+        h[more] = mixed(h[more] ^ (lanes[at] & _MASKS[np.minimum(left, 8)]))
+        n = int(np.searchsorted(-left, -8, "left"))  # those of more than eight bytes still
+        more, at, left = more[:n], at[:n] + 8, left[:n] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, others: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Per pair of spans, one of `data` and one of `others`, whether their bytes are equal."""
     size = end - start
-    before = np.cumsum(size) - size
-    total = int(before[-1] + size[-1])
-    within = np.arange(total, dtype=np.int32) - np.repeat(before.astype(np.int32), size)
-    at = np.repeat(start.astype(np.int32), size)
-    at += within
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()) - 1, ODD)]), dtype=np.uint64)
-    values = power[within]
-    values *= _WEIGHTS[data[at]]
-    return mixed(np.add.reduceat(values, before) + size.astype(np.uint64))
+    same = size == stop - begin
+    a, b = lanes_of(data), lanes_of(others)
+    more = np.flatnonzero(same & (size > 0) & (size <= LONG))
+    more = more[np.argsort(-size[more], kind="stable")]
+    at, to, left = start[more], begin[more], size[more].copy()
+    while len(more):
+        same[more] &= ((a[at] ^ b[to]) & _MASKS[np.minimum(left, 8)]) == 0
+        n = int(np.searchsorted(-left, -8, "left"))
+        more, at, to, left = more[:n], at[:n] + 8, to[:n] + 8, left[:n] - 8
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        same[i] = data[start[i] : end[i]].tobytes() == others[begin[i] : stop[i]].tobytes()
+    return same
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +176,3 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         total = total * ODD + hashes[j : j + n]
     return mixed(total)
 
-
-def rows_of(first: np.ndarray) -> np.ndarray:
-    """For counts-before as words() gives them: the row of each item."""
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
