@@ -66,7 +66,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 
 
 def offsets_of(strings: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
     if not len(strings):
         return np.zeros(1, dtype=np.int64)
     return np.frombuffer(strings.buffers()[1], dtype=kind)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)

@@ -6,17 +6,22 @@ per power of two) and are learned by expectation-maximisation on the training to
 occurrence taken out of all counts (leave-one-out). Held-out documents count and teach nothing.
 
 Tokens are counted by blocks, bounded pieces of the input that never mix held-out and other documents.
-A block's tokens are written once, as numbers into its own sorted vocabulary. For counting, each block
-sends its distinct tokens and bigrams, sorted and packed, to parts of the hash range; a part adds up
-the counts and answers each block in the order it asked in. So one entry per block and distinct n-gram
-is shuffled, and not one row per token, whatever is frequent; every count covers all training rows.
-The number of parts grows with the tokens. Expectation-maximisation works on a histogram of the
-training tokens (bucket, and both ratios to the uniform estimate in quarter octaves) of bounded size.
-
-Unigram hashes have 64 bits; bigram hashes 52, so that a few of 10^8 bigrams share a count.
-
-A null or empty text is only its end token. Repeated rows count and are scored each. An empty table
-gives no rows. Without training tokens the weights are DEFAULT. Extra columns are ignored.
+A block's tokens are written once, as numbers into its own vocabulary, whose words are kept whole: words
+are told apart by their bytes everywhere. For counting, each block sends its distinct words and bigrams,
+packed, to parts of the hash range; a part adds up the counts (64 bits) and answers each block in the
+order it asked in. So one entry per block and distinct n-gram is shuffled, and not one row per token,
+whatever is frequent; every count covers all training rows. The number of parts grows with the tokens.
+A row holds all that one block asks of one part; where parts are so many that few entries are left to a
+row, rows approach one per distinct n-gram of a block, which is linear in the text but no longer packed.
+Expectation-maximisation works on a histogram of the training tokens (bucket, and both ratios to the
+uniform estimate in quarter octaves) of bounded size.
+
+Bigrams are known by hashes of 52 bits, so that a few of 10^8 share a count; unigram counts are exact.
+
+A null or empty text is only its end token. A null doc_id stays null and is not held out, so its text
+teaches. Repeated rows count and are scored each. A very long text is a block of its own: its worker
+holds about forty times its bytes. An empty table gives no rows. Without training tokens the weights are
+DEFAULT. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,18 +43,25 @@ BLOCK_BYTES = 6 << 20
 DEFAULT = (0.5, 0.4, 0.1)  # bigram, unigram, uniform
 BUCKETS = 40
 STEPS = 4  # bins to an octave
-END = np.uint64(1)
 _BIGRAM_BITS = np.uint64(12)
 
-BLOCK_SCHEMA = "block long, held boolean, doc_ids array<long>, sizes array<int>, vocabulary binary, tokens binary"
-ASKED_SCHEMA = "part int, block long, held boolean, n1 int, n2 int, hashes binary, counts binary"
+BLOCK_SCHEMA = "block long, held boolean, doc_ids array<long>, sizes array<int>, vocabulary_size long, vocabulary binary, tokens binary"
+ASKED_SCHEMA = "part int, block long, held boolean, n1 int, n2 int, words binary, size long, hashes binary, counts binary"
 COUNTED_SCHEMA = "block long, held boolean, part int, n1 int, n2 int, counts binary, total long, distinct long"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _CODEC = pa.Codec("zstd", 1)
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+
+
+def _packed(data: bytes) -> bytes:
+    return _CODEC.compress(data, asbytes=True) if data else b""
+
+
+def _unpacked(data: bytes, n: int) -> bytes:
+    return _CODEC.decompress(data, n, asbytes=True) if n else b""
 
 
 def _squeezed(values: np.ndarray, kind: str) -> bytes:
@@ -66,16 +78,28 @@ def _expanded(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
-def token_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sizes): the tokens of all rows, each row's end included."""
+def tokens_of(strings: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(tokens, sizes): the tokens of all rows, each with a line end after it (a row's end is only that), and how many each row has."""
     data, ends = flat(strings)
     data = LOWER[data]
     start, end, first = words(data, ends, VISIBLE)
-    hashes = word_hashes(data, start, end)
     sizes = np.diff(first) + 1
-    out = np.full(int(sizes.sum()), END, dtype=np.uint64)
-    out[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = hashes
-    return out, sizes
+    length = np.ones(int(sizes.sum()), dtype=np.int64)
+    word = np.arange(len(start)) + np.repeat(np.arange(len(sizes)), sizes - 1)
+    length[word] += end - start
+    begin = np.concatenate([[0], np.cumsum(length)])
+    out = np.full(int(begin[-1]), 10, dtype=np.uint8)
+    size = end - start
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin[:-1][word], size) + within] = data[np.repeat(start, size) + within]
+    return _lines(out, begin).dictionary_encode(), sizes
+
+
+def _lines(data: np.ndarray, begin: np.ndarray | None = None) -> pa.Array:
+    """Bytes as an array of lines, each with its end."""
+    if begin is None:
+        begin = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    return pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(np.ascontiguousarray(begin, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -89,9 +113,15 @@ def blocks(docs: DataFrame) -> DataFrame:
                 own = unit.filter(pa.array(held == side))
                 if not own.num_rows:
                     continue
-                hashes, sizes = token_hashes(texts(own))
-                vocabulary, number = np.unique(hashes, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([side]), pa.array([np.asarray(own.column("doc_id"))]), pa.array([sizes.astype(np.int32)]), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([_squeezed(number, "<u4")], pa.binary())], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+                tokens, sizes = tokens_of(texts(own))
+                data, begin = flat(tokens.dictionary)
+                order = np.argsort(word_hashes(data, begin[:-1], begin[1:] - 1), kind="stable")
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                kept, _ = flat(tokens.dictionary.take(pa.array(order)))
+                ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column("doc_id"))
+                packed = [pa.array([len(kept)]), pa.array([_packed(kept.tobytes())], pa.binary()), pa.array([_squeezed(rank[tokens.indices.to_numpy()], "<u4")], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([side]), ids, pa.array([sizes.astype(np.int32)]), *packed], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
@@ -103,16 +133,18 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.block, self.held = row["block"], row["held"]
-        self.doc_ids, self.sizes = np.array(row["doc_ids"], dtype=np.int64), np.array(row["sizes"], dtype=np.int64)
-        self.vocabulary = np.frombuffer(row["vocabulary"], dtype=np.uint64)
+        self.doc_ids, self.sizes = row["doc_ids"], np.array(row["sizes"], dtype=np.int64)
+        #: The block's distinct words, by their hashes, as lines.
+        self.data = np.frombuffer(_unpacked(row["vocabulary"], row["vocabulary_size"]), dtype=np.uint8)
+        self.begin = np.concatenate([[0], np.flatnonzero(self.data == 10) + 1])
+        self.hashes = word_hashes(self.data, self.begin[:-1], self.begin[1:] - 1)
         self.number = _expanded(row["tokens"], int(self.sizes.sum()), "<u4").astype(np.int64)
-        hashes = self.vocabulary[self.number]
         first = np.cumsum(self.sizes) - self.sizes
         self.context = np.concatenate([[0], self.number[:-1]])
         #: A document begins after an end, so its first token's context is the end token.
-        self.context[first] = int(np.searchsorted(self.vocabulary, END))
+        self.context[first] = int(np.flatnonzero(np.diff(self.begin) == 1)[0])
         self.first = first
-        grams = mixed(self.vocabulary[self.context] * ODD + hashes) >> _BIGRAM_BITS
+        grams = mixed(self.hashes[self.context] * ODD + self.hashes[self.number]) >> _BIGRAM_BITS
         self.grams, self.gram = np.unique(grams, return_inverse=True)
 
 
@@ -130,45 +162,44 @@ def counted(of: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                c1, c2 = _counts(b.number, len(b.vocabulary), b.held), _counts(b.gram, len(b.grams), b.held)
+                c1, c2 = _counts(b.number, len(b.hashes), b.held), _counts(b.gram, len(b.grams), b.held)
                 edges = np.array([i * (1 << 52) // parts for i in range(parts + 1)], dtype=np.uint64)
-                at1 = np.searchsorted(b.vocabulary >> _BIGRAM_BITS, edges)
+                at1 = np.searchsorted(b.hashes >> _BIGRAM_BITS, edges)
                 at2 = np.searchsorted(b.grams, edges)
                 out = []
                 for p in range(parts):
-                    h1, h2 = b.vocabulary[at1[p] : at1[p + 1]], b.grams[at2[p] : at2[p + 1]]
-                    steps = np.concatenate([np.diff(h1, prepend=np.uint64(0)), np.diff(h2, prepend=np.uint64(0))])
+                    h2 = b.grams[at2[p] : at2[p + 1]]
+                    said = b.data[b.begin[at1[p]] : b.begin[at1[p + 1]]]
                     counts = np.concatenate([c1[at1[p] : at1[p + 1]], c2[at2[p] : at2[p + 1]]])
-                    if len(steps):
-                        out.append((p, b.block, b.held, len(h1), len(h2), _squeezed(steps, "<u8"), b"" if b.held else _squeezed(counts, "<u4")))
+                    if len(counts):
+                        out.append((p, b.block, b.held, int(at1[p + 1] - at1[p]), len(h2), _packed(said.tobytes()), len(said), _squeezed(np.diff(h2, prepend=np.uint64(0)), "<u8"), b"" if b.held else _squeezed(counts, "<u4")))
                 for lo in range(0, len(out), 64):
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out[lo : lo + 64]], schema=asked)
 
     names = [x.split()[0] for x in ASKED_SCHEMA.split(", ")]
-    asked = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("held", pa.bool_()), ("n1", pa.int32()), ("n2", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    asked = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("held", pa.bool_()), ("n1", pa.int32()), ("n2", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     answered = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("part", pa.int32()), ("n1", pa.int32()), ("n2", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        hashes, counts = [], []
+        said, hashes, counts = [], [], []
         for r in rows:
-            n = r["n1"] + r["n2"]
-            steps = _expanded(r["hashes"], n, "<u8")
-            hashes.append((np.cumsum(steps[: r["n1"]]), np.cumsum(steps[r["n1"] :])))
-            c = _expanded(r["counts"], n, "<u4") if r["counts"] else np.zeros(n, dtype=np.uint32)
+            said.append(_unpacked(r["words"], r["size"]))
+            hashes.append(np.cumsum(_expanded(r["hashes"], r["n2"], "<u8"), dtype=np.uint64))
+            c = _expanded(r["counts"], r["n1"] + r["n2"], "<u4") if r["counts"] else np.zeros(r["n1"] + r["n2"], dtype=np.uint32)
             counts.append((c[: r["n1"]], c[r["n1"] :]))
-            r["hashes"] = r["counts"] = None
-        answers = [[], []]
-        stats = (0, 0)
-        for side in (0, 1):
-            all_ = np.concatenate([h[side] for h in hashes])
-            distinct, where = np.unique(all_, return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([c[side] for c in counts]), minlength=len(distinct)).astype(np.int64)
+            r["words"] = r["hashes"] = r["counts"] = None
+        answers, stats = [], (0, 0)
+        found = _lines(np.frombuffer(b"".join(said), dtype=np.uint8)).dictionary_encode()
+        kinds = ((len(found.dictionary), found.indices.to_numpy()), np.unique(np.concatenate(hashes), return_inverse=True))
+        for side, (distinct, where) in enumerate(kinds):
+            n = distinct if side == 0 else len(distinct)
+            #: Sums in doubles: whole numbers up to 2^53 are exact there.
+            total = np.bincount(where, weights=np.concatenate([c[side] for c in counts]), minlength=n).astype(np.int64)
             if side == 0:
                 stats = (int(total.sum()), int((total > 0).sum()))
-            ends = np.cumsum([len(h[side]) for h in hashes])
-            answers[side] = np.split(total[where].astype(np.uint32), ends[:-1])
-        out = [{"block": r["block"], "held": r["held"], "part": r["part"], "n1": r["n1"], "n2": r["n2"], "counts": _squeezed(np.concatenate([a, b]), "<u4"), "total": 0, "distinct": 0} for r, a, b in zip(rows, *answers)]
+            answers.append(np.split(total[where], np.cumsum([len(c[side]) for c in counts])[:-1]))
+        out = [{"block": r["block"], "held": r["held"], "part": r["part"], "n1": r["n1"], "n2": r["n2"], "counts": _squeezed(np.concatenate([a, b]), "<u8"), "total": 0, "distinct": 0} for r, a, b in zip(rows, *answers)]
         out.append({"block": None, "held": None, "part": rows[0]["part"], "n1": 0, "n2": 0, "counts": b"", "total": stats[0], "distinct": stats[1]})
         return pa.Table.from_pylist(out, schema=answered)
 
@@ -179,7 +210,7 @@ def _answers(b: Block, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Training counts of each token, of its context, and of both together."""
     c1, c2 = [], []
     for r in sorted(table.select(["part", "n1", "n2", "counts"]).to_pylist(), key=lambda r: r["part"]):
-        c = _expanded(r["counts"], r["n1"] + r["n2"], "<u4").astype(np.int64)
+        c = _expanded(r["counts"], r["n1"] + r["n2"], "<u8").astype(np.int64)
         c1.append(c[: r["n1"]])
         c2.append(c[r["n1"] :])
     single, double = np.concatenate(c1), np.concatenate(c2)
@@ -261,7 +292,7 @@ def scores(docs: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
             p = (w[:, 0] * two + w[:, 1] * one + w[:, 2]) / (distinct + 1)
             base = np.log10((cw + 1) / (total + distinct + 1))
             sums = [np.add.reduceat(x, b.first) for x in (base, np.log10(p), (cw > 0).astype(np.int64))]
-            out.append(pa.table({"doc_id": b.doc_ids, "held_out": np.full(len(b.doc_ids), b.held), "n_tokens": b.sizes, "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
+            out.append(pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "held_out": np.full(len(b.doc_ids), b.held), "n_tokens": b.sizes, "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
         return pa.concat_tables(out) if out else scored.empty_table()
 
     scored = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

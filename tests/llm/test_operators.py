@@ -22,6 +22,11 @@ TEXTS = [None, "", " \n\t ", BASE, BASE.upper(), BASE, BASE + " seventeen", "x "
 ITEMS = [(1, "zero " + BASE), (2, "short item here"), (3, None), (4, ""), (20, BASE)]
 
 
+def morse(n):
+    """Two words that differ everywhere and that sums of powers cannot tell apart."""
+    return ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en", "s", 0, 7) for i, t in enumerate(TEXTS)]
@@ -113,6 +118,41 @@ def test_lm(docs, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def brute_scores(texts, held):
+    """The model's log10 probability of each text, from plain counts."""
+    tokens = [VISIBLE.findall((t or "").translate(AZ)) + [""] for t in texts]
+    pairs = [list(zip(["", *own[:-1]], own)) for own in tokens]
+    one = Counter(w for own, h in zip(tokens, held) if not h for w in own)
+    two = Counter(p for own, h in zip(pairs, held) if not h for p in own)
+    total, size = sum(one.values()), len(one) + 1
+
+    def bucket(n):
+        return min(int(np.floor(np.log2(n + 1))), lm.BUCKETS - 1)
+
+    def bin_of(x):
+        return int(np.round(np.log2(x) * lm.STEPS)) + 1000 if x > 0 else 0
+
+    seen = Counter()
+    for own, h in zip(pairs, held):
+        for c, w in [] if h else own:
+            n = one[c] - 1
+            seen[bucket(n), bin_of(min(two[c, w] - 1, n) / max(n, 1) * size), bin_of((one[w] - 1) / max(total - 1, 1) * size)] += 1
+    mixture = lm.weights(np.array([[*k, n] for k, n in sorted(seen.items())]).reshape(-1, 4))
+    return [sum(log10(mixture[bucket(one[c])] @ [two[c, w] / max(one[c], 1), one[w] / max(total, 1), 1 / size]) for c, w in own) for own in pairs]
+
+
+def test_lm_scores_match_plain_counts(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in r.zipf(1.4, r.integers(0, 80))) for _ in range(60)] + [None, "", *morse(1024), *morse(1024)]
+    ids = [*range(len(texts) - 3), None, 3, 3]
+    got = lm.scores(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)).collect()
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    key = lambda i, n, s: (i is None, i or 0, n, round(s, 6))
+    n = [len(VISIBLE.findall(t or "")) + 1 for t in texts]
+    assert sorted(key(r["doc_id"], r["n_tokens"], r["score"]) for r in got) == sorted(key(*x) for x in zip(ids, n, brute_scores(texts, held)))
+    assert {r["doc_id"]: r["held_out"] for r in got}[None] is False
+
+
 def test_lm_weights_do_not_see_held_out_texts(spark):
     def scored(held_text):
         texts = [held_text if zlib.crc32(str(i).encode()) % 7 == 2 else f"{BASE} word{i % 3} {BASE}" for i in range(40)]
