@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a folder of our own."""
+    """The folder in spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a temporary folder if all runs on this machine (tests); on a cluster, an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and current.isDefined():
+        return current.get()
     if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pagewarden-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -29,10 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and every executor sees it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    dropped_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a table when the application ends; results may be read until then."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -8,7 +8,10 @@ windows. k begins at the least count that could hold the group and rises while a
 capacity. Nothing is shuffled, and memory follows the group, not the table.
 
 A null or empty text has only its end id. Repeated rows are packed each on its own. An empty table
-gives no rows. Columns besides doc_id and text are ignored. Sequence ids are unique and not dense.
+gives no rows. A null doc_id stays null. A very long text is a unit of its own: its worker holds about
+thirty times its bytes. Columns besides doc_id and text are ignored, whatever their names. Sequence ids
+are unique and not dense; they follow the order of rows within partitions, so an input that is itself
+shuffled should be written first, for a lost task to number its rows as before.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,11 +102,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
-        waiting: list[np.ndarray] = []  # rows of doc_id, start, length, crc, doc_tokens
+        waiting: list[np.ndarray] = []  # rows of doc_id, start, length, crc, doc_tokens, and whether there is an id
         count = 0
 
         def out(rows: np.ndarray, ids: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows.T, ids, offset)], NAMES)
+            doc_id, *rest, there = rows.T
+            return pa.RecordBatch.from_arrays([pa.array(doc_id, mask=there == 0), *(pa.array(c) for c in (*rest, ids, offset))], NAMES)
 
         def placed() -> pa.RecordBatch:
             nonlocal sequence, waiting, count
@@ -118,7 +123,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
         for unit in units(batches, limit=UNIT_BYTES):
             ids, ends = with_last(*encoder(vocabulary).encode(texts(unit)), end_id)
-            doc_id, total = np.asarray(unit.column("doc_id")), np.diff(ends)
+            ids_of, total = unit.column("doc_id"), np.diff(ends)
+            doc_id, there = np.asarray(pc.fill_null(ids_of, 0)), np.asarray(pc.is_valid(ids_of)).astype(np.int64)
             rest = total % capacity
             n = total // capacity + -(-rest // piece)
             doc = np.repeat(np.arange(len(total)), n)
@@ -129,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             view = ids.astype("<u4", copy=False).data
             begin = ends[doc] + start
             crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist())), dtype=np.int64, count=len(doc))
-            rows = np.stack([doc_id[doc], start, length, crc, total[doc]], axis=1)
+            rows = np.stack([doc_id[doc], start, length, crc, total[doc], there[doc]], axis=1)
             whole = length == capacity
             if m := int(whole.sum()):
                 yield out(rows[whole], sequence + np.arange(m), np.zeros(m, dtype=np.int64))

@@ -10,9 +10,11 @@ Fitting takes at most `max_train` labelled rows (those with the smallest hash of
 to the documents as a broadcast of that size; everything else is one pass over all documents.
 
 Features come from the text alone. A null or empty text has all-zero features and a score like any
-other. Labels that are null are left out; of several labels of one doc_id the largest counts. Without
-labels of both kinds the score is their share of 1 (0.5 without any). Repeated rows are scored each.
-An empty table gives no rows. Extra columns are ignored (scored) or passed through (filtered).
+other. Labels that are null are left out; of several labels of one doc_id the largest counts, and of
+several texts the one of the smallest features. Without labels of both kinds the score is their share of
+1 (0.5 without any). Repeated rows are scored each. A null doc_id stays null, is not held out and has no
+label. A very long text is a unit of its own: its worker holds about thirty times its bytes. An empty
+table gives no rows. Extra columns are ignored (scored) or passed through (filtered).
 """
 
 from __future__ import annotations
@@ -201,7 +203,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 120, rate: f
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Additive:
@@ -216,7 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Add
             yield pa.RecordBatch.from_arrays([unit.column("doc_id"), unit.column("quality"), *(pa.array(x[:, f]) for f in range(x.shape[1]))], ["doc_id", "quality", *FEATURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    got = rows.mapInArrow(run, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
+    rows = rows.mapInArrow(run, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("r")).select("doc_id", "r.*")  # at most max_train rows
+    got = one.toPandas().sort_values("doc_id")
     return fit(got[FEATURES].to_numpy(dtype=np.float64), got["quality"].to_numpy(dtype=np.float64))
 
 

@@ -6,7 +6,9 @@ column are separate column chunks, so a reader that wants only counts never touc
 page index (with sorted doc_ids) lets a lookup of a few documents skip the pages of all others.
 
 A null text counts as empty. Repeated rows stay, each with its own ids; rows of one doc_id are ordered
-by a hash of their text. An empty table gives no rows. Columns besides doc_id and text are ignored.
+by a hash of their text. A null doc_id stays null and stands before all others. A very long text is a
+unit of its own: its worker holds about thirty times its bytes, and its ids are one list. An empty table
+gives no rows. Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm._shared import new_path
+from pagewarden.llm._shared import dropped_at_exit, new_path
 from pagewarden.llm._text import bounded_batches, texts, units
 from pagewarden.llm._tokens import default_path, encoder
 
@@ -100,4 +102,5 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token_files")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    dropped_at_exit(spark, path)
     return token_digest(spark, path)
