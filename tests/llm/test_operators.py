@@ -12,8 +12,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewarden.llm import decontamination, exact_dedup, licenses, lm, near_dedup, packing, quality, quotations, secrets, similar, token_files
+from pagewarden.llm import _text, decontamination, exact_dedup, licenses, lm, near_dedup, packing, quality, quotations, secrets, similar, token_files
 from pagewarden.llm._shared import new_path
+from pagewarden.llm._text import VISIBLE as VISIBLE_BYTES
 from pagewarden.llm._tokens import default_path, encoder
 
 AZ = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -155,6 +156,49 @@ def test_lm(docs, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def test_longest_matches_of_every_suffix(spark):
+    r = np.random.default_rng(9)
+    texts = [" ".join("abcde"[i] for i in r.integers(0, 5, r.integers(0, 60))) for _ in range(12)] + [None, "a b " * 30, "a b " * 30]
+    items = [(1, texts[3]), (2, " ".join("abcdef"[i] for i in r.integers(0, 6, 40))), (3, ""), (4, "a b " * 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["item_id"], r["word"]): r for r in decontamination.longest_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    split = [(t or "").split() for t in texts]
+    for i, t in items:
+        own = t.split()
+        for w in range(len(own)):
+            match = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            best = max(match(own[w:], d[k:]) for d in split for k in range(len(d)))
+            row = got.get((str(i), w))
+            assert (row["length"] if row else 0) == best
+            assert not row or split[row["doc_id"]][row["doc_word"] : row["doc_word"] + best] == own[w : w + best]
+
+
+def test_words_are_told_apart_by_bytes(spark, monkeypatch):
+    one, other = morse(1024)
+    assert len(set(_text.word_hashes(*spans(" ".join([one, other]))).tolist())) == 2
+    monkeypatch.setattr(decontamination, "word_hashes", lambda data, start, end: end - start)  # all words of a length share a hash
+    q = decontamination.Queries([("1", "aa bbb cc")], 10)
+    assert decontamination.hits_of(pa.array(["aa bbb cc", "dd bbb cc", "x aa bbb cc y"]), q)["n_hit"].tolist() == [3, 0, 3]
+
+
+def spans(text):
+    data, ends = _text.flat(pa.array([text]))
+    return (data, *_text.words(data, ends, VISIBLE_BYTES)[:2])
+
+
+def test_spans_of_all_lengths_are_compared():
+    r = np.random.default_rng(1)
+    size = np.concatenate([np.arange(40), [4095, 4096, 4097, 9000]])
+    data = r.integers(97, 100, int(size.sum())).astype(np.uint8)
+    end = np.cumsum(size)
+    assert _text.same_spans(data, end - size, end, data.copy(), end - size, end).all()
+    other = data.copy()
+    other[end[size > 0] - 1] += 1
+    assert (_text.same_spans(data, end - size, end, other, end - size, end) == (size == 0)).all()
+    assert len(np.unique(_text.word_hashes(data, end - size, end))) == len(size)
+    assert (_text.word_hashes(data, end - size, end)[5:7] == _text.word_hashes(data[end[4] :], end[5:7] - size[5:7] - end[4], end[5:7] - end[4])).all()
+
+
 def brute_scores(texts, held):
     """The model's log10 probability of each text, from plain counts."""
     tokens = [VISIBLE.findall((t or "").translate(AZ)) + [""] for t in texts]
