@@ -114,6 +114,53 @@ def test_licenses(spark, nothing):
     assert got[0]["first_word"] is None and all(0 <= r["score"] <= 1 for r in got.values()) and licenses.find_licenses(nothing).count() == 0
 
 
+def brute_labels(text):
+    """Labels of templates of which 70 % of the words are covered by shared three-word runs near one diagonal, within 1.5 lengths."""
+    w = ALNUM.findall((text or "").translate(AZ))
+    fits = []
+    for label, template in licenses.TEMPLATES:
+        v = ALNUM.findall(template.translate(AZ))
+        met = sorted((i - j, i, j) for i in range(len(w) - 2) for j in range(len(v) - 2) if w[i : i + 3] == v[j : j + 3])
+        spans = []
+        for d, i, j in met:
+            if not spans or d - spans[-1][-1][0] > licenses.GAP:
+                spans.append([])
+            spans[-1].append((d, i, j))
+        for own in spans:
+            covered = {j + x for _, _, j in own for x in range(3)}
+            first, end = min(i for _, i, _ in own), max(i for _, i, _ in own) + 3
+            if len(covered) / len(v) >= licenses.COVER and end - first <= licenses.STRETCH * len(v):
+                fits.append((first, end, len(covered) / len(v), len(v), label))
+    return fits
+
+
+def test_licenses_match_brute_force(spark):
+    r = np.random.default_rng(12)
+    texts = []
+    for n in range(40):
+        label, template = licenses.TEMPLATES[n % len(licenses.TEMPLATES)]
+        own = ALNUM.findall(template)
+        for at in r.integers(0, len(own), len(own) // 25 + n % 2):
+            own[at] = "changed" if r.random() < 0.5 else own[at] + " added"
+        texts.append("some words before it " + " ".join(own) + " and some after.")
+    ids = [*range(len(texts) - 1), None]
+    df = spark.createDataFrame(list(zip(ids, texts)) + [(0, texts[0]), (0, texts[0]), (0, "other text")], "doc_id long, text string").repartition(3)
+    got = licenses.find_licenses(df).collect()
+    assert len(got) == len(texts) + 3 and sum(r["doc_id"] == 0 for r in got) == 4
+    by_id = {r["doc_id"]: r["labels"].split(",") for r in got if r["n_words"] > 2}
+    some = 0
+    for i, t in zip(ids, texts):
+        fits = brute_labels(t)
+        if len(fits) == 1:
+            assert fits[0][4] in by_id[i]
+            some += 1
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(ALNUM.findall(t.translate(AZ)))} "}
+        assert set(by_id[i]) - {""} <= base | {f[4] for f in fits} and bool(fits) <= bool(set(by_id[i]) - {""})
+    assert some > 15
+    wide = licenses.find_licenses(df, small=0).collect()
+    assert sorted(map(str, wide)) == sorted(map(str, got))
+
+
 def brute_hits(text, items, window=10):
     w = ALNUM.findall((text or "").translate(AZ))
     hit, found = set(), set()
