@@ -5,13 +5,18 @@ single spaces (fewer words: the whole sequence), XXH64 with seed 42 of each, and
 Links: the 64 bits are split into `blocks` blocks; fingerprints at most `distance` bits apart agree in
 `blocks - distance` of them, so each choice of that many blocks is a table, and rows meet where they
 agree on a table's blocks. Equal fingerprints are one node from the start. Within a bucket, pairs are
-found by array work and only a spanning forest of its links leaves it; a large bucket is not compared
-pair by pair: rows that differ in at most `distance` of the bits that vary there are equal once those
-bits are masked, so one sort per choice of bits links them all, in time linear in the bucket.
+found by array work and only a spanning forest of its links leaves it. A bucket of more than LARGE nodes
+is not held: its nodes are dealt once more by the same rule over the bits that its key leaves open, so
+the largest that any task can meet has two thirds to three quarters of all bits in common, whatever the
+input. There, a large bucket is not compared pair by pair: rows that differ in at most `distance` of the
+bits that vary there are equal once those bits are masked, so one sort per choice of bits links them
+all, in time linear in the bucket.
 Components then come from alternating star contraction over the links, written after each round.
 
 A null or empty text has no words: fingerprint 0, linked like any other. Repeated rows are equal
-fingerprints. An empty table gives no rows. Columns besides doc_id and text are ignored.
+fingerprints. A row of a null doc_id has the component of the rows of its fingerprint; where none of them
+has an id, it is null. A very long text is a unit of its own: its worker holds about eighty times its
+bytes. An empty table gives no rows. Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from pagewarden.llm._shared import written
 from pagewarden.llm._text import LOWER, VISIBLE, bounded_batches, flat, texts, units, words
 
 SHINGLE, DISTANCE, BLOCKS = 3, 3, 6
+#: Nodes to a bucket above which it is dealt again.
+LARGE = 4096
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # XXH64's primes
 
@@ -187,25 +194,59 @@ def links_of(group: np.ndarray, fp: np.ndarray, distance: int, direct: int = 256
     return np.concatenate(u or none), np.concatenate(v or none)
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def _masks(bits: list[int], distance: int, blocks: int) -> list[int]:
+    """Per choice of blocks - distance blocks of the bits, their mask."""
+    width = [len(bits) // blocks + (i < len(bits) % blocks) for i in range(blocks)]
+    parts = [bits[sum(width[:i]) : sum(width[: i + 1])] for i in range(blocks)]
+    return [sum(1 << b for i in chosen for b in parts[i]) for chosen in combinations(range(blocks), blocks - distance)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, large: int = LARGE) -> DataFrame:
     """(u, v) with u < v: links that connect all nodes (fp distinct, id) at most `distance` bits apart."""
-    width = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - distance):
-        mask = sum(((1 << width[i]) - 1) << sum(width[:i]) for i in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    masks = _masks(list(range(64)), distance, blocks)
+    table = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks))))
+    rows = nodes.filter("id is not null").select("fp", "id", table.alias("at")).select("at.t", "at.key", "fp", "id")
+    found = written(_linked(rows, distance, large), "bucket_links")
+    out = found.filter("u is not null").select("u", "v")
+    again = found.filter("u is null").select("t", "key")
+    if not again.isEmpty():
+        inner = [[m | x for x in _masks([b for b in range(64) if not m >> b & 1], distance, blocks)] for m in masks]
+        deeper = F.array(*(F.array(*(F.lit(_signed(x)) for x in own)) for own in inner))
+        rows = rows.join(again, ["t", "key"], "left_semi").select("fp", "id", "t", F.posexplode(F.get(deeper, F.col("t"))).alias("i", "mask"))
+        rows = rows.select((F.col("t") * len(inner[0]) + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "id")
+        out = out.union(_linked(rows, distance, None).select("u", "v"))
+    return out.distinct()
+
+
+def _linked(rows: DataFrame, distance: int, large: int | None) -> DataFrame:
+    """(u, v, t, key): links within the buckets (t, key) of rows (t, key, fp, id); u and v null: a bucket of more than `large` rows, left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
+        left_out: tuple[int, int] | None = None
         for batch in _with_end(batches):
             if batch is None:
                 ready, kept = kept, None
             else:
+                if left_out and batch.num_rows:
+                    table, key = np.asarray(batch.column("t")), np.asarray(batch.column("key"))
+                    other = (table != left_out[0]) | (key != left_out[1])
+                    batch = batch.slice(int(other.argmax()) if other.any() else batch.num_rows)
+                if not batch.num_rows:
+                    continue
                 whole = pa.concat_batches([kept, batch]) if kept is not None else batch
                 table, key = np.asarray(whole.column("t")), np.asarray(whole.column("key"))
-                n = whole.num_rows
-                cut = int(np.flatnonzero((table != table[-1]) | (key != key[-1]))[-1]) + 1 if ((table != table[-1]) | (key != key[-1])).any() else 0
-                ready, kept = whole.slice(0, cut), whole.slice(cut, n - cut)
+                other = np.flatnonzero((table != table[-1]) | (key != key[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                ready, kept = whole.slice(0, cut), whole.slice(cut)
+                left_out = None
+                if large is not None and kept.num_rows > large:
+                    left_out, kept = (int(table[-1]), int(key[-1])), None
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([left_out[0]], pa.int32()), pa.array([left_out[1]], pa.int64())], ["u", "v", "t", "key"])
             if ready is None or ready.num_rows < 2:
                 continue
             table, key = np.asarray(ready.column("t")), np.asarray(ready.column("key"))
@@ -217,11 +258,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> D
             names, node = np.unique(ids, return_inverse=True)
             label = _forest(len(names), node[u], node[v])
             child = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[label[child]]), pa.array(names[child])], ["u", "v"])
+            none = pa.nulls(len(child))
+            yield pa.RecordBatch.from_arrays([pa.array(names[label[child]]), pa.array(names[child]), none.cast(pa.int32()), none.cast(pa.int64())], ["u", "v", "t", "key"])
 
-    table = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    rows = nodes.select("fp", "id", table.alias("at")).select("at.t", "at.key", "fp", "id")
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "u long, v long, t int, key long")
 
 
 def _with_end(batches: Iterable) -> Iterator:

@@ -379,6 +379,18 @@ def test_large_buckets_keep_all_links(varying):
     assert (near_dedup._forest(len(fp), u, v) == near_dedup._forest(len(fp), a, b)).all()
 
 
+def test_buckets_dealt_again_keep_all_links(spark):
+    r = np.random.default_rng(7)
+    centre = r.integers(0, 1 << 62, 6)
+    flips = [sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for _ in range(400)]
+    fp = sorted({int(c) ^ f for c, f in zip(np.repeat(centre, 70), flips)})
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fp)], "fp long, id long").repartition(3)
+    a, b = np.nonzero(np.bitwise_count(np.array(fp, dtype=np.uint64)[:, None] ^ np.array(fp, dtype=np.uint64)[None, :]) <= 3)
+    for large in (8, 4096):
+        u, v = (np.array(x) for x in zip(*((r["u"], r["v"]) for r in near_dedup.links(nodes, large=large).collect())))
+        assert (near_dedup._forest(len(fp), u, v) == near_dedup._forest(len(fp), a, b)).all()
+
+
 def test_xxh64_of_all_lengths():
     data = np.frombuffer(bytes(range(256)) * 2, dtype=np.uint8)
     start, end = np.zeros(200, dtype=np.int64) + 3, np.arange(200) + 3
@@ -471,6 +483,65 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+CLASH = "doc_id long, text string, id long, u long, v long, key long, name string, row string, `__kept_text` string"
+
+
+def odd_rows():
+    """Null ids, repeated rows, one id with two texts, a long text, and columns of names that plans use."""
+    texts = [(None, "One text."), (None, "one text."), (1, "ONE text."), (1, "ONE text."), (1, "another text of this id"), (2, None), (2, None), (None, None), (3, ""), (None, "only here, without an id"), (None, "only here, without an id"), (4, "w " * 40000), (5, "no breaks" * 20000), (6, "ONE TEXT."), (6, "one text.")]
+    return [(i, t, 1, 2, 3, 4, "n", "r", "k") for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), CLASH).repartition(3)
+
+
+def test_every_operator_returns_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "without an id"), (None, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (4, 0), (5, 0), (6, 1)], "doc_id long, quality int")
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(odd, path)
+    ids = sorted(str(r[0]) for r in odd_rows())
+    model = quality.train(odd, labels)
+    for out in (
+        secrets.find_secrets(odd), licenses.find_licenses(odd), decontamination.find_benchmark(odd, bench), lm.scores(odd), exact_dedup.exact_duplicates(odd),
+        quality.scored(odd, model), token_files.token_digest(spark, path), near_dedup.near_duplicates(odd), similar.similar_documents(odd), packing.pack(odd).filter("start = 0"),
+    ):
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == ids
+    for out in (quality.filtered(odd, model, 0.0), decontamination.decontaminated(odd, bench.filter("false"))):
+        assert out.schema == odd.schema and out.count() == len(ids)
+    got = {(r["doc_id"], r["text_sha256"]): r for r in exact_dedup.exact_duplicates(odd).collect()}
+    one = hashlib.sha256(b"one text.").hexdigest()
+    assert (got[6, one]["keep_id"], got[6, one]["group_size"], got[6, one]["kept"], got[None, one]["kept"], got[1, one]["kept"]) == (6, 6, True, False, False)
+    only = hashlib.sha256(b"only here, without an id").hexdigest()
+    assert got[None, only]["keep_id"] is None and got[None, only]["kept"] and got[None, only]["group_size"] == 2
+
+
+def test_stages_keep_one_row_of_each_text(spark, odd):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.exact(spark, odd, None)
+    normal = lambda t: (t or "").translate(AZ)
+    assert kept.columns == odd.columns
+    rows_ = [(r["doc_id"], normal(r["text"])) for r in kept.collect()]
+    assert sorted(t for _, t in rows_) == sorted({normal(t) for _, t, *_ in odd_rows()})
+    best = {}
+    for i, t, *_ in odd_rows():
+        best[normal(t)] = max(best.get(normal(t), -1), -1 if i is None else i)
+    assert {t: -1 if i is None else i for i, t in rows_} == best
+    near = corpus_pipeline.near(spark, kept, None)
+    assert near.columns == odd.columns and {r["doc_id"] for r in near.collect()} >= {None, 4, 5}
+
+
+def test_operators_of_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    nothing = odd.filter("false")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, nothing, None).count() == 0
+
+
 def test_differencing_balances_and_respects_capacity():
     sizes = np.random.default_rng(2).integers(1, 257, 700)
     window, k = packing.packed(sizes, 1024)
