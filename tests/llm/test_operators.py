@@ -483,6 +483,96 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def brute_conversation(messages):
+    """Per turn (reply_to, thread, position) of one conversation of (turn, text), by reading it."""
+    clean = lambda x: re.sub(r"[ \t]+", " ", x.translate(AZ)).strip()
+    own, out = {}, {}
+    for turn, text in messages:
+        lines = [(m[0].count(">"), clean(x[m.end() :])) for x in text.split("\n") for m in [re.match(r"([ \t]*>)*", x)]]
+        votes = Counter()
+        for i, (level, said) in enumerate(lines):
+            if not level or not said:
+                continue
+            best = None
+            for lo in range(i + 1):
+                for hi in range(i + 1, len(lines) + 1):
+                    run = lines[lo:hi]
+                    if any(x[0] != level for x in run) or not run[0][1] or not run[-1][1]:
+                        continue
+                    block = (lo == 0 or lines[lo - 1][0] != level or not lines[lo - 1][1]) and (hi == len(lines) or lines[hi][0] != level or not lines[hi][1])
+                    blank = any(not x[1] for x in run)
+                    if hi - lo > 1 and not block:
+                        continue
+                    if blank and any(x[1] for x in _run_before(lines, lo, level) + _run_after(lines, hi, level)):
+                        continue
+                    said_ = " ".join(x[1] for x in run if x[1])
+                    from_ = max((t for t, parts in own.items() if said_ in parts), default=None)
+                    if from_ is not None:
+                        best = max(best or (0, 0), (hi - lo, from_))
+            if best and level == 1:
+                votes[best[1]] += 1
+        reply = max(votes, key=lambda k: (votes[k], k)) if votes else None
+        mine = quotations.passages(text)
+        own[turn] = {said for level, _, _, said in mine if level == 0}
+        out[turn] = [reply, out[reply][1] if reply is not None else turn, None]
+    order = []
+
+    def walk(turn):
+        order.append(turn)
+        for t in out:
+            if out[t][0] == turn:
+                walk(t)
+
+    for t in out:
+        if out[t][0] is None:
+            walk(t)
+    for i, t in enumerate(order):
+        out[t][2] = i
+    return {t: tuple(x) for t, x in out.items()}
+
+
+def _run_before(lines, lo, level):
+    out = []
+    while lo and lines[lo - 1][0] == level:
+        lo -= 1
+        out.append(lines[lo])
+    return out
+
+
+def _run_after(lines, hi, level):
+    out = []
+    while hi < len(lines) and lines[hi][0] == level:
+        out.append(lines[hi])
+        hi += 1
+    return out
+
+
+def talk(r, n):
+    """Messages that quote parts of earlier ones: a whole, a paragraph or a line."""
+    texts = []
+    for turn in range(n):
+        own = "\n\n".join("\n".join(f"line {r.integers(0, 12)} of  {r.integers(0, 9)}" for _ in range(r.integers(1, 4))) for _ in range(r.integers(1, 3)))
+        quoted = ""
+        if turn and r.random() < 0.8:
+            source = texts[r.integers(0, turn)].split("\n")
+            lo = r.integers(0, len(source))
+            quoted = "\n".join("> " + x for x in source[lo : lo + r.integers(1, 5)]) + "\n"
+        texts.append(quoted + own)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_conversations_match_brute_force(spark, small):
+    r = np.random.default_rng(21)
+    talks = {c: talk(r, n) for c, n in enumerate([1, 5, 12, 25, 40])}
+    df = spark.createDataFrame([(c, t, "user", x) for c, own in talks.items() for t, x in own], "conv_id long, turn long, role string, text string").repartition(3)
+    got = quotations.conversations_in_order(df, chunk=4, small=small).collect()
+    for c, own in talks.items():
+        want = brute_conversation(own)
+        assert {r["turn"]: (r["reply_to"], r["thread"], r["position"]) for r in got if r["conv_id"] == c} == want
+    assert max(Counter((r["conv_id"], r["thread"]) for r in got).values()) > 5
+
+
 CLASH = "doc_id long, text string, id long, u long, v long, key long, name string, row string, `__kept_text` string"
 
 
