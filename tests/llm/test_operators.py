@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import re
 import time
@@ -7,6 +8,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -351,6 +353,28 @@ def test_token_files(spark, docs, nothing, encoding):
     assert token_files.token_digest(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize(("encoding", "name"), [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_token_files_are_laid_out_as_asked(spark, encoding, name):
+    r = np.random.default_rng(3)
+    many = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.integers(0, 3000, 200))) for i in range(4000)], "doc_id long, text string").coalesce(1)
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(many, path, encoding=encoding, row_group_bytes=1 << 20, page_rows=100)
+    groups = 0
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            groups += 1
+            assert group.total_byte_size < 4 << 20
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            ids = next(c for k, c in columns.items() if k.startswith("ids"))
+            assert name in ids.encodings and all(c.has_offset_index for c in columns.values())
+            assert columns["doc_id"].has_column_index and columns["doc_id"].statistics.min <= columns["doc_id"].statistics.max
+    assert groups > len(glob.glob(f"{path}/*.parquet"))
+    plan = token_files.read_tokens(spark, path).filter("doc_id = 17").select("n_tokens")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "EqualTo(doc_id,17)" in plan
+
+
 def brute_print(text):
     w = VISIBLE.findall((text or "").translate(AZ))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
