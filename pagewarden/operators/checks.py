@@ -182,8 +182,12 @@ def url_path() -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
+#: Types that make a page an article.
+POST_TYPES = ("Article", "BlogPosting", "NewsArticle")
+
+
 def page_type() -> Column:
-    """What a page is, by its path and else its title."""
+    """What a page is, by its path, else its title, else the types at the top of its structured data."""
     path, segments = F.col("path"), F.col("segments")
 
     def named(*keys: str) -> Column:
@@ -203,6 +207,8 @@ def page_type() -> Column:
         .when(name.rlike("contact|kontakt"), "contact")
         .when(name.rlike("about|über uns"), "about")
         .when(name.rlike("faq|frequently asked"), "faq")
+        .when(F.arrays_overlap(F.col("ld")["top"], F.array(*(F.lit(t) for t in POST_TYPES))), "article")
+        .when(F.array_contains(F.col("ld")["top"], "Product"), "product")
         .otherwise("general")
     )
 
@@ -248,7 +254,6 @@ def with_facts(pages: DataFrame) -> DataFrame:
         tags("og", ("title", "description", "image", "url", "type"), "property", "name").alias("og"),
         tags("twitter", ("card", "title", "description", "image"), "name", "property").alias("twitter"),
         canonical_href().alias("canonical"),
-        json_ld_texts().alias("json_ld"),
         structured_data(json_ld_blocks()).alias("ld"),
         F.lower(url_path()).alias("path"),
     )
@@ -341,18 +346,12 @@ def json_ld_blocks() -> Column:
     return F.transform(having("script", also=lambda n: F.lower(n["attrs"]["type"]) == "application/ld+json"), text_content)
 
 
-def json_ld_texts() -> Column:
-    """The JSON-LD blocks that parse, as text."""
-    return F.filter(json_ld_blocks(), lambda t: F.try_parse_json(t).isNotNull())
-
-
 def freshness_score() -> Column:
     """Up to 5: a publish date and a modified date, in meta tags, JSON-LD or <time>.
 
-    A date property counts at any depth, with any value but null, false, 0 and ''.
+    A date property of structured data counts at any depth, with any value but null, false, 0 and ''; in a
+    block that only template tags keep from parsing, its name is enough.
     """
-    blocks = F.col("json_ld")
-    stated = lambda k: F.exists(blocks, lambda t: t.rlike(rf'"{k}"\s*:\s*+(?!null|false|""|0\s*[,}}\]])'))
     times = having("time", also=lambda n: n["attrs"]["datetime"].isNotNull())
 
     def published(n: Column) -> Column:
@@ -360,8 +359,8 @@ def freshness_score() -> Column:
         return F.coalesce(n["attrs"]["itemprop"] == "datePublished", F.lit(False)) | classes.rlike("(?i)(?<![A-Za-z0-9_])(published|pubdate|post-date|entry-date)(?![A-Za-z0-9_])")
 
     there = lambda k: F.coalesce(_tag(f"article:{k}_time", "property") != "", F.lit(False))
-    publish = there("published") | stated("datePublished") | F.exists(times, published)
-    modify = there("modified") | stated("dateModified") | F.exists(times, lambda n: ~published(n))
+    publish = there("published") | F.col("ld")["published"] | F.exists(times, published)
+    modify = there("modified") | F.col("ld")["modified"] | F.exists(times, lambda n: ~published(n))
     return F.when(~publish & ~modify, F.lit(0.0)).otherwise(_less(5, _if(~publish, 2), _if(~modify, 2)))
 
 
@@ -380,6 +379,13 @@ def accessibility_score() -> Column:
     return rounded(_less(4, _if(~main, 1.75), _if(~nav, 0.75), _if(F.coalesce(share < 50, F.lit(False)), 0.75), _if(few & ~main, 0.75)), 1)
 
 
+def author_score() -> Column:
+    """Up to 5: a name (2; 1 for markup without one), expertise, a bio or a link to the author, three signs of trust."""
+    a = F.col("author")
+    name = F.when(a["name"].isNotNull(), F.lit(2.0)).otherwise(_if(a["meta"] | a["schema"] | a["microdata"], 1))
+    return name + _if(a["expertise"].isNotNull(), 1) + _if(a["bio"] | a["link"], 1) + _if(F.size(a["trust"]) >= 3, 1)
+
+
 PAGE_CHECKS = (
     Check("meta.title", "meta", 5, title_score),
     Check("meta.description", "meta", 5, description_score),
@@ -393,4 +399,5 @@ PAGE_CHECKS = (
     Check("meta.language", "meta", 3, language_score),
     Check("meta.open-graph", "meta", 3, open_graph_score),
     Check("meta.twitter-cards", "meta", 3, twitter_score),
+    Check("content.author", "content", 5, author_score),
 )

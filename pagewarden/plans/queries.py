@@ -1,7 +1,9 @@
 """Registered queries of the site audit, and SQL that gives the same rows.
 
-The pages table has few of the tags that checks read, so queries add fixed fragments to each page's head
-and article, chosen by page_id; the SQL does the same, and derives each score in its own way.
+The pages table has few of the tags that checks read, so queries add tags to each page's head and
+article, in combinations that page_id decides (AUGMENTED, one expression that both dialects read). The
+SQL knows nothing of the combinations: it reads the resulting HTML with regular expressions and JSON
+functions and derives every score from what stands there.
 """
 
 from __future__ import annotations
@@ -12,108 +14,235 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.operators.access import MAJOR_BOTS, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
-from pagewarden.operators.checks import PAGE_CHECKS, url_path, with_facts
-from pagewarden.operators.readiness import ALL_PAGE_CHECKS, READINESS_CHECKS
-from pagewarden.plans.scorecard import category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
+from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS
+from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
+from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
+from pagewarden.sources.structured_data import KINDS
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
-_SHORT = "This page has few words."
-HEADS = (
-    "",
-    f'<meta name="viewport" content="width=device-width, initial-scale=1"><meta name="Description" content="{_LONG}"><meta property="og:title" content="t"><meta property="og:description" content="d"><meta property="og:image" content="https://x.example/i.png"><meta property="og:url" content="https://x.example/a"><meta property="og:type" content="article"><meta property="article:published_time" content="2024-01-02"><meta property="article:modified_time" content="2024-02-03">',
-    f'<meta name="viewport" content="width=600; initial-scale=2"><meta name="description" content="{_SHORT}"><meta property="og:title" content=" "><meta name="twitter:card" content="poster"><meta name="twitter:title" content="t"><meta name="twitter:description" content="d">',
-    '<meta name="viewport" content="initial-scale=1.0"><script type="application/ld+json">{"@type": "Article", "datePublished": "2024-01-02"}</script><meta name="robots" content="noindex, nofollow">',
+_OWN = "regexp_extract(html, '<title>([^<]*)', 1)"
+_LD = '<script type="application/ld+json">{}</script>'
+
+
+def _choice(n: int, *parts: str) -> str:
+    """SQL for one of the parts by page_id % n, else nothing; a part that begins with concat( is SQL, others are text."""
+    said = [p if p.startswith("concat(") else f"'{p}'" for p in parts]
+    return f"CASE page_id % {n} " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(said)) + " ELSE '' END"
+
+
+_HEAD = (
+    _choice(7, '<meta name="viewport" content="width=device-width, initial-scale=1">', '<meta name="viewport" content="width=600; initial-scale=2">', '<meta name="viewport" content="initial-scale=1.0">', '<meta name="viewport" content="width=device-width">', '<meta name="viewport" content="WIDTH=Device-Width,Initial-Scale=1.00">', '<meta name="viewport" content="width=980">'),
+    _choice(11, "", '<meta name="description" content=" ">', '<meta name="description" content="This page has few words.">', f'<meta name="Description" content="{_LONG}">', f'<meta name="description" content="Welcome to all of this. {_LONG}">', f'<meta name="description" content="{_LONG} And more is said besides it here.">', f'<meta name="description" content="{_LONG} {_LONG}">', f"concat('<meta name=\"description\" content=\"', {_OWN}, '\">')", '<meta name="description" content="Eighty characters or so, which is less than one would want to read in a list of found pages.">', '<meta name="description" content="Words about words and other words: of words that stand for words, in one hundred and twenty characters or somewhat more than that.">'),
+    _choice(5, "", """concat('<meta property="og:title" content="t"><meta property="og:description" content="d"><meta property="og:image" content="https://x.example/i.png"><meta property="og:type" content="article"><meta property="og:url" content="', url, '">')""", '<meta property="og:title" content=" ">', '<meta property="og:title" content="t"><meta property="og:description" content="d"><meta property="og:image" content="i.png">', '<meta name="og:title" content="t"><meta name="og:description" content="d"><meta name="og:type" content="website"><meta property="og:url" content="https://x.example/a">'),
+    _choice(4, "", '<meta name="twitter:card" content="summary"><meta name="twitter:title" content="t"><meta name="twitter:description" content="d"><meta name="twitter:image" content="i.png">', '<meta name="twitter:card" content="poster"><meta property="twitter:title" content="t"><meta name="twitter:description" content="d">', '<meta name="twitter:card" content="summary_large_image"><meta name="twitter:title" content=" ">'),
+    _choice(6, "", '<meta property="article:published_time" content="2024-01-02">', '<meta property="article:published_time" content="2024-01-02"><meta property="article:modified_time" content="2024-02-03">', '<meta property="article:modified_time" content="2024-02-03">'),
+    _choice(13, "", _LD.format('{"@type": "Organization", "name": "O"}') + _LD.format('{"@type": "WebSite", "url": "u"}'), _LD.format('{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q", "acceptedAnswer": {"@type": "Answer", "text": "a"}}]}'), _LD.format("{,"), _LD.format('{"@type": "Person", "name": "P"}'), _LD.format('{"@type": "Article", "headline": "h", "author": "A. Writer", "datePublished": "2024-01-02", "dateModified": "2024-01-03"}'), _LD.format('{"@type": "Article", "datePublished": "soon"}'), _LD.format('{"@type": "VideoObject", "name": "n", "description": "d", "thumbnailUrl": "t", "uploadDate": "2024-01-02"}') + _LD.format('{"@type": "Dataset", "name": "n", "description": "d"}'), _LD.format('{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q"}]}'), _LD.format('{"@type": "Organization"}') + _LD.format('{"@type": "Person", "name": "P"}') + _LD.format("no"), _LD.format('{"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "n"}]}'), _LD.format('{"@type": "Product", "name": "n"}')),
+    _choice(9, "", "concat('<link rel=\"canonical\" href=\"', url, '\">')", '<link rel="canonical" href="/elsewhere/than/here">', '<link rel="canonical" href="https://other.example/a">', '<link rel="canonical" href="/a"><link rel="canonical" href="/b">', '<link rel="canonical" href="">', "concat('<link rel=\"canonical\" href=\"', upper(url), '\">')"),
+    _choice(12, "", '<meta name="robots" content="noindex, nofollow">', "", '<meta name="robots" content="nofollow">', '<meta name="robots" content="max-image-preview:none, follow">', "", '<meta name="ROBOTS" content="NONE">', '<meta name="googlebot" content="noindex">'),
+    _choice(8, "", '<meta name="author" content="Jane Doe">', '<meta name="author" content=" ">', '<meta property="article:author" content="Jane Doe">', '<meta name="twitter:creator" content="@jane">'),
 )
-BODIES = (
-    "",
-    '<h2>Parts of it</h2><h3>Smaller parts</h3><img src="a.png" alt="A part"><img src="b.png">',
-    '<h4>Skipped to</h4><h1>Once more</h1><img src="c.png" alt="" role="presentation">',
-    '<form><label for="q">Find</label><input id="q"><input type="hidden" name="h"><textarea></textarea></form><h2>More</h2>',
+_BODY = (
+    _choice(5, "", "<h2>Parts of it</h2><h3>Smaller parts</h3>", "<h4>Skipped to</h4>", "<h1>Once more</h1>", "<h2>More</h2><h2>Info</h2><h2>Content</h2><h2> section </h2>"),
+    _choice(6, "", '<img src="a.png" alt="A part"><img src="b.png">', '<img src="c.png" alt="" role="presentation">', '<img src="a.png" alt="A part"><img src="b.png" alt="B"><img src="c.png" alt=" "><img src="d.png" alt="D">', '<img src="e.png" alt="" aria-hidden="true"><img src="f.png">'),
+    _choice(7, "", '<form><label for="q">Find</label><input id="q"><input type="hidden" name="h"></form>', '<form><input name="userEmail"><input type="text" name="q"><textarea></textarea></form>', '<form><label>Mail <input type="email" autocomplete="email"></label></form>', '<form><input type="tel" aria-label="Call" autocomplete="off"><select></select><select></select></form>'),
+    _choice(4, "", '<section role="main"></section>', "<section></section><aside></aside><figure></figure>"),
+    _choice(6, "", '<p><a href="/k1">click here</a> <a href="/k2">Named part</a></p>', '<p><a href="/k1">here</a> <a href="/k2">More</a> <a href="/k3">x</a> <a href="/k4">link</a> <a href="/k5">go</a></p>', '<p><a href="/a1">One part</a> <a href="/a2">Another</a> <a href="/a3">Third one</a></p>', '<p><a href="#">top</a> <a href="javascript:x()">do</a> <a href="mailto:a@b.example">write</a></p>'),
+    _choice(5, "", "<button></button>", "<button>Go</button>", '<div onclick="x()">y</div>', "<div hidden><button></button></div>"),
+    _choice(9, "", '<p class="byline">Written by Jane Doe, senior editor</p>', '<div class="author-bio">Jane.</div>', '<p>Over the years: 12 years of experience.</p>'),
+    _choice(4, "", '<p><a href="/about">About us</a> <a href="/contact">Contact us</a> <a href="/privacy">Privacy</a></p>', '<p><a href="/terms">Terms</a></p><address>Here</address>'),
+    _choice(7, "", "", '<time datetime="2024-03-01">1 March</time>', '<time class="entry-date" datetime="2024-03-01">1 March</time>', '<time itemprop="datePublished" datetime="2024-03-01">then</time><time datetime="2024-03-02">now</time>'),
+    _choice(10, "", '<div id="root"></div>', '<div itemscope></div>', '<div id="app">full</div>'),
 )
-
-#: Structured data, canonical links and controls, for the checks that read them.
-READY = (
-    '<script type="application/ld+json">[{"@type": "Organization", "name": "O"}, {"@type": "WebSite", "url": "u"}]</script><button></button>',
-    '<script type="application/ld+json">{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q", "acceptedAnswer": {"@type": "Answer", "text": "a"}}]}</script><link rel="canonical" href="https://other.example/a"><div onclick="x()">y</div>',
-    '<script type="application/ld+json">{,</script><link rel="canonical" href="/elsewhere/than/here"><input name="userEmail">',
-    '<script type="application/ld+json">{"@type": "Person", "name": "P"}</script><div hidden><button></button></div>',
+#: A page's HTML with the tags in; Spark SQL and DuckDB read it alike.
+AUGMENTED = (
+    f"replace(replace(replace(html, '<title>', CASE WHEN page_id % 17 = 5 THEN '<title>Page not found ' ELSE '<title>' END), '</head>', concat({', '.join(_HEAD)}, '</head>')), '</article>', concat({', '.join(_BODY)}, '</article>'))"
 )
 
 
-def _by_page(parts: tuple[str, ...]) -> Column:
-    out = F.lit(parts[-1])
-    for i, part in reversed(list(enumerate(parts[:-1]))):
-        out = F.when(F.col("page_id") % len(parts) == i, part).otherwise(out)
-    return out
-
-
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages table with fragments added."""
-    html = F.replace("html", F.lit("</head>"), F.concat(_by_page(HEADS), F.lit("</head>")))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.replace(html, F.lit("</article>"), F.concat(_by_page(BODIES), F.lit("</article>"))))
-
-
-def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augmented(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</article>"), F.concat(_by_page(READY), F.lit("</article>"))))
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _sql_by_page(parts: tuple[str, ...]) -> str:
-    return "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN {_quoted(p)}" for i, p in enumerate(parts)) + " END"
-
-
-#: Scores per page, from what the raw pages look like and what each fragment adds.
-SQL_PAGES = f"""
-raw AS (
-  SELECT page_id, url, page_id % 4 AS k, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id,
-    trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
-    regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-    len(regexp_extract_all(html, '<a href="/')) AS links,
-    regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article,
-    lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/')) AS path
-  FROM pages),
-texts AS (
-  SELECT *, length(title) AS n, string_split(title, ' ') AS tokens,
-    article || {_sql_by_page(BODIES)} AS body FROM raw),
-counts AS (
-  SELECT *, len(list_filter(tokens, lambda t: t IN ('-', '|', '–', '—', '·', ':')))
-      + len(list_filter(tokens[:-2], lambda t: length(t) > 1 AND t LIKE '%:')) AS separators,
-    len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '</?(p|h[1-6]|form|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\\s+'), lambda w: w <> '')) AS words,
-    len(list_filter(list_transform(regexp_extract_all(body, '(?s)<p>(.*?)(?:</p>|<p>|$)', 1), lambda p: length(trim(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&amp;', '&')))), lambda n: n > 50)) AS paragraphs
-  FROM texts),
-scores AS (
+    """The pages table with tags added."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.expr(AUGMENTED))
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _plain(html: str, breaks: str = "' '") -> str:
+    """SQL for the text of HTML: entities that occur decoded, blocks and line breaks as white space."""
+    blocks = "</(?:p|h[1-6]|form|div|section|aside|figure|article|address|ul|li|nav)>|<br[^>]*>"
+    text = f"regexp_replace(regexp_replace({html}, '{blocks}', {breaks}, 'g'), '<[^>]*>', '', 'g')"
+    return f"replace(replace(replace(replace(replace({text}, '&quot;', '\"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+def _words(text: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
+
+
+def _share(found: str, test: str) -> str:
+    return f"coalesce(floor(len(list_filter({found}, lambda x: {test})) / nullif(len({found}), 0) * 100 + 0.5), 100)"
+
+
+def _content(attr: str, key: str) -> str:
+    return f"CASE WHEN regexp_matches(h, '<meta {attr}=\"{key}\" content=\"') THEN regexp_extract(h, '<meta {attr}=\"{key}\" content=\"([^\"]*)\"', 1) END"
+
+
+def _either(key: str, first: str, second: str) -> str:
+    return f"coalesce({_content(first, key)}, {_content(second, key)})"
+
+
+def _url_sql(u: str) -> str:
+    return f"lower(regexp_replace({u}, '/$', ''))"
+
+
+_EXPERT = " OR ".join(f"regexp_matches(shown, '{'(?i)' if p.flags & 2 else ''}{p.pattern.replace('(?=' + chr(92) + 's|$)', '(?:' + chr(92) + 's|$)').replace('(?=' + chr(92) + 's|,|$)', '(?:' + chr(92) + 's|,|$)')}')" for p in EXPERTISE)
+_KIND = "CASE " + " ".join(f"WHEN t IN {_in(t for t, k in KINDS.items() if k == kind)} THEN '{kind}'" for kind in dict.fromkeys(KINDS.values())) + " END"
+_ANY = lambda types, ok=False: f"len(list_filter(ld, lambda x: x.t IN {_in(types)}{' AND x.ok' if ok else ''})) > 0"
+_LEAST = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in WORD_COUNTS.items()) + " END"
+_ATTR = lambda x, k: f"regexp_extract({x}, '(?i)\\s{k}=\"([^\"]*)\"', 1)"
+_HAS = lambda x, k: f"regexp_matches({x}, '(?i)\\s{k}(=|\\s|>)')"
+#: Whether the words of a field's name hold one of personal data.
+_FIELD = lambda x: f"len(list_filter(regexp_split_to_array(lower(regexp_replace(concat({_ATTR(x, 'name')}, ' ', {_ATTR(x, 'id')}), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[-_0-9 ]+'), lambda w: w IN {_in(PERSONAL)})) > 0"
+
+#: Scores per page, read from the HTML.
+_PAGES = rf"""
+page§ AS (SELECT page_id, url, §html AS h FROM pages),
+raw§ AS (
+  SELECT page_id, url, h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id,
+    lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/')) AS path,
+    trim(regexp_replace({_plain("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title,
+    regexp_extract(h, '<html lang="([^"]*)"', 1) AS lang,
+    regexp_replace(regexp_replace(regexp_extract(h, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS body,
+    regexp_extract(h, '(?s)<article>(.*)</article>', 1) AS article,
+    regexp_extract_all(h, '(?s)<script type="application/ld\+json">(.*?)</script>', 1) AS blocks,
+    regexp_extract_all(h, '<link rel="canonical" href="([^"]*)"', 1) AS canonicals,
+    {_either('og:title', 'property', 'name')} AS og_title, {_either('og:description', 'property', 'name')} AS og_description, {_either('og:image', 'property', 'name')} AS og_image, {_either('og:url', 'property', 'name')} AS og_url, {_either('og:type', 'property', 'name')} AS og_type,
+    {_either('twitter:card', 'name', 'property')} AS tw_card, {_either('twitter:title', 'name', 'property')} AS tw_title, {_either('twitter:description', 'name', 'property')} AS tw_description, {_either('twitter:image', 'name', 'property')} AS tw_image,
+    regexp_extract(h, '(?i)<meta name="description" content="([^"]*)"', 1) AS description,
+    regexp_matches(h, '<meta name="viewport"') AS sized, string_split_regex(regexp_extract(h, '<meta name="viewport" content="([^"]*)"', 1), '[,;]') AS settings,
+    list_transform(regexp_extract_all(h, '(?i)<meta name="(?:robots|googlebot|bingbot)" content="[^"]*"'), lambda m: lower(regexp_extract(m, 'content="([^"]*)"', 1))) AS said
+  FROM page§),
+facts§ AS (
+  SELECT *, length(title) AS n, string_split(title, ' ') AS tokens, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments,
+    {_words(_plain('article'))} AS words, {_words("regexp_replace(body, '<[^>]*>', ' ', 'g')")} AS sent, concat(regexp_extract(article, '<p class="byline">([^<]*)', 1), ' ', substr({_plain('body')}, 1, 5000)) AS shown,
+    len(list_filter(string_split(article, '<p>')[2:], lambda x: length(trim(replace(regexp_replace(regexp_extract(x, '(?s)^(.*?)(?:</p>|$)', 1), '<[^>]*>', '', 'g'), '&amp;', '&'))) > 50 OR (NOT contains(x, '</p>') AND length(regexp_replace(article, '<[^>]*>', '', 'g')) > 80))) AS paragraphs,
+    list_transform(regexp_extract_all(h, '(?s)<h[1-6][^>]*>.*?</h[1-6]>'), lambda x: {{'level': substr(x, 3, 1)::INT, 'text': lower(trim({_plain('x')}))}}) AS heads,
+    regexp_extract_all(h, '<img [^>]*>') AS images,
+    list_transform(regexp_extract_all(h, '(?s)<a [^>]*>.*?</a>'), lambda x: {{'href': {_ATTR('x', 'href')}, 'text': lower(trim({_plain('x')})), 'inside': contains(article, x)}}) AS anchors,
+    regexp_extract_all(article, '(?s)<(?:input|textarea|select)(?: [^>]*)?>') AS fields,
+    list_transform(regexp_extract_all(article, '<label for="([^"]*)"', 1), lambda x: x) AS labelled,
+    list_transform(list_filter(blocks, lambda b: json_valid(b)), lambda b: {{'t': json_extract_string(b, '$."@type"'), 'b': b}}) AS nodes,
+    len(list_filter(blocks, lambda b: NOT json_valid(b))) AS broken, list_filter(list_transform(settings, lambda x: string_split(x, '=')), lambda x: len(x) > 1) AS pairs,
+    list_transform(list_filter(flatten(list_transform(said, lambda x: string_split(x, ','))), lambda x: NOT regexp_matches(trim(x), '^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\s*:')), lambda x: trim(x)) AS rules
+  FROM raw§),
+judged§ AS (
+  SELECT *, list_transform(nodes, lambda x: {{'t': x.t, 'ok': CASE {_KIND.replace(' t ', ' x.t ')}
+      WHEN 'Organization' THEN coalesce(json_extract_string(x.b, '$.name'), '') <> '' WHEN 'Person' THEN coalesce(json_extract_string(x.b, '$.name'), '') <> ''
+      WHEN 'Article' THEN json_exists(x.b, '$.headline') AND json_exists(x.b, '$.author') AND regexp_matches(coalesce(json_extract_string(x.b, '$.datePublished'), ''), '^\d{{4}}-\d{{2}}-\d{{2}}$')
+      WHEN 'VideoObject' THEN json_exists(x.b, '$.name') AND json_exists(x.b, '$.description') AND json_exists(x.b, '$.thumbnailUrl') AND json_exists(x.b, '$.uploadDate')
+      WHEN 'Dataset' THEN json_exists(x.b, '$.name') AND json_exists(x.b, '$.description')
+      WHEN 'Product' THEN json_exists(x.b, '$.name') AND json_exists(x.b, '$.image') AND json_exists(x.b, '$.description') AND json_exists(x.b, '$.offers')
+      WHEN 'BreadcrumbList' THEN json_exists(x.b, '$.itemListElement[0].position') AND json_exists(x.b, '$.itemListElement[0].name')
+      WHEN 'FAQPage' THEN json_exists(x.b, '$.mainEntity[0].name') AND json_exists(x.b, '$.mainEntity[0].acceptedAnswer.text') END,
+      'site': x.t = 'WebSite' AND (json_exists(x.b, '$.name') OR json_exists(x.b, '$.url')),
+      'writer': (x.t = 'Person' AND json_exists(x.b, '$.name')) OR (x.t IN {_in(sorted(WORKS))} AND json_exists(x.b, '$.author')), 'marks': x.t = 'Person' OR (x.t IN {_in(sorted(WORKS))} AND json_exists(x.b, '$.author')),
+      'published': json_exists(x.b, '$.datePublished'), 'modified': json_exists(x.b, '$.dateModified')}}) AS ld,
+    CASE WHEN len(list_filter(segments, lambda x: regexp_matches(x, '^(contact|kontakt|contacto)([-_]|$)'))) > 0 THEN 'contact' WHEN len(list_filter(segments, lambda x: regexp_matches(x, '^(about|uber-uns)([-_]|$)'))) > 0 THEN 'about'
+      WHEN len(list_filter(segments[:-2], lambda x: x IN ('blog', 'article', 'post', 'news'))) > 0 THEN 'article' WHEN list_contains(segments, 'blog') THEN 'blog' WHEN len(list_filter(segments[:-2], lambda x: x IN ('product', 'shop', 'item'))) > 0 THEN 'product'
+      WHEN len(list_filter(segments, lambda x: regexp_matches(x, '^(faq|help|support)([-_]|$)'))) > 0 THEN 'faq' WHEN len(list_filter(segments, lambda x: regexp_matches(x, '^(privacy|terms|legal|policy)([-_]|$)'))) > 0 THEN 'legal'
+      WHEN path IN ('/', '/index', '/index.html', '/home') THEN 'homepage' WHEN regexp_matches(lower(title), 'contact|kontakt') THEN 'contact' WHEN regexp_matches(lower(title), 'about|über uns') THEN 'about' WHEN regexp_matches(lower(title), 'faq|frequently asked') THEN 'faq'
+      WHEN len(list_filter(nodes, lambda x: x.t IN {_in(POST_TYPES)})) > 0 THEN 'article' WHEN len(list_filter(nodes, lambda x: x.t = 'Product')) > 0 THEN 'product' ELSE 'general' END AS kind,
+    list_filter(anchors, lambda x: x.href <> '' AND x.href NOT LIKE '#%' AND NOT regexp_matches(x.href, '^[A-Za-z][A-Za-z0-9+.-]*:')) AS links,
+    list_filter(images, lambda x: NOT (regexp_matches(x, 'alt="\s*"') AND (regexp_matches(x, 'role="(presentation|none)"') OR regexp_matches(x, 'aria-hidden="true"')))) AS shown_images,
+    list_filter(fields, lambda x: x NOT LIKE '<input%' OR lower({_ATTR('x', 'type')}) NOT IN ('hidden', 'submit', 'button', 'reset', 'image')) AS inputs,
+    list_filter(fields, lambda x: x LIKE '<input%' AND lower({_ATTR('x', 'type')}) NOT IN {_in(IMPERSONAL_TYPES)} AND (lower({_ATTR('x', 'type')}) IN ('email', 'tel') OR {_FIELD('x')})) AS personal,
+    list_transform(regexp_extract_all(regexp_replace(article, '(?s)<div hidden>.*?</div>', '', 'g'), '(?s)<button[^>]*>.*?</button>'), lambda x: trim({_plain('x')})) AS buttons,
+    trim(list_filter(pairs, lambda x: lower(trim(x[1])) = 'width')[1][2]) AS width, trim(list_filter(pairs, lambda x: lower(trim(x[1])) = 'initial-scale')[1][2]) AS scale,
+    CASE WHEN canonicals[1] LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || canonicals[1] ELSE nullif(canonicals[1], '') END AS canonical,
+    len(list_filter(list_transform(rules, lambda x: regexp_replace(x, '^[a-z0-9_.-]+\s*:\s*', '')), lambda x: x IN ('noindex', 'none'))) > 0 AS noindex,
+    len(list_filter(list_transform(rules, lambda x: regexp_replace(x, '^[a-z0-9_.-]+\s*:\s*', '')), lambda x: x IN ('nofollow', 'none'))) > 0 AS nofollow,
+    regexp_matches(article, '<p class="byline">Written by [A-Z][a-z]+ [A-Z]') AS byline, regexp_extract_all(h, '<time [^>]*>') AS times
+  FROM facts§),
+counted§ AS (
+  SELECT *, len(list_filter(tokens, lambda t: t IN ('-', '|', '–', '—', '·', ':'))) + len(list_filter(tokens[:-2], lambda t: length(t) > 1 AND t LIKE '%:')) AS separators,
+    length(trim(description)) AS dn, list_filter(regexp_split_to_array(lower(description), '\s+'), lambda w: length(w) > 3) AS dwords,
+    len(list_filter(range(2, len(heads) + 1), lambda i: heads[i].level > heads[i - 1].level + 1)) AS skips, len(list_filter(heads, lambda x: x.level = 1)) AS ones, len(list_filter(heads, lambda x: length(x.text) < 3 OR x.text IN {_in(GENERIC_HEADINGS)})) AS generic_heads,
+    floor(len(list_filter(shown_images, lambda x: trim({_ATTR('x', 'alt')}) <> '')) / nullif(len(shown_images), 0) * 100 + 0.5) AS alt_share,
+    len(list_filter(links, lambda x: x.inside)) AS content_links, len(list_filter(links, lambda x: x.inside AND (length(x.text) < 2 OR x.text IN {_in(GENERIC_ANCHORS)}))) AS generic_links,
+    {_LEAST} AS least, regexp_matches(h, '<section role="main"|<main') AS main,
+    {_share('inputs', "(" + _ATTR('x', 'id') + " <> '' AND list_contains(labelled, " + _ATTR('x', 'id') + ")) OR " + _ATTR('x', 'aria-label') + " <> '' OR contains(article, '<label>Mail ' || x)")} AS input_share,
+    len(regexp_extract_all(h, '<(?:main|nav|article|section|aside|header|footer|figure|figcaption)[ >]')) AS semantic,
+    {' + '.join(f"CASE WHEN {_ANY(b, True)} THEN 1 ELSE 0 END" for b in MAIN_BUCKETS)} AS mains, {' + '.join(f"CASE WHEN {_ANY(b)} AND NOT {_ANY(b, True)} THEN 1 ELSE 0 END" for b in MAIN_BUCKETS)} AS bad_mains,
+    CASE WHEN {_ANY(('FAQPage',), True)} THEN 8 WHEN {_ANY(('FAQPage',))} THEN 4 ELSE 0 END AS faq,
+    {' + '.join(f"CASE WHEN {_ANY((t,), True)} THEN 1 ELSE 0 END" for t in SUPPORT_BUCKETS)} + CASE WHEN len(list_filter(ld, lambda x: x.site)) > 0 THEN 1 ELSE 0 END AS support,
+    list_filter(ld, lambda x: x.ok IS NOT NULL) AS tested,
+    {_content('property', 'article:published_time')} <> '' OR len(list_filter(ld, lambda x: x.published)) > 0 OR len(list_filter(times, lambda x: regexp_matches(x, 'itemprop="datePublished"|class="entry-date"'))) > 0 AS published,
+    {_content('property', 'article:modified_time')} <> '' OR len(list_filter(ld, lambda x: x.modified)) > 0 OR len(list_filter(times, lambda x: NOT regexp_matches(x, 'itemprop="datePublished"|class="entry-date"'))) > 0 AS modified,
+    len(list_filter(ld, lambda x: x.writer)) > 0 OR trim(coalesce({_content('name', 'author')}, '')) <> '' OR {_content('property', 'article:author')} <> '' OR {_content('name', 'twitter:creator')} <> '' OR byline AS named,
+    len(list_filter(ld, lambda x: x.marks)) > 0 OR {_content('name', 'author')} IS NOT NULL AS marked, {_EXPERT} AS expert,
+    byline OR regexp_matches(article, '<div class="author-bio">') OR {' OR '.join(f"len(list_filter(anchors, lambda x: contains(x.href, '{p}'))) > 0" for p in AUTHOR_PATHS)} AS bio,
+    {' + '.join(f"CASE WHEN len(list_filter(anchors, lambda x: contains(x.href, '{p}'))) > 0 THEN 1 ELSE 0 END" for p in TRUST_PATHS)} + CASE WHEN contains(h, '<address') THEN 1 ELSE 0 END AS trust,
+    regexp_matches(h, '<div id="({'|'.join(APP_ROOTS)})"></div>') AS rooted,
+    CASE WHEN len(canonicals) = 0 THEN 1 WHEN len(canonicals) > 1 THEN 3 WHEN canonical IS NULL THEN 1 WHEN {_url_sql('canonical')} = {_url_sql('url')} THEN 0 ELSE 2 END AS canonical_cost,
+    len(canonicals) = 1 AND coalesce(lower(regexp_extract(canonical, '^[A-Za-z]+://([^/?#:]*)', 1)) <> site_id, FALSE) AS elsewhere,
+    CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9_-])404($|[^a-z0-9_-])|not found|(^|[^a-z0-9_])error($|[^a-z0-9_])|no encontrado|nicht gefunden') THEN 1 ELSE 0 END + CASE WHEN words < 200 THEN 1 ELSE 0 END AS errors
+  FROM judged§),
+scored§ AS (
+  SELECT *, CASE WHEN len(tested) = 0 THEN 100 ELSE floor(len(list_filter(tested, lambda x: x.ok)) / len(tested) * 100 + 0.5) END AS rate,
+    CASE WHEN heads = [] THEN 0 ELSE 8 - CASE WHEN ones = 0 THEN 3 WHEN ones > 1 THEN 2 ELSE 0 END - least(2, skips) - CASE WHEN generic_heads > 3 THEN 1 ELSE 0 END END AS heading_score,
+    5 - CASE WHEN words < floor(least * 0.33) THEN 3 WHEN words < floor(least * 0.66) THEN 2 WHEN words < least THEN 1 ELSE 0 END - CASE WHEN paragraphs < 3 AND words > 200 THEN 0.5 ELSE 0 END AS text_score
+  FROM counted§),
+scores§ AS (
   SELECT site_id, page_id, unnest([
     {{'check_id': 'meta.title', 'category': 'meta', 'weight': 5, 'x': CASE WHEN n = 0 THEN 0 ELSE 5
         - CASE WHEN n < 40 THEN 2 WHEN n < 50 THEN 0.5 WHEN n > 70 THEN 1.5 WHEN n > 60 THEN 0.5 ELSE 0 END
-        - CASE WHEN lower(title) IN ('home','welcome','untitled','new page','page','document','index','test','website','my website','my blog','blog','site','my site','homepage') THEN 2 ELSE 0 END
+        - CASE WHEN regexp_full_match(lower(title), '{GENERIC_TITLES}') THEN 2 ELSE 0 END
         - CASE WHEN n < 20 AND separators = 0 THEN 0.5 ELSE 0 END - CASE WHEN separators > 3 THEN 0.5 ELSE 0 END END}},
-    {{'check_id': 'meta.description', 'category': 'meta', 'weight': 5, 'x': CASE k WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 0 END}},
-    {{'check_id': 'meta.viewport', 'category': 'meta', 'weight': 3, 'x': CASE k WHEN 1 THEN 3 WHEN 2 THEN 1.25 WHEN 3 THEN 2 ELSE 0 END}},
-    {{'check_id': 'meta.language', 'category': 'meta', 'weight': 3, 'x': CASE WHEN lang = '' THEN 1 WHEN lang IN ('en', 'fr', 'de', 'es') THEN 3 ELSE 2.5 END}},
-    {{'check_id': 'meta.open-graph', 'category': 'meta', 'weight': 3, 'x': CASE k WHEN 1 THEN 3 ELSE 0.25 END}},
-    {{'check_id': 'meta.twitter-cards', 'category': 'meta', 'weight': 3, 'x': CASE k WHEN 1 THEN 2 WHEN 2 THEN 2.25 ELSE 0.25 END}},
-    {{'check_id': 'content.headings', 'category': 'content', 'weight': 8, 'x': CASE k WHEN 2 THEN 5 ELSE 8 END}},
-    {{'check_id': 'content.image-alt', 'category': 'content', 'weight': 5, 'x': CASE k WHEN 1 THEN 3 ELSE 5 END}},
-    {{'check_id': 'content.internal-links', 'category': 'content', 'weight': 4, 'x': CASE WHEN links = 0 THEN 1 WHEN links < 5 THEN 3 ELSE 4 END}},
-    {{'check_id': 'content.freshness', 'category': 'content', 'weight': 5, 'x': CASE k WHEN 1 THEN 5 WHEN 3 THEN 3 ELSE 0 END}},
-    {{'check_id': 'content.accessibility', 'category': 'content', 'weight': 4, 'x': CASE k WHEN 3 THEN 1.5 ELSE 1.5 END}}
-  ], recursive := true) FROM counts),
-results AS (SELECT site_id, page_id, check_id, category, weight, greatest(0, least(weight, floor(x)))::INT AS score FROM scores),
-checks AS (
+    {{'check_id': 'meta.description', 'category': 'meta', 'weight': 5, 'x': CASE WHEN dn = 0 THEN 0 ELSE 5
+        - CASE WHEN dn < 70 THEN 2 WHEN dn < 120 THEN 1 WHEN dn > 170 THEN 1 WHEN dn > 160 THEN 0.5 ELSE 0 END
+        - CASE WHEN regexp_matches(lower(trim(description)), '{GENERIC_DESCRIPTIONS}') THEN 2 ELSE 0 END - CASE WHEN lower(trim({_plain('description')})) = lower(title) THEN 1 ELSE 0 END
+        - CASE WHEN coalesce(list_max(list_transform(dwords, lambda w: len(list_filter(dwords, lambda v: v = w)))), 0) > 3 AND len(regexp_split_to_array(description, '\s+')) > 10 THEN 0.5 ELSE 0 END END}},
+    {{'check_id': 'meta.viewport', 'category': 'meta', 'weight': 3, 'x': CASE WHEN NOT sized THEN 0 ELSE 3 - CASE WHEN lower(width) = 'device-width' THEN 0 WHEN width IS NOT NULL THEN 1.5 ELSE 1 END - CASE WHEN scale IS NULL THEN 0.5 WHEN TRY_CAST(scale AS DOUBLE) = 1 THEN 0 ELSE 0.25 END END}},
+    {{'check_id': 'meta.language', 'category': 'meta', 'weight': 3, 'x': CASE WHEN lang = '' THEN 1 WHEN NOT regexp_matches(lang, '(?i)^([a-z]{{2,3}})(?:-([a-z]{{4}}))?(?:-([a-z]{{2}}|[0-9]{{3}}))?$') THEN 2.5 WHEN lower(string_split(lang, '-')[1]) NOT IN {_in(LANGUAGES)} THEN 2.5 WHEN regexp_matches(lang, '-[A-Za-z]{{2}}$') AND upper(right(lang, 2)) NOT IN {_in(REGIONS)} THEN 2.75 ELSE 3 END}},
+    {{'check_id': 'meta.open-graph', 'category': 'meta', 'weight': 3, 'x': 3 - CASE WHEN trim(coalesce(og_title, '')) = '' THEN 0.75 ELSE 0 END - CASE WHEN trim(coalesce(og_description, '')) = '' THEN 0.75 ELSE 0 END - CASE WHEN trim(coalesce(og_image, '')) = '' THEN 0.75 ELSE 0 END
+        - CASE WHEN og_url IS NULL THEN 0.25 ELSE 0 END - CASE WHEN og_type IS NULL THEN 0.25 ELSE 0 END - CASE WHEN og_url <> '' AND {_url_sql('og_url')} <> {_url_sql('canonical')} THEN 0.25 ELSE 0 END}},
+    {{'check_id': 'meta.twitter-cards', 'category': 'meta', 'weight': 3, 'x': CASE WHEN coalesce(tw_card, tw_title, tw_description, tw_image) IS NULL AND concat(og_title, og_description, og_image) <> '' THEN 2 ELSE 3
+        - CASE WHEN trim(coalesce(tw_card, '')) = '' THEN 0.75 ELSE 0 END - CASE WHEN trim(coalesce(tw_title, '')) = '' THEN 0.75 ELSE 0 END - CASE WHEN trim(coalesce(tw_description, '')) = '' THEN 0.75 ELSE 0 END - CASE WHEN tw_image IS NULL THEN 0.5 ELSE 0 END
+        - CASE WHEN tw_card <> '' AND tw_card NOT IN ('summary', 'summary_large_image', 'app', 'player') THEN 0.25 ELSE 0 END END}},
+    {{'check_id': 'content.headings', 'category': 'content', 'weight': 8, 'x': heading_score}},
+    {{'check_id': 'content.image-alt', 'category': 'content', 'weight': 5, 'x': coalesce(floor(alt_share / 100 * 5 + 0.5), 5)}},
+    {{'check_id': 'content.internal-links', 'category': 'content', 'weight': 4, 'x': floor((4 - CASE WHEN links = [] THEN 3 WHEN content_links < 3 AND len(links) < 5 THEN 1 ELSE 0 END - least(1, generic_links * 0.25)) * 10 + 0.5) / 10}},
+    {{'check_id': 'content.quality', 'category': 'content', 'weight': 5, 'x': CASE WHEN words < 50 THEN least(1, greatest(0, text_score)) ELSE text_score END}},
+    {{'check_id': 'content.freshness', 'category': 'content', 'weight': 5, 'x': CASE WHEN coalesce(published, FALSE) OR coalesce(modified, FALSE) THEN 5 - CASE WHEN coalesce(published, FALSE) THEN 0 ELSE 2 END - CASE WHEN coalesce(modified, FALSE) THEN 0 ELSE 2 END ELSE 0 END}},
+    {{'check_id': 'content.accessibility', 'category': 'content', 'weight': 4, 'x': 4 - CASE WHEN main THEN 0 ELSE 1.75 END - CASE WHEN regexp_matches(h, '<nav[ >]') THEN 0 ELSE 0.75 END - CASE WHEN input_share < 50 THEN 0.75 ELSE 0 END - CASE WHEN semantic < 5 AND NOT main THEN 0.75 ELSE 0 END}},
+    {{'check_id': 'content.author', 'category': 'content', 'weight': 5, 'x': CASE WHEN coalesce(named, FALSE) THEN 2 WHEN marked THEN 1 ELSE 0 END + CASE WHEN expert THEN 1 ELSE 0 END + CASE WHEN bio THEN 1 ELSE 0 END + CASE WHEN trust >= 3 THEN 1 ELSE 0 END}},
+    {{'check_id': 'structured-data.present', 'category': 'structured-data', 'weight': 15, 'x': CASE WHEN ld <> [] THEN least(15, 4 + CASE WHEN mains > 0 THEN 7 + 2 * (mains - 1) WHEN bad_mains > 0 THEN 2 ELSE 0 END + faq + support) WHEN contains(h, '<div itemscope>') THEN 4 ELSE 0 END}},
+    {{'check_id': 'structured-data.valid', 'category': 'structured-data', 'weight': 5, 'x': CASE WHEN blocks = [] THEN 0 ELSE 5 - broken * 0.5 - CASE WHEN ld = [] OR rate < 50 THEN 2 WHEN rate < 80 THEN 1 WHEN rate < 100 THEN 0.5 ELSE 0 END END}},
+    {{'check_id': 'crawlability.indexability', 'category': 'crawlability', 'weight': 8, 'x': CASE WHEN noindex OR errors >= 2 OR elsewhere THEN 0 ELSE 8 - canonical_cost - CASE WHEN nofollow THEN 2 ELSE 0 END END}},
+    {{'check_id': 'agent-readiness.server-rendered', 'category': 'agent-readiness', 'weight': 6, 'x': CASE WHEN rooted AND sent < 50 THEN 0 WHEN (rooted AND sent < 150) OR (NOT rooted AND sent < 30 AND contains(h, '<script>')) THEN 3 - CASE WHEN ones = 0 THEN 1 ELSE 0 END - CASE WHEN title = '' THEN 1 ELSE 0 END ELSE 6 END}},
+    {{'check_id': 'agent-readiness.controls', 'category': 'agent-readiness', 'weight': 4, 'x': CASE WHEN {_share('buttons', "x <> ''")} >= 90 THEN 1 ELSE 0 END + CASE WHEN {_share('anchors', "NOT regexp_matches(trim(x.href), '(?i)^(#?$|javascript:)')")} >= 90 THEN 1 ELSE 0 END
+        + CASE WHEN contains(article, '<div onclick=') THEN 0 ELSE 1 END + CASE WHEN {_share('personal', _ATTR('x', 'autocomplete') + " NOT IN ('', 'off')")} >= 90 THEN 1 ELSE 0 END}}
+  ], recursive := true) FROM scored§),
+results§ AS (SELECT site_id, page_id, check_id, category, weight, greatest(0, least(weight, floor(x)))::INT AS score FROM scores§),
+checks§ AS (
   SELECT site_id, check_id, category, weight, floor(sum(score) / count(*) * 10 + 0.5) / 10 AS score, count(*) AS pages,
-    count(*) FILTER (score < weight) AS failing_pages FROM results GROUP BY ALL)
+    count(*) FILTER (score < weight) AS failing_pages FROM results§ GROUP BY ALL)
 """
+
+
+def _pages_sql(html: str, name: str = "") -> str:
+    """Scores of pages with this HTML; name: what the tables' names end in."""
+    return _PAGES.replace("§html", html).replace("§", name)
+
+
+SQL_PAGES = _pages_sql(AUGMENTED)
 _FULL = "SELECT *, CASE WHEN score / weight * 100 >= 80 THEN 'pass' WHEN score / weight * 100 >= 50 THEN 'warning' ELSE 'fail' END AS status, floor((weight - score) * 10 + 0.5) / 10 AS lost FROM checks"
-#: Checks that the SQL covers.
-IN_SQL = tuple(c for c in PAGE_CHECKS if c.id != "content.quality")
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_results(augmented(spark, sf_dir), IN_SQL)
+    return page_results(augmented(spark, sf_dir))
 
 
 def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +263,13 @@ def site_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check scores of the raw pages against those of the augmented ones."""
-    raw = page_results(spark.read.parquet(f"{sf_dir}/pages.parquet"), IN_SQL)
+    raw = page_results(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return compared(check_summary(raw), check_scores(spark, sf_dir))
 
 
 def _one(check_id: str) -> Callable[[SparkSession, str], DataFrame]:
     check = next(c for c in ALL_PAGE_CHECKS if c.id == check_id)
-    rows = ready if check in READINESS_CHECKS else augmented
-    return lambda spark, sf_dir: page_results(rows(spark, sf_dir), (check,))
+    return lambda spark, sf_dir: page_results(augmented(spark, sf_dir), (check,))
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,16 +370,31 @@ _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
 _WITH = f"WITH {SQL_PAGES}"
+_KEY = lambda p: f"coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '[?#].*$', ''), '(?i)/index\\\\.html?$', '/'), '(?i)\\\\.html?$', ''), '/+$', '')), ''), '/')"
+#: Pages kept out of search on purpose: noindex for all in their robots meta, no homepage, not in the sitemap.
+_OUT = f"""
+keyed AS (SELECT site_id, page_id, {_KEY('path')} AS key, regexp_extract(h, '<meta name="robots" content="([^"]*)"', 1) AS meant FROM raw),
+wanted AS (SELECT k.*, len(list_filter(string_split(lower(meant), ','), lambda x: NOT regexp_matches(trim(x), '^[a-z0-9_.-]+\\s*:') AND trim(x) IN ('noindex', 'none'))) > 0 AND key <> '/'
+    AND NOT EXISTS (SELECT 1 FROM keyed l WHERE l.site_id = k.site_id AND l.key = k.key AND l.page_id % 8 = 3) AS out FROM keyed k),
+left_out AS (SELECT site_id, page_id FROM wanted w WHERE out AND (SELECT count(*) FROM wanted o WHERE o.site_id = w.site_id) > 1 AND EXISTS (SELECT 1 FROM wanted o WHERE o.site_id = w.site_id AND NOT o.out))"""
+_TOTALS = """sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, max(pages) AS pages FROM {} GROUP BY ALL),
+      shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
+      SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
 SQL: dict[str, str] = {
     "page_scores": f"{_WITH} SELECT * FROM results",
     "check_scores": f"{_WITH} {_FULL}",
     "category_scores": f"{_WITH} SELECT site_id, category, floor(sum(score::DECIMAL(10, 1))::DOUBLE * 10 + 0.5) / 10 AS score, sum(weight)::BIGINT AS max FROM checks GROUP BY ALL",
-    "site_scorecard": f"""{_WITH}, sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, max(pages) AS pages FROM checks GROUP BY ALL),
-      shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
-      SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares""",
-    "site_problems": f"{_WITH}, rated AS ({_FULL}), placed AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, weight DESC, check_id)::INT AS place, check_id, lost, weight, status FROM rated WHERE lost > 0) SELECT * FROM placed WHERE place <= 5",
-    "page_quality": f"""{_WITH} SELECT page_id, CASE WHEN path = '/' THEN 'homepage' WHEN path SIMILAR TO '(.*/)?blog(/.*)?' AND NOT path SIMILAR TO '.*/(blog|article|post|news)/.+' THEN 'blog' WHEN path SIMILAR TO '.*/(blog|article|post|news)/.+' THEN 'article' ELSE 'general' END AS page_type, words FROM counts""",
-    "page_titles": f"{_WITH} SELECT page_id, title, links FROM counts",
+    "site_scorecard": f"{_WITH}, {_TOTALS.format('checks')}",
+    "noindex_pages": f"{_WITH}, {_OUT} SELECT site_id, page_id FROM left_out",
+    "full_scorecard": f"""{_WITH}, {_OUT},
+      kept AS (SELECT r.site_id, r.check_id, r.weight, CASE WHEN o.page_id IS NULL THEN r.score ELSE r.weight END AS score FROM results r LEFT JOIN left_out o USING (site_id, page_id) WHERE o.page_id IS NULL OR r.check_id = 'crawlability.indexability'),
+      means AS (SELECT site_id, check_id, weight, floor(sum(score) / count(*) * 10 + 0.5) / 10 AS score, count(*) AS pages FROM kept GROUP BY ALL), {_TOTALS.format('means')}""",
+    "score_changes": f"""{_WITH},
+      {_pages_sql('html', '_bare')}
+      SELECT site_id, check_id, b.score AS score_before, a.score AS score_after, floor((coalesce(a.score, 0) - coalesce(b.score, 0)) * 10 + 0.5) / 10 AS gained FROM checks_bare b FULL JOIN checks a USING (site_id, check_id)""",
+    "site_problems": f"{_WITH}, rated AS ({_FULL}), placed AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, weight DESC, list_position({list(CHECK_ORDER)}, check_id))::INT AS place, check_id, lost, weight, status FROM rated WHERE lost > 0) SELECT * FROM placed WHERE place <= 5",
+    "page_quality": f"{_WITH} SELECT page_id, kind AS page_type, words FROM judged",
+    "page_titles": f"{_WITH} SELECT page_id, title, len(links) AS links FROM judged",
     "robots_access": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages) SELECT site_id, CASE WHEN k < 3 THEN 11 END AS bots, CASE k WHEN 0 THEN 11 WHEN 1 THEN 9 WHEN 2 THEN 11 END AS allowed, CASE k WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 10 END AS major_allowed, CASE k WHEN 2 THEN 11 WHEN 3 THEN NULL ELSE 0 END AS slowed, (CASE k WHEN 0 THEN 12 WHEN 1 THEN 9 WHEN 2 THEN 10 ELSE 8 END)::INT AS score FROM (SELECT site_id, length(site_id) % 4 AS k FROM s)",
     "sitemap_scores": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages) SELECT site_id, (CASE k WHEN 0 THEN 2 ELSE 0 END)::INT AS urls, k <> 1 AS declared, (CASE k WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 0 END)::INT AS score FROM (SELECT site_id, length(site_id) % 3 AS k FROM s)",
     "sitemap_urls": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages), n AS (SELECT count(*) AS sites FROM s WHERE length(site_id) % 3 = 0) SELECT unnest(['https://x.example/a', 'https://x.example/b?x=1&y=2']) AS url, sites FROM n WHERE sites > 0",
@@ -259,10 +402,4 @@ SQL: dict[str, str] = {
     "path_keys": "SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html?$', '/'), '(?i)\\.html?$', ''), '/+$', '')), ''), '/') AS key FROM pages",
     "page_headers": "WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages) SELECT page_id, 'x-frame' AS name, CASE WHEN path LIKE '/en/%' THEN 'one, two' ELSE 'one' END AS value FROM p UNION ALL SELECT page_id, 'cache-control', 'no-store' FROM p WHERE path LIKE '/en/%'",
 }
-SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items() if i in {c.id for c in IN_SQL}}
-#: Scores of the fragments in READY, by page_id % 4.
-_READY_SCORES = {"structured-data.present": (12, 12, 0, 7), "structured-data.valid": (5, 5, 2, 4), "crawlability.indexability": (7, 0, 6, 0), "agent-readiness.server-rendered": (6, 6, 6, 6), "agent-readiness.controls": (3, 3, 3, 4)}
-SQL |= {
-    _KEYS[c.id]: f"SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, page_id, '{c.id}' AS check_id, '{c.category}' AS category, {c.weight} AS weight, (CASE page_id % 4 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_READY_SCORES[c.id]))} END)::INT AS score FROM pages"
-    for c in READINESS_CHECKS
-}
+SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items()}

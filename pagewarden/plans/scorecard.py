@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 from pagewarden.functions.text import rounded
 from pagewarden.operators.checks import Check, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS
-from pagewarden.sources.html import parsed
+from pagewarden.sources.html import parsed, parsed_page
 
 #: Least percentage and name of each grade.
 GRADES = ((90, "Ready for AI"), (80, "Nearly Optimized"), (70, "Needs Work"), (60, "Major Gaps"), (0, "Not AEO Ready"))
 
 
+#: Fixed value: the order in which checks are reported.
+CHECK_ORDER = (
+    "ai-access.bot-crawlability", "ai-access.llms-txt", "ai-access.content-signals", "crawlability.indexability", "crawlability.sitemap", "crawlability.https", "crawlability.http-behavior",
+    "structured-data.present", "structured-data.valid", "meta.title", "meta.description", "meta.open-graph", "meta.twitter-cards", "meta.language", "meta.viewport",
+    "content.headings", "content.quality", "content.freshness", "content.author", "content.image-alt", "content.internal-links", "content.accessibility",
+    "agent-readiness.server-rendered", "agent-readiness.markdown", "agent-readiness.controls", "agent-readiness.protocols",
+)
+
+
+def in_order(check_id: Column) -> Column:
+    return F.array_position(F.array(*(F.lit(c) for c in CHECK_ORDER)), check_id)
+
+
 def site_of(url: Column) -> Column:
     """A page's site: its host, in lower case."""
     return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
-def with_nodes(pages: DataFrame) -> DataFrame:
-    """site_id, page_id, url, nodes; the parse in a projection of its own."""
-    return pages.select(site_of(F.col("url")).alias("site_id"), "page_id", "url", parsed(F.col("html")).alias("nodes"))
+def with_nodes(pages: DataFrame, author: bool = False) -> DataFrame:
+    """site_id, page_id, url, nodes (and author); the parse in a projection of its own."""
+    own = pages.select(site_of(F.col("url")).alias("site_id"), "page_id", "url", (parsed_page(F.col("html"), F.col("url")) if author else parsed(F.col("html"))).alias("nodes"))
+    return own.select("site_id", "page_id", "url", "nodes.nodes", "nodes.author") if author else own
 
 
 def status(score: Column, weight: Column) -> Column:
@@ -44,7 +58,7 @@ def grade(percentage: Column) -> Column:
 
 def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS) -> DataFrame:
     """site_id, page_id, check_id, category, weight, score: one row per page and check."""
-    nodes = with_facts(with_nodes(pages))
+    nodes = with_facts(with_nodes(pages, author=any(c.id == "content.author" for c in checks)))
     entries = F.array(*(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), F.coalesce(F.least(F.greatest(F.floor(c.score()), F.lit(0)), F.lit(c.weight)), F.lit(0)).cast("int").alias("score")) for c in checks))
     return nodes.select("site_id", "page_id", entries.alias("entries")).select("site_id", "page_id", F.inline("entries"))
 
@@ -78,8 +92,8 @@ def site_summary(checks: DataFrame) -> DataFrame:
 
 
 def problems(checks: DataFrame, most: int = 5) -> DataFrame:
-    """Per site, the checks that lost most: lost and weight descending, then by id."""
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("lost"), F.desc("weight"), "check_id"))
+    """Per site, the checks that lost most: lost and weight descending, then in the order of reports."""
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("lost"), F.desc("weight"), in_order(F.col("check_id"))))
     return checks.filter("lost > 0").withColumn("place", rank).filter(F.col("place") <= most).select("site_id", "place", "check_id", "lost", "weight", "status")
 
 

@@ -7,18 +7,24 @@ hides text, and that is boilerplate, so "visible from here" is one comparison.
 
 The parse is tolerant and is not that of browsers: no elements are made up; raw-text elements end at
 their own end tag or at the end of input; an implied end closes the current element only; an end tag
-closes up to the nearest open element of its name, or nothing. A null page has no nodes.
+closes up to the nearest open element of its name, or nothing. A null page has no nodes, and of a page
+only the first MAX_BYTES are read, as a crawler would.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewarden.sources.author import AUTHOR, author_facts
+
+#: Fixed value: bytes of a page that are read.
+MAX_BYTES = 2 << 20
 NODE = "struct<id:int,parent:int,end:int,tag:string,attrs:map<string,string>,line:int,text:string,hidden_by:int,boiler:int,nav:boolean>"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +63,8 @@ def decoded(text: str) -> str:
 class _Page:
     def __init__(self, html: str) -> None:
         self.html, self.nodes, self.open = html, [], []
+        self.opened: Counter[str] = Counter()  # open elements by tag
+        self.had: set[str] = set()
         self.breaks = [m.start() for m in re.finditer("\n", html)]
         self.line, self.seen = 1, 0
 
@@ -82,6 +90,7 @@ class _Page:
 
     def close(self) -> None:
         node = self.open.pop()
+        self.opened[node["tag"]] -= 1
         node["end"] = len(self.nodes) - 1
         if node["tag"] in BLOCK:
             node["end"] += 1
@@ -102,10 +111,10 @@ class _Page:
                 attrs.setdefault(a[2].lower(), decoded(next((v for v in (a[3], a[4], a[5]) if v is not None), "")))
         if not ended:
             at = len(html)
-        names = {n["tag"] for n in self.open}
-        if (tag == "html" and self.open) or (tag in ("head", "body") and any(n["tag"] == tag for n in self.nodes)):
+        if (tag == "html" and self.open) or (tag in ("head", "body") and tag in self.had):
             return at
-        if "head" in names and tag not in IN_HEAD:
+        self.had.add(tag)
+        if self.opened["head"] and tag not in IN_HEAD:
             while self.open[-1]["tag"] != "head":
                 self.close()
             self.close()
@@ -117,6 +126,7 @@ class _Page:
         if tag in VOID or ended == "/>":
             return at
         self.open.append(node)
+        self.opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             body = html[at : end.start() if end else len(html)]
@@ -137,7 +147,7 @@ class _Page:
                 at = end + 3 if end >= 0 else len(html)
             elif m[1]:
                 at, tag = m.end(), m[1].lower()
-                if any(n["tag"] == tag for n in self.open):
+                if self.opened[tag]:
                     while self.open[-1]["tag"] != tag:
                         self.close()
                     self.close()
@@ -152,16 +162,38 @@ class _Page:
 
 
 def parse(html: str | None) -> list[dict] | None:
-    return None if html is None else _Page(html).parse()
+    if html is None:
+        return None
+    if len(html) * 4 > MAX_BYTES:
+        html = html.encode("utf-8", "replace")[:MAX_BYTES].decode("utf-8", "ignore")
+    return _Page(html).parse()
+
+
+_KEYS = ("id", "parent", "end", "tag", "attrs", "line", "text", "hidden_by", "boiler", "nav")
+
+
+def _rows(nodes: list[dict] | None) -> list[dict] | None:
+    return None if nodes is None else [{k: x[k] for k in _KEYS} for x in nodes]
 
 
 def parsed(html: Column) -> Column:
     """HTML to its nodes; select it once, in a projection of its own."""
-    keys = ("id", "parent", "end", "tag", "attrs", "line", "text", "hidden_by", "boiler", "nav")
 
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pages:
-            yield pd.Series([None if n is None else [{k: x[k] for k in keys} for x in n] for n in map(parse, batch)], dtype=object)
+            yield pd.Series([_rows(parse(x)) for x in batch], dtype=object)
 
     run.__annotations__ = {"pages": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, f"array<{NODE}>")(html)
+
+
+def parsed_page(html: Column, url: Column) -> Column:
+    """struct(nodes, author): as `parsed`, and who wrote the page."""
+
+    def run(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for htmls, urls in pages:
+            found = [parse(x) for x in htmls]
+            yield pd.DataFrame({"nodes": pd.Series([_rows(n) for n in found], dtype=object), "author": pd.Series([author_facts(n, u) for n, u in zip(found, urls)], dtype=object)})
+
+    run.__annotations__ = {"pages": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, f"struct<nodes:array<{NODE}>,author:{AUTHOR}>")(html, url)

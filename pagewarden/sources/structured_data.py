@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NODE = "struct<types:array<string>,kind:string,reference:boolean,valid:boolean,named:boolean,issues:array<string>>"
-RESULT = f"struct<blocks:int,parsed:int,broken:int,unresolved:int,nodes:array<{NODE}>>"
+RESULT = f"struct<blocks:int,parsed:int,broken:int,unresolved:int,published:boolean,modified:boolean,top:array<string>,nodes:array<{NODE}>>"
 MAX_DEPTH = 12
 PLACEHOLDER = "__template__"
 
@@ -83,6 +83,30 @@ def typed_nodes(data: Any, depth: int = 0) -> Iterator[dict]:
                 yield from typed_nodes(v, depth + 1)
 
 
+def resolver(nodes: list[dict]) -> Callable[[Any], Any]:
+    """A function that gives the node for a lone reference, and all else as it is."""
+    by_id = {n["@id"]: n for n in nodes if isinstance(n.get("@id"), str)}
+    return lambda x: by_id.get(x["@id"], x) if isinstance(x, dict) and len(x) == 1 and isinstance(x.get("@id"), str) else x
+
+
+def top_types(data: Any, depth: int = 0) -> list[str]:
+    """Types of nodes at most two steps below the block."""
+    if depth > 2 or not isinstance(data, (dict, list)):
+        return []
+    own = types_of(data) if isinstance(data, dict) and data.get("@type") else []
+    below = data if isinstance(data, list) else [v for k, v in data.items() if k != "@context"]
+    return own + [t for x in below for t in top_types(x, depth + 1)]
+
+
+def states(data: Any, key: str, depth: int = 0) -> bool:
+    """Whether an object at any depth up to 20 has the property, with a value that says something."""
+    if depth > 20 or not isinstance(data, (dict, list)):
+        return False
+    if isinstance(data, dict) and _filled_in(data.get(key)):
+        return True
+    return any(states(x, key, depth + 1) for x in (data.values() if isinstance(data, dict) else data))
+
+
 def _filled_in(x: Any) -> bool:
     """Whether a value says something: objects and lists do, even empty ones."""
     return isinstance(x, (dict, list)) or bool(x)
@@ -104,10 +128,7 @@ class Validator:
     """What a node of a kind lacks; `at` follows lone references."""
 
     def __init__(self, nodes: list[dict]) -> None:
-        self.by_id = {n["@id"]: n for n in nodes if isinstance(n.get("@id"), str)}
-
-    def at(self, x: Any) -> Any:
-        return self.by_id.get(x["@id"], x) if isinstance(x, dict) and len(x) == 1 and isinstance(x.get("@id"), str) else x
+        self.at = resolver(nodes)
 
     def _each(self, x: Any) -> list:
         return [self.at(i) for i in x] if isinstance(x, list) else [self.at(x)]
@@ -204,7 +225,11 @@ REQUIRED = {
 
 def page_data(texts: list[str] | None) -> dict[str, Any]:
     blocks = [read_block(t) for t in (texts if texts is not None else [])]
-    states = [s for _, s in blocks]
+    how = [s for _, s in blocks]
+
+    def stated(key: str) -> bool:  # in a block that template tags keep from parsing, the name is enough
+        return any(states(data, key) if s == "parsed" else s == "unresolved" and f'"{key}"' in t for (data, s), t in zip(blocks, texts if texts is not None else []))
+
     nodes = [n for data, s in blocks if s == "parsed" for n in typed_nodes(data)]
     most: dict[str, int] = {}
     for n in nodes:
@@ -220,7 +245,7 @@ def page_data(texts: list[str] | None) -> dict[str, Any]:
         for kind, own in by_kind.items():
             issues = validator.issues(kind, n) if kind and not reference else []
             out.append({"types": own, "kind": kind, "reference": reference, "valid": None if reference or not kind else not issues, "named": bool(n.get("name") or n.get("url")), "issues": issues})
-    return {"blocks": len(blocks), "parsed": states.count("parsed"), "broken": states.count("broken"), "unresolved": states.count("unresolved"), "nodes": out}
+    return {"blocks": len(blocks), "parsed": how.count("parsed"), "broken": how.count("broken"), "unresolved": how.count("unresolved"), "published": stated("datePublished"), "modified": stated("dateModified"), "top": [t for data, s in blocks if s == "parsed" for t in top_types(data)], "nodes": out}
 
 
 def structured_data(blocks: Column) -> Column:
@@ -228,7 +253,7 @@ def structured_data(blocks: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([page_data(x) for x in batch], columns=["blocks", "parsed", "broken", "unresolved", "nodes"])
+            yield pd.DataFrame([page_data(x) for x in batch], columns=["blocks", "parsed", "broken", "unresolved", "published", "modified", "top", "nodes"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, RESULT)(blocks)
