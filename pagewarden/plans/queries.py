@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagewarden.operators.access import MAJOR_BOTS, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
 from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS
+from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
@@ -336,6 +337,74 @@ def full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_summary(check_summary(excluding(page_results(augmented(spark, sf_dir)), noindex_pages(spark, sf_dir))))
 
 
+def audit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs for the engine: page scores with messages and findings made from them, and checks of whole sites."""
+    scores = page_scores(spark, sf_dir)
+    lost = F.col("weight") - F.col("score")
+    message = F.when(lost == 0, F.lit("All is there")).when(F.col("score") == 0, F.lit("Nothing found")).otherwise(F.concat(F.lit("Lost "), lost))
+    path = F.concat(F.lit("page"), F.col("page_id"), F.lit(".html"))
+    finding = lambda text: F.struct(text.alias("message"), path.alias("file"), (F.col("page_id") % 40).cast("int").alias("line"))
+    found = F.when(lost == 0, F.array().cast(f"array<{FINDING}>")).when(F.col("score") == 0, F.array(finding(message), finding(F.lit("Author attribution and all else is missing")))).otherwise(F.array(finding(message)))
+    pages = scores.select(
+        "site_id", "page_id", F.col("page_id").alias("seq"), "check_id", F.col("score").cast("double").alias("score"), F.lit(False).alias("na"),
+        ((F.col("page_id") % 10 == 7) & (F.col("category") == "structured-data")).alias("inconclusive"), (F.col("page_id") % 5 == 2).alias("predicted"),
+        message.alias("message"), F.when(lost > 1, F.concat(F.lit("Raise it by "), lost)).otherwise(F.lit("")).alias("recommendation"), found.alias("findings"), F.array().cast(f"array<{FINDING}>").alias("advice"),
+    )
+    n = F.length("site_id")
+    entries = F.array(*(F.struct(F.lit(c).alias("check_id"), (n % (w + 2) - 0.5).alias("score"), F.lit(na).alias("na")) for c, w, na in _SITE_RUNS))
+    sites = _sites(spark, sf_dir).select("site_id", F.inline(entries))
+    site = sites.select("site_id", F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("seq"), "check_id", "score", (F.col("na") & (n % 2 == 0)).alias("na"), (n % 3 == 0).alias("inconclusive"), F.lit(False).alias("predicted"), F.lit("Of the site").alias("message"), F.lit("").alias("recommendation"), F.array(F.struct(F.lit("Of the site").alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))).alias("findings"), F.array().cast(f"array<{FINDING}>").alias("advice"))
+    return pages.unionByName(site)
+
+
+#: Checks of whole sites in audit_runs: id, weight, whether they may not apply.
+_SITE_RUNS = (("ai-access.bot-crawlability", 12, False), ("ai-access.content-signals", 3, False), ("crawlability.sitemap", 5, False), ("agent-readiness.protocols", 6, True))
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir).withColumn("mode", F.when(F.length("site_id") % 19 == 0, "report-only").otherwise("full"))
+
+
+def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every site: status, score, message, recommendation."""
+    return check_states(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir), _modes(spark, sf_dir))
+
+
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_totals(audit_states(spark, sf_dir))
+
+
+def audit_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category_totals(audit_states(spark, sf_dir))
+
+
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all pages, equal ones together, with their first places."""
+    out = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
+    return out.withColumn("locations", F.array_join("locations", ", "))
+
+
+def audit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return console_summaries(audit_states(spark, sf_dir))
+
+
+def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown reports."""
+    found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
+    notes = _sites(spark, sf_dir).select("site_id", F.concat(F.lit("Pages of "), "site_id").alias("note"))
+    return reports(audit_states(spark, sf_dir), found, notes)
+
+
+def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as JSON."""
+    found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
+    return payloads(audit_states(spark, sf_dir), found)
+
+
+def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rubric_totals(rubric_table(spark))
+
+
 _RULES = "/*\n  X-Frame: one\n/en/*\n  X-Frame: two\n  Cache-Control: no-store\n"
 
 
@@ -365,7 +434,7 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
@@ -380,14 +449,58 @@ left_out AS (SELECT site_id, page_id FROM wanted w WHERE out AND (SELECT count(*
 _TOTALS = """sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, max(pages) AS pages FROM {} GROUP BY ALL),
       shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
       SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
+_RUBRIC = "rubric AS (SELECT *, split_part(check_id, '.', 1) AS category FROM (VALUES " + ", ".join(f"({k}, '{i}', '{n}', {w}, '{f}', {a})" for k, (i, n, w, f, _, a) in enumerate(RUBRIC)) + ") t(ord, check_id, name, weight, fixable, advisory))"
+_RUNS = f"""{_OUT}, {_RUBRIC},
+places AS (SELECT DISTINCT site_id FROM page JOIN raw USING (page_id)),
+runs AS (
+  SELECT r.site_id, r.page_id, r.page_id AS seq, r.check_id, r.score, r.weight, FALSE AS na, r.page_id % 10 = 7 AND r.category = 'structured-data' AS unsure, r.page_id % 5 = 2 AS guessed,
+    CASE WHEN r.score = r.weight THEN 'All is there' WHEN r.score = 0 THEN 'Nothing found' ELSE concat('Lost ', r.weight - r.score) END AS message, CASE WHEN r.weight - r.score > 1 THEN concat('Raise it by ', r.weight - r.score) ELSE '' END AS rec, o.page_id IS NOT NULL AS out, FALSE AS advisory
+  FROM results r LEFT JOIN left_out o USING (site_id, page_id)
+  UNION ALL SELECT site_id, NULL, 0, c.id, greatest(0, least(c.w, floor(length(site_id) % (c.w + 2) - 0.5)))::INT, c.w, c.na AND length(site_id) % 2 = 0, length(site_id) % 3 = 0, FALSE, 'Of the site', '', FALSE, c.id = 'ai-access.content-signals'
+  FROM places, (VALUES {', '.join(f"('{c}', {w}, {na})" for c, w, na in _SITE_RUNS)}) c(id, w, na))"""
+_STATES = f"""{_RUNS},
+said AS (SELECT site_id, check_id, message, count(*) AS n, min(seq) AS first FROM runs WHERE NOT out AND score < weight GROUP BY ALL),
+common AS (SELECT site_id, check_id, message FROM said QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY n DESC, first) = 1),
+opening AS (SELECT site_id, check_id, message FROM runs WHERE NOT out QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY seq) = 1),
+advised AS (SELECT site_id, check_id, rec FROM runs WHERE NOT out AND score < weight AND rec <> '' QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY seq) = 1),
+sums_of AS (SELECT site_id, check_id, count(*) FILTER (NOT out) AS n, count(*) FILTER (out) AS outs, sum(score) FILTER (NOT out) AS total, count(*) FILTER (NOT out AND na) AS nas, count(*) FILTER (NOT out AND unsure) AS unsure, count(*) FILTER (NOT out AND guessed) AS guessed, count(*) FILTER (NOT out AND score < weight) AS losing FROM runs GROUP BY ALL),
+every_ AS (SELECT p.site_id, r.*, coalesce(n, 0) > 0 AND length(p.site_id) % 19 <> 0 AS ran, coalesce(n, 0) > 0 AND length(p.site_id) % 19 <> 0 AND nas = n AS na, total / n AS share, n, outs, losing, unsure, guessed, c.message AS common, o.message AS opening, a.rec
+  FROM places p CROSS JOIN rubric r LEFT JOIN sums_of s ON s.site_id = p.site_id AND s.check_id = r.check_id LEFT JOIN common c ON c.site_id = p.site_id AND c.check_id = r.check_id LEFT JOIN opening o ON o.site_id = p.site_id AND o.check_id = r.check_id LEFT JOIN advised a ON a.site_id = p.site_id AND a.check_id = r.check_id),
+meant AS (SELECT *, CASE WHEN ran AND NOT na THEN floor(share * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS score FROM every_),
+states AS (SELECT site_id, check_id, name, category, weight, fixable, advisory, ord, score,
+  CASE WHEN NOT ran THEN 'skipped' WHEN na THEN 'na' WHEN advisory THEN CASE WHEN score >= weight THEN 'pass' ELSE 'advice' END WHEN unsure > 0 AND score < weight THEN 'warning' WHEN score / weight * 100 >= 80 THEN 'pass' WHEN score / weight * 100 >= 50 THEN 'warning' ELSE 'fail' END AS status,
+  CASE WHEN ran AND NOT na AND NOT advisory THEN floor((weight - score) * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS lost, ran AND NOT na AND unsure > 0 AS inconclusive, ran AND NOT na AND guessed > 0 AS predicted,
+  CASE WHEN ran THEN CASE WHEN na THEN opening ELSE coalesce(common, opening) END ELSE '' END AS message, CASE WHEN ran AND NOT na THEN coalesce(rec, '') ELSE '' END AS recommendation,
+  CASE WHEN ran THEN n ELSE 0 END::BIGINT AS pages, CASE WHEN ran THEN losing ELSE 0 END::BIGINT AS failing_pages, CASE WHEN ran THEN outs ELSE 0 END::BIGINT AS excluded_pages FROM meant)"""
+_TOTALS_OF = """sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available FROM states WHERE NOT advisory GROUP BY site_id),
+shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums),
+graded AS (SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares)"""
 SQL: dict[str, str] = {
     "page_scores": f"{_WITH} SELECT * FROM results",
     "check_scores": f"{_WITH} {_FULL}",
     "category_scores": f"{_WITH} SELECT site_id, category, floor(sum(score::DECIMAL(10, 1))::DOUBLE * 10 + 0.5) / 10 AS score, sum(weight)::BIGINT AS max FROM checks GROUP BY ALL",
     "site_scorecard": f"{_WITH}, {_TOTALS.format('checks')}",
+    "rubric_maxima": f"WITH {_RUBRIC} SELECT category, sum(weight)::BIGINT AS max FROM rubric WHERE NOT advisory GROUP BY ROLLUP (category)",
+    "audit_states": f"{_WITH}, {_STATES} SELECT * FROM states",
+    "audit_totals": f"""{_WITH}, {_STATES}, sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available,
+      coalesce(sum(weight) FILTER (status = 'na'), 0)::BIGINT AS na_weight, coalesce(sum(weight) FILTER (status = 'skipped'), 0)::BIGINT AS skipped_weight FROM states WHERE NOT advisory GROUP BY site_id),
+      shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums)
+      SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares""",
+    "audit_categories": f"{_WITH}, {_STATES} SELECT site_id, category, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE * 10 + 0.5) / 10 AS score, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS max, coalesce(sum(weight) FILTER (status IN ('skipped', 'na')), 0)::BIGINT AS skipped FROM states WHERE NOT advisory GROUP BY ALL",
+    "audit_findings": f"""{_WITH}, {_RUNS},
+      told AS (SELECT site_id, check_id, seq, out, page_id, unnest(CASE WHEN page_id IS NULL THEN ['Of the site'] WHEN score = weight THEN [] WHEN score = 0 THEN ['Nothing found', 'Author attribution and all else is missing'] ELSE [concat('Lost ', weight - score)] END) AS message, advisory FROM runs),
+      own AS (SELECT site_id, check_id, seq, page_id, (out OR advisory) AS advice, CASE WHEN out THEN 'Page kept out of search: ' || message ELSE message END AS message, CASE WHEN out THEN 2 WHEN advisory THEN 0 ELSE 1 END AS turn, CASE WHEN message LIKE 'Author%' THEN 1 ELSE 0 END AS pos
+        FROM told WHERE NOT out OR check_id = 'content.freshness' OR (check_id = 'content.author' AND message LIKE 'Author%')),
+      grouped AS (SELECT site_id, check_id, advice, message, min((turn, seq, pos)) AS first, count(page_id) AS n_locations, coalesce(string_agg(concat('page', page_id, '.html:', page_id % 40), ', ' ORDER BY seq) FILTER (nth <= 5 AND page_id IS NOT NULL), '') AS locations
+        FROM (SELECT *, row_number() OVER (PARTITION BY site_id, check_id, advice, message ORDER BY turn, seq, pos) AS nth FROM own) GROUP BY ALL)
+      SELECT site_id, check_id, advice, row_number() OVER (PARTITION BY site_id, check_id, advice ORDER BY first, message)::INT AS place, message, n_locations, locations FROM grouped""",
+    "audit_summaries": f"""{_WITH}, {_STATES}, {_TOTALS_OF},
+      worst AS (SELECT site_id, string_agg(concat('- ', name, ': -', regexp_replace(lost::VARCHAR, '\\.0$', ''), ' (', CASE fixable WHEN 'auto' THEN 'auto-fix' ELSE 'assisted' END, ')'), chr(10) ORDER BY lost DESC, ord) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, ord) AS nth FROM states WHERE status IN ('fail', 'warning')) WHERE nth <= 5 GROUP BY site_id),
+      told AS (SELECT site_id, string_agg(name, ', ' ORDER BY ord) FILTER (status = 'advice') AS advised, max(excluded_pages) AS outs FROM states GROUP BY site_id)
+      SELECT t.site_id, concat_ws(chr(10), concat('Score ', total, '/', available, ' (', percentage, '%, ', grade, ')'), lines, CASE WHEN outs > 0 THEN concat('Not scored: ', outs, ' page(s) kept out of search on purpose (noindex)') END, 'Advice, no points: ' || advised) AS summary FROM graded t LEFT JOIN worst USING (site_id) JOIN told USING (site_id)""",
     "noindex_pages": f"{_WITH}, {_OUT} SELECT site_id, page_id FROM left_out",
     "full_scorecard": f"""{_WITH}, {_OUT},
-      kept AS (SELECT r.site_id, r.check_id, r.weight, CASE WHEN o.page_id IS NULL THEN r.score ELSE r.weight END AS score FROM results r LEFT JOIN left_out o USING (site_id, page_id) WHERE o.page_id IS NULL OR r.check_id = 'crawlability.indexability'),
+      kept AS (SELECT r.site_id, r.check_id, r.weight, r.score FROM results r ANTI JOIN left_out o USING (site_id, page_id)),
       means AS (SELECT site_id, check_id, weight, floor(sum(score) / count(*) * 10 + 0.5) / 10 AS score, count(*) AS pages FROM kept GROUP BY ALL), {_TOTALS.format('means')}""",
     "score_changes": f"""{_WITH},
       {_pages_sql('html', '_bare')}

@@ -64,13 +64,8 @@ def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS) ->
 
 
 def excluding(results: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Results without the pages in `excluded` (site_id, page_id): only their indexability counts, in full.
-
-    A page that is kept out of search on purpose is no defect.
-    """
-    out = results.join(excluded.select("site_id", "page_id", F.lit(True).alias("out")), ["site_id", "page_id"], "left")
-    own = F.col("check_id") == "crawlability.indexability"
-    return out.filter(F.col("out").isNull() | own).withColumn("score", F.when(F.col("out"), F.col("weight")).otherwise(F.col("score"))).drop("out")
+    """Results without the pages in `excluded` (site_id, page_id): kept out of search on purpose, they are no defect."""
+    return results.join(excluded.select("site_id", "page_id"), ["site_id", "page_id"], "left_anti")
 
 
 def check_summary(results: DataFrame) -> DataFrame:
