@@ -186,7 +186,7 @@ def category_totals(states: DataFrame) -> DataFrame:
 
 def escaped(text: Column) -> Column:
     """Text for a cell of a Markdown table."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\|", r"\\\\|"), r"\r?\n", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\|", r"\\|"), r"\r?\n", " ")
 
 
 def _named(column: Column, names: dict[str, str]) -> Column:
