@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.operators.access import MAJOR_BOTS, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
+from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
 from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS
+from pagewarden.operators.site_checks import llms_txt_score
 from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
@@ -288,41 +289,99 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("tag").agg(F.count("*").alias("elements"), F.countDistinct("page_id").alias("pages"))
 
 
-ROBOTS = (
-    "User-agent: *\nDisallow: /private\n",
-    "User-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /\n\nUser-agent: *\nAllow: /\n",
-    "# all out\nUser-agent: *\nDisallow: /\nAllow: /$\nCrawl-delay: 10\n",
-    None,
-)
+#: Texts of a site's files by the length of its name; both dialects read them.
+ROBOTS = """CASE length(site_id) % 7
+  WHEN 0 THEN 'User-agent: *
+Disallow: /private
+Sitemap: https://x.example/sitemap.xml'
+  WHEN 1 THEN 'User-agent: GPTBot
+user-agent: claudebot
+Disallow: /
+
+User-agent: *
+Allow: /
+Crawl-delay: 2'
+  WHEN 2 THEN '# all out
+User-agent: *
+Disallow: /
+Allow: /$
+Crawl-delay: 10'
+  WHEN 3 THEN ''
+  WHEN 4 THEN 'Disallow: /
+User-agent: Bytespider
+User-agent: CCBot
+Disallow: /*
+User-agent: CCBot
+Crawl-delay: 30
+User-agent: *
+Disallow: /
+Allow: /
+sitemap: /s.xml'
+  WHEN 5 THEN 'User-agent: *
+Disallow:
+User-agent: PerplexityBot
+Disallow: /
+Allow: /public'
+  END"""
+SITEMAP = """CASE length(site_id) % 5
+  WHEN 0 THEN '<urlset><url><loc>https://x.example/a</loc></url><url><loc> https://x.example/b?x=1&amp;y=2 </loc></url></urlset>'
+  WHEN 1 THEN '<urlset></urlset>'
+  WHEN 2 THEN '<sitemapindex><sitemap><loc>https://x.example/c.xml</loc></sitemap></sitemapindex>'
+  WHEN 3 THEN '<urlset><url><loc><![CDATA[https://x.example/a]]></loc></url></urlset>' END"""
+HEADERS = """CASE length(site_id) % 3
+  WHEN 0 THEN '/*
+  X-Frame: one
+/en/*
+  X-Frame: two
+  Cache-Control: no-store'
+  WHEN 1 THEN '# none but these
+/:lang/
+  X-Lang:  own
+/fr/*
+  X-Lang: french'
+  ELSE '' END"""
+LLMS = """CASE length(site_id) % 6
+  WHEN 0 THEN '# Name
+> What it is and who it is for, in one sentence.
+## Pages
+- [One](https://x.example/one)
+- [Two](/two): the second'
+  WHEN 1 THEN 'short'
+  WHEN 2 THEN '  '
+  WHEN 3 THEN 'No heading stands here, but there is a [link](/x) and some more text to read.'
+  WHEN 4 THEN '# Name
+Nothing else of the form, though long enough to be of use to someone.' END"""
+DIRECTIVES = "CASE page_id % 8 WHEN 0 THEN 'noindex' WHEN 1 THEN 'googlebot: noindex, nofollow' WHEN 2 THEN 'max-image-preview:none, follow' WHEN 3 THEN 'NONE' WHEN 4 THEN ' index , nofollow' WHEN 5 THEN 'unavailable_after: 25 Jun 2030, noindex' WHEN 6 THEN 'bingbot: none' ELSE '' END"
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(site_of(F.col("url")).alias("site_id")).distinct()
 
 
-def _by_site(values: tuple) -> Column:
-    out = F.lit(values[-1]).cast("string")
-    for i, v in reversed(list(enumerate(values[:-1]))):
-        out = F.when(F.length("site_id") % len(values) == i, F.lit(v)).otherwise(out)
-    return out
+def _bots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(b, b in MAJOR_BOTS) for b in BOTS], "name string, is_major boolean")
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bots = spark.createDataFrame([(b, True) for b in MAJOR_BOTS] + [("OtherBot", False)], "name string, is_major boolean")
-    return bot_crawlability(_sites(spark, sf_dir).withColumn("text", _by_site(ROBOTS)), bots)
+    return bot_crawlability(_sites(spark, sf_dir).withColumn("text", F.expr(ROBOTS)), _bots(spark))
 
 
-SITEMAPS = ("<urlset><url><loc>https://x.example/a</loc></url><url><loc>https://x.example/b?x=1&amp;y=2</loc></url></urlset>", "<urlset></urlset>", None)
+def robots_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each crawler may read a site's homepage."""
+    return bot_access(_sites(spark, sf_dir).withColumn("text", F.expr(ROBOTS)).filter("text is not null and trim(text) <> ''"), _bots(spark))
 
 
 def sitemap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    robots = ("Sitemap: https://x.example/sitemap.xml", "User-agent: *\nDisallow:", "sitemap: /s.xml")
-    return sitemap_score(_sites(spark, sf_dir).withColumn("robots", _by_site(robots)).withColumn("sitemap", _by_site(SITEMAPS)))
+    return sitemap_score(_sites(spark, sf_dir).withColumn("robots", F.expr(ROBOTS)).withColumn("sitemap", F.expr(SITEMAP)))
 
 
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _sites(spark, sf_dir).withColumn("text", _by_site(SITEMAPS)).filter("text is not null")
-    return sitemap_locs(files).groupBy("url").agg(F.count("*").alias("sites"))
+    files = _sites(spark, sf_dir).withColumn("text", F.expr(SITEMAP)).filter("text is not null")
+    return sitemap_locs(files).groupBy("url", "is_index").agg(F.count("*").alias("sites"))
+
+
+def llms_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return llms_txt_score(_sites(spark, sf_dir).withColumn("robots", F.expr(ROBOTS)).withColumn("llms", F.expr(LLMS)))
 
 
 def noindex_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,22 +464,15 @@ def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rubric_totals(rubric_table(spark))
 
 
-_RULES = "/*\n  X-Frame: one\n/en/*\n  X-Frame: two\n  Cache-Control: no-store\n"
-
-
 def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header values by page, stacked in rule order."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(site_of(F.col("url")).alias("site_id"), "page_id", url_path().alias("url_path"))
-    rules = header_rules(_sites(spark, sf_dir).withColumn("text", F.lit(_RULES)))
+    rules = header_rules(_sites(spark, sf_dir).withColumn("text", F.expr(HEADERS)))
     return headers_for(pages, rules, header_pattern_regex(F.col("pattern"))).select("page_id", "name", F.array_join("values", ", ").alias("value"))
 
 
 def directive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ("noindex", "googlebot: noindex, nofollow", "max-image-preview:none, follow", "NONE", "")
-    out = F.lit(texts[-1])
-    for i, t in reversed(list(enumerate(texts[:-1]))):
-        out = F.when(F.col("page_id") % 5 == i, t).otherwise(out)
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", out.alias("v"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.expr(DIRECTIVES).alias("v"))
     return rows.select("page_id", directives(F.col("v"))["noindex"].alias("noindex"), directives(F.col("v"))["nofollow"].alias("nofollow"), noindex_for_all(F.col("v")).alias("for_all"))
 
 
@@ -434,7 +486,7 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
@@ -475,11 +527,47 @@ states AS (SELECT site_id, check_id, name, category, weight, fixable, advisory,
 _TOTALS_OF = """sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available FROM states WHERE NOT advisory GROUP BY site_id),
 shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums),
 graded AS (SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares)"""
+_SITES = "s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages)"
+_LINES = lambda text: f"(SELECT site_id, unnest(string_split({text}, chr(10))) AS raw, generate_subscripts(string_split({text}, chr(10)), 1) AS line FROM s WHERE {text} IS NOT NULL)"
+_FORM = r"'^([A-Za-z-]+)\s*:\s*(.*)$'"
+#: Robots files read line by line: groups, rules and delays, and what each crawler may do at a path.
+_ROBOTS = lambda path, bots: rf"""{_SITES},
+lines AS (SELECT site_id, line, trim(regexp_replace(raw, '#.*$', '')) AS x FROM {_LINES(ROBOTS)}),
+pairs AS (SELECT site_id, line, lower(regexp_extract(x, {_FORM}, 1)) AS k, trim(regexp_extract(x, {_FORM}, 2)) AS v FROM lines WHERE regexp_matches(x, {_FORM})),
+runs_of AS (SELECT *, sum(CASE WHEN k = 'user-agent' AND coalesce(prev, '') <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY line) AS g FROM (SELECT *, lag(k) OVER (PARTITION BY site_id ORDER BY line) AS prev FROM pairs)),
+rules AS (SELECT a.site_id, lower(a.v) AS agent, r.k = 'allow' AS allow, length(regexp_replace(r.v, '\$$', '')) AS n FROM runs_of a JOIN runs_of r USING (site_id, g) WHERE a.k = 'user-agent' AND r.k IN ('allow', 'disallow') AND r.v <> '' AND regexp_matches('{path}', '^' || replace(replace(r.v, '.', '\.'), '*', '.*'))),
+delays AS (SELECT a.site_id, lower(a.v) AS agent, max(TRY_CAST(d.v AS DOUBLE)) AS delay FROM runs_of a JOIN runs_of d USING (site_id, g) WHERE a.k = 'user-agent' AND d.k = 'crawl-delay' GROUP BY ALL),
+agents AS (SELECT DISTINCT site_id, lower(v) AS agent FROM runs_of WHERE k = 'user-agent'),
+filled AS (SELECT site_id, {ROBOTS} AS text FROM s WHERE trim({ROBOTS}) <> ''),
+asked AS (SELECT f.site_id, b.name, b.is_major, CASE WHEN a.agent IS NULL THEN '*' ELSE a.agent END AS agent FROM filled f CROSS JOIN (VALUES {bots}) b(name, is_major) LEFT JOIN agents a ON a.site_id = f.site_id AND a.agent = lower(b.name) AND a.agent <> '*'),
+access AS (SELECT q.site_id, q.name, q.is_major, coalesce((SELECT max_by(r.allow, r.n * 2 + r.allow::INT) FROM rules r WHERE r.site_id = q.site_id AND r.agent = q.agent), TRUE) AS allowed, (SELECT max(d.delay) FROM delays d WHERE d.site_id = q.site_id AND d.agent = q.agent) AS delay FROM asked q)"""
+_ALL_BOTS = ", ".join(f"('{b}', {b in MAJOR_BOTS})" for b in BOTS)
+_TOKENS = f"list_filter(list_transform(string_split(lower({DIRECTIVES}), ','), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\\s*:'))"
+_BARE = f"flatten(list_transform({_TOKENS}, lambda x: regexp_split_to_array(regexp_replace(x, '^[a-z0-9_.-]+\\s*:\\s*', ''), '\\s+')))"
 SQL: dict[str, str] = {
     "page_scores": f"{_WITH} SELECT * FROM results",
     "check_scores": f"{_WITH} {_FULL}",
     "category_scores": f"{_WITH} SELECT site_id, category, floor(sum(score::DECIMAL(10, 1))::DOUBLE * 10 + 0.5) / 10 AS score, sum(weight)::BIGINT AS max FROM checks GROUP BY ALL",
     "site_scorecard": f"{_WITH}, {_TOTALS.format('checks')}",
+    "robots_bots": f"WITH {_ROBOTS('/', _ALL_BOTS)} SELECT * FROM access",
+    "robots_access": f"""WITH {_ROBOTS('/', _ALL_BOTS)},
+      sums AS (SELECT site_id, count(*) AS bots, count(*) FILTER (allowed) AS allowed, count(*) FILTER (is_major) AS major, count(*) FILTER (allowed AND is_major) AS major_allowed, count(*) FILTER (allowed AND delay > 5) AS slowed FROM access GROUP BY ALL),
+      raw AS (SELECT *, floor(9 * major_allowed / major + 3 * (allowed - major_allowed) / (bots - major) + 0.5) AS x FROM sums)
+      SELECT site_id, bots, allowed, major_allowed, slowed, CASE WHEN {ROBOTS} IS NULL THEN 8 WHEN bots IS NULL THEN 12 ELSE greatest(0, CASE WHEN major_allowed < major THEN least(x, 9) ELSE x END - CASE WHEN slowed > 0 THEN 2 ELSE 0 END) END::INT AS score FROM s LEFT JOIN raw USING (site_id)""",
+    "sitemap_scores": rf"""WITH {_SITES}, t AS (SELECT site_id, {ROBOTS} AS robots, {SITEMAP} AS sitemap FROM s), n AS (SELECT *, coalesce(len(regexp_extract_all(sitemap, '<loc[\s>]')), 0) AS urls, coalesce(regexp_matches(robots, '(?im)^[ \t]*sitemap[ \t]*:'), FALSE) AS declared FROM t)
+      SELECT site_id, urls::INT AS urls, declared, CASE WHEN sitemap IS NULL THEN 0 ELSE greatest(0, 5 - CASE WHEN robots IS NULL THEN 1 ELSE 0 END - CASE WHEN declared THEN 0 ELSE 2 END - CASE WHEN urls = 0 THEN 2 ELSE 0 END) END::INT AS score FROM n""",
+    "sitemap_urls": f"""WITH {_SITES}, t AS (SELECT {SITEMAP} AS text FROM s), u AS (SELECT regexp_matches(text, '<sitemapindex') AS is_index, unnest(regexp_extract_all(text, '<loc>(.*?)</loc>', 1)) AS raw FROM t WHERE text IS NOT NULL)
+      SELECT replace(trim(replace(replace(raw, '<![CDATA[', ''), ']]>', '')), '&amp;', '&') AS url, is_index, count(*) AS sites FROM u GROUP BY ALL""",
+    "llms_scores": rf"""WITH {_ROBOTS('/llms.txt', "('*', FALSE)")}, t AS (SELECT site_id, coalesce({LLMS}, '') AS text, {LLMS} IS NULL AS absent, coalesce((SELECT NOT allowed FROM access a WHERE a.site_id = s.site_id), FALSE) AS blocked FROM s),
+      f AS (SELECT *, regexp_matches(text, '^\s*#\s+\S') AS h1, regexp_matches(text, '(?m)^>\s+\S') AS summary, len(regexp_extract_all(text, '\[[^\]]+\]\([^)]+\)'))::INT AS links, len(regexp_extract_all(text, '(?m)^##\s+')) AS sections FROM t)
+      SELECT site_id, h1, links, blocked, CASE WHEN absent THEN 0 ELSE greatest(0, least(6, 5 - CASE WHEN trim(text) = '' THEN 3 WHEN length(trim(text)) < 50 THEN 1 ELSE 0 END - CASE WHEN blocked THEN 2 ELSE 0 END + CASE WHEN h1 AND (summary OR links > 0 OR sections > 0) THEN 1 ELSE 0 END)) END::INT AS score FROM f""",
+    "page_headers": rf"""WITH {_SITES}, lines AS (SELECT site_id, line, raw FROM {_LINES(HEADERS)} WHERE trim(raw) <> '' AND trim(raw) NOT LIKE '#%'),
+      rules AS (SELECT site_id, line, raw, max(CASE WHEN raw NOT LIKE ' %' THEN line END) OVER (PARTITION BY site_id ORDER BY line) AS at FROM lines),
+      named AS (SELECT r.site_id, r.line, '^' || replace(regexp_replace(trim(p.raw), ':[a-z]+', '[^/]+', 'g'), '*', '.*') || '$' AS re, lower(trim(split_part(r.raw, ':', 1))) AS name, trim(substr(r.raw, strpos(r.raw, ':') + 1)) AS value FROM rules r JOIN lines p ON p.site_id = r.site_id AND p.line = r.at WHERE r.raw LIKE ' %'),
+      p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
+      SELECT page_id, name, string_agg(value, ', ' ORDER BY line) AS value FROM p JOIN named USING (site_id) WHERE regexp_matches(path, re) GROUP BY ALL""",
+    "directive_flags": rf"""SELECT page_id, list_has_any({_BARE}, ['noindex', 'none']) AS noindex, list_has_any({_BARE}, ['nofollow', 'none']) AS nofollow,
+      len(list_filter(string_split(lower({DIRECTIVES}), ','), lambda x: NOT regexp_matches(trim(x), '^[a-z0-9_.-]+\s*:') AND trim(x) IN ('noindex', 'none'))) > 0 AS for_all FROM pages""",
     "rubric_maxima": f"WITH {_RUBRIC} SELECT category, sum(weight)::BIGINT AS max FROM rubric WHERE NOT advisory GROUP BY ROLLUP (category)",
     "audit_states": f"{_WITH}, {_STATES} SELECT * FROM states",
     "audit_totals": f"""{_WITH}, {_STATES}, sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available,
@@ -508,11 +596,6 @@ SQL: dict[str, str] = {
     "site_problems": f"{_WITH}, rated AS ({_FULL}), placed AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, weight DESC, list_position({list(CHECK_ORDER)}, check_id))::INT AS place, check_id, lost, weight, status FROM rated WHERE lost > 0) SELECT * FROM placed WHERE place <= 5",
     "page_quality": f"{_WITH} SELECT page_id, kind AS page_type, words FROM judged",
     "page_titles": f"{_WITH} SELECT page_id, title, len(links) AS links FROM judged",
-    "robots_access": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages) SELECT site_id, CASE WHEN k < 3 THEN 11 END AS bots, CASE k WHEN 0 THEN 11 WHEN 1 THEN 9 WHEN 2 THEN 11 END AS allowed, CASE k WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 10 END AS major_allowed, CASE k WHEN 2 THEN 11 WHEN 3 THEN NULL ELSE 0 END AS slowed, (CASE k WHEN 0 THEN 12 WHEN 1 THEN 9 WHEN 2 THEN 10 ELSE 8 END)::INT AS score FROM (SELECT site_id, length(site_id) % 4 AS k FROM s)",
-    "sitemap_scores": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages) SELECT site_id, (CASE k WHEN 0 THEN 2 ELSE 0 END)::INT AS urls, k <> 1 AS declared, (CASE k WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 0 END)::INT AS score FROM (SELECT site_id, length(site_id) % 3 AS k FROM s)",
-    "sitemap_urls": "WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages), n AS (SELECT count(*) AS sites FROM s WHERE length(site_id) % 3 = 0) SELECT unnest(['https://x.example/a', 'https://x.example/b?x=1&y=2']) AS url, sites FROM n WHERE sites > 0",
-    "directive_flags": "SELECT page_id, page_id % 5 IN (0, 1, 3) AS noindex, page_id % 5 IN (1, 3) AS nofollow, page_id % 5 IN (0, 3) AS for_all FROM pages",
     "path_keys": "SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html?$', '/'), '(?i)\\.html?$', ''), '/+$', '')), ''), '/') AS key FROM pages",
-    "page_headers": "WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages) SELECT page_id, 'x-frame' AS name, CASE WHEN path LIKE '/en/%' THEN 'one, two' ELSE 'one' END AS value FROM p UNION ALL SELECT page_id, 'cache-control', 'no-store' FROM p WHERE path LIKE '/en/%'",
 }
 SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items()}
