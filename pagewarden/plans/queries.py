@@ -18,9 +18,11 @@ from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, G
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS
 from pagewarden.operators.site_checks import llms_txt_score
 from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
+from pagewarden.plans.facts import brands, llms_drafts, page_facts
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
+from pagewarden.sources.site_tree import HOSTS, hosts, page_list, predicted_answers, redirect_rules, served_roots, stacks, unknown_url_points
 from pagewarden.sources.structured_data import KINDS
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
@@ -460,6 +462,73 @@ def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(audit_states(spark, sf_dir), found)
 
 
+#: Files of a site besides its pages: name, text, and for which lengths of its name (length % k = m).
+CONFIG = (
+    ("package.json", '{"dependencies": {"astro": "1"}, "devDependencies": {"next-sitemap": "2"}}', 4, 0),
+    ("next.config.js", "", 4, 1),
+    ("wp-config.php", "", 9, 4),
+    ("vercel.json", '{"redirects": [{"source": "/en/:slug", "destination": "/fr/:slug"}, {"source": "/blog/(.*)", "destination": "/", "permanent": false}], "rewrites": [{"source": "/(.*)", "destination": "/index.html"}]}', 3, 0),
+    ("_redirects", "/old /\n# none\n/en/* /nowhere 301!\n/gone  /x 410!\n/* /index.html 404", 3, 1),
+    ("netlify.toml", '[[redirects]]\nfrom = "/de/*"\nto = "https://x.example/"\nstatus = 302\nforce = true\n', 6, 1),
+    ("CNAME", "x.example", 5, 2),
+    ("404.html", "", 2, 0),
+    (".well-known/mcp.json", "{}", 7, 3),
+    ("node_modules/a/index.html", "", 2, 1),
+)
+
+
+def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files for each site: its pages as files, and what CONFIG adds."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(site_of(F.col("url")).alias("site_id"), F.substring(url_path(), 2, 10000).alias("p"))
+    pages = pages.select("site_id", F.when((F.col("p") == "") | F.col("p").endswith("/"), F.concat("p", F.lit("index.html"))).otherwise(F.concat("p", F.lit(".html"))).alias("path"), F.lit("").alias("text")).distinct()
+    entries = F.array(*(F.when(F.length("site_id") % k == m, F.struct(F.lit(name).alias("path"), F.lit(text).alias("text"))) for name, text, k, m in CONFIG))
+    own = _sites(spark, sf_dir).select("site_id", F.inline(F.array_compact(entries)))
+    return pages.unionByName(own).withColumn("bytes", F.octet_length("text").cast("long"))
+
+
+def site_page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = site_files(spark, sf_dir)
+    return page_list(files, served_roots(files), 5)
+
+
+def site_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacks(site_files(spark, sf_dir)).select("site_id", "stack", "evidence")
+
+
+def site_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts(site_files(spark, sf_dir))
+
+
+def site_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirect_rules(site_files(spark, sf_dir)).select("site_id", "rule_no", F.col("from").alias("source"), F.col("to").alias("target"), "status", "force", "file")
+
+
+def site_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page would answer, by the redirects of its host."""
+    files = site_files(spark, sf_dir)
+    roots = served_roots(files)
+    return predicted_answers(page_list(files, roots), redirect_rules(files), files, roots)
+
+
+def unknown_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What unknown URLs of each site would get."""
+    files = site_files(spark, sf_dir)
+    return unknown_url_points(files, redirect_rules(files), stacks(files), hosts(files), served_roots(files))
+
+
+def site_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each page: those that are single values, and how many of the others."""
+    own = page_facts(with_nodes(augmented(spark, sf_dir)))
+    return own.select("page_id", "lang", "title", "description", "canonical", F.size("h1").cast("long").alias("h1s"), F.size("headings").cast("long").alias("headings"), F.size("images_without_alt").cast("long").alias("images_without_alt"), "modified", "author", F.array_join("types", ",").alias("types"))
+
+
+def llms_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of llms.txt."""
+    own = page_facts(with_nodes(augmented(spark, sf_dir)))
+    base = _sites(spark, sf_dir).withColumn("base_url", F.concat(F.lit("https://"), "site_id"))
+    return llms_drafts(own, brands(own, base), base)
+
+
 def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rubric_totals(rubric_table(spark))
 
@@ -486,7 +555,7 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
@@ -544,6 +613,27 @@ access AS (SELECT q.site_id, q.name, q.is_major, coalesce((SELECT max_by(r.allow
 _ALL_BOTS = ", ".join(f"('{b}', {b in MAJOR_BOTS})" for b in BOTS)
 _TOKENS = f"list_filter(list_transform(string_split(lower({DIRECTIVES}), ','), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\\s*:'))"
 _BARE = f"flatten(list_transform({_TOKENS}, lambda x: regexp_split_to_array(regexp_replace(x, '^[a-z0-9_.-]+\\s*:\\s*', ''), '\\s+')))"
+_TEXT = lambda t: t.replace("'", "''")
+_FILES = rf"""{_SITES},
+config AS (SELECT s.site_id, c.path, c.text FROM s JOIN (VALUES {', '.join(f"('{n}', '{_TEXT(t)}', {k}, {m})" for n, t, k, m in CONFIG)}) c(path, text, k, m) ON length(s.site_id) % c.k = c.m),
+own AS (SELECT DISTINCT site_id, p, CASE WHEN p = '' OR p LIKE '%/' THEN p || 'index.html' ELSE p || '.html' END AS path FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, substr(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/'), 2) AS p FROM pages)),
+tree AS (SELECT site_id, path FROM own UNION SELECT site_id, path FROM config)"""
+#: The folder that is served: the root where it has an index page, else the shallowest that has one.
+_SERVED = r"""indexes AS (SELECT site_id, regexp_replace(path, '/?[^/]*$', '') AS root FROM tree WHERE regexp_matches(path, '(^|/)index\.html$') AND path NOT LIKE 'node_modules/%'),
+roots AS (SELECT site_id, root FROM indexes WHERE len(string_split(root, '/')) <= 5 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN root = '' THEN 1 WHEN root IN ('public', 'site', 'www', 'docs', 'dist', 'build', 'src', 'html', '_site') THEN 2 ELSE 100 + len(string_split(root, '/')) END, root) = 1),
+listed AS (SELECT t.site_id, t.path AS file, CASE WHEN root = '' THEN path ELSE substr(path, length(root) + 2) END AS rel FROM tree t JOIN roots r ON r.site_id = t.site_id AND (root = '' OR t.path LIKE root || '/%') WHERE path LIKE '%.html' AND path NOT LIKE 'node_modules/%'),
+content AS (SELECT *, regexp_replace('/' || rel, '/index\.html$', '/') AS url_path, row_number() OVER (PARTITION BY site_id ORDER BY len(string_split(rel, '/')), CASE WHEN regexp_matches(rel, '(^|/)index\.html$') THEN 0 ELSE 1 END, rel)::INT AS place, count(*) OVER (PARTITION BY site_id) AS pages FROM listed WHERE rel <> '404.html')"""
+_REDIRECTS = r"""plain AS (SELECT site_id, 0 AS kind, line AS no, list_filter(regexp_split_to_array(trim(regexp_replace(raw, '#.*$', '')), '\s+'), lambda x: x <> '') AS p FROM (SELECT site_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM config WHERE path = '_redirects')),
+vercel AS (SELECT site_id, text FROM config WHERE path = 'vercel.json'),
+moved AS (
+  SELECT site_id, kind, no, p[1] AS source, p[2] AS target, coalesce(TRY_CAST(replace(p[3], '!', '') AS INT), 301) AS status, coalesce(p[3] LIKE '%!', FALSE) AS force, '_redirects' AS file FROM plain WHERE len(p) >= 2
+  UNION ALL SELECT site_id, 1, 1, regexp_extract(text, 'from = "([^"]*)"', 1), regexp_extract(text, 'to = "([^"]*)"', 1), regexp_extract(text, 'status = (\d+)', 1)::INT, contains(text, 'force = true'), 'netlify.toml' FROM config WHERE path = 'netlify.toml'
+  UNION ALL SELECT site_id, 2, i, json_extract_string(text, '$.rewrites[' || i || '].source'), json_extract_string(text, '$.rewrites[' || i || '].destination'), 200, FALSE, 'vercel.json' FROM vercel, range(json_array_length(text, '$.rewrites')::INT) r(i)
+  UNION ALL SELECT site_id, 3, i, json_extract_string(text, '$.redirects[' || i || '].source'), json_extract_string(text, '$.redirects[' || i || '].destination'), CASE WHEN json_extract_string(text, '$.redirects[' || i || '].permanent') = 'false' THEN 307 ELSE 308 END, TRUE, 'vercel.json' FROM vercel, range(json_array_length(text, '$.redirects')::INT) r(i)),
+numbered AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY kind, no) AS rule_no, source, target, status, force, file FROM moved)"""
+_STACK = "CASE WHEN 'wp-config.php' = ANY(names) THEN ['wordpress', 'wp-config.php'] WHEN 'next.config.js' = ANY(names) THEN ['nextjs', 'next.config.js'] WHEN 'package.json' = ANY(names) THEN ['astro', 'astro in package.json'] ELSE ['static-html', 'plain HTML files'] END"
+_HOST = "CASE " + " ".join(f"WHEN '{f}' = ANY(names) THEN ['{h}', '{f}']" for h, f in HOSTS) + " END"
+_NAMES = "named_files AS (SELECT site_id, list(path) AS names FROM tree GROUP BY site_id)"
 SQL: dict[str, str] = {
     "page_scores": f"{_WITH} SELECT * FROM results",
     "check_scores": f"{_WITH} {_FULL}",
@@ -568,6 +658,22 @@ SQL: dict[str, str] = {
       SELECT page_id, name, string_agg(value, ', ' ORDER BY line) AS value FROM p JOIN named USING (site_id) WHERE regexp_matches(path, re) GROUP BY ALL""",
     "directive_flags": rf"""SELECT page_id, list_has_any({_BARE}, ['noindex', 'none']) AS noindex, list_has_any({_BARE}, ['nofollow', 'none']) AS nofollow,
       len(list_filter(string_split(lower({DIRECTIVES}), ','), lambda x: NOT regexp_matches(trim(x), '^[a-z0-9_.-]+\s*:') AND trim(x) IN ('noindex', 'none'))) > 0 AS for_all FROM pages""",
+    "site_page_lists": f"WITH {_FILES}, {_SERVED} SELECT site_id, file, url_path, place, pages FROM content WHERE place <= 5",
+    "site_stacks": f"WITH {_FILES}, {_NAMES} SELECT site_id, {_STACK}[1] AS stack, {_STACK}[2] AS evidence FROM named_files",
+    "site_hosts": f"WITH {_FILES}, {_NAMES} SELECT site_id, {_HOST}[1] AS host, {_HOST}[2] AS evidence FROM named_files WHERE {_HOST} IS NOT NULL",
+    "site_redirects": f"WITH {_FILES}, {_REDIRECTS} SELECT * FROM numbered",
+    "site_answers": rf"""WITH {_FILES}, {_SERVED}, {_REDIRECTS},
+      firm AS (SELECT *, '^' || replace(regexp_replace(replace(source, '(.*)', '*'), ':[a-z]+', '[^/]+', 'g'), '*', '.*') || '/?$' AS re FROM numbered WHERE status <> 200 AND (force OR file = 'vercel.json')),
+      met AS (SELECT c.site_id, c.url_path, f.status, f.target FROM content c JOIN firm f ON f.site_id = c.site_id AND regexp_matches(c.url_path, f.re) WHERE place <= 500 QUALIFY row_number() OVER (PARTITION BY c.site_id, c.url_path ORDER BY rule_no) = 1),
+      aimed AS (SELECT m.*, root || CASE WHEN t LIKE '%/' THEN t || 'index.html' ELSE t END AS want, t FROM (SELECT *, regexp_replace(target, ':splat|:[a-z]+', '', 'g') AS t FROM met) m JOIN roots USING (site_id)),
+      told AS (SELECT a.*, EXISTS (SELECT 1 FROM tree f WHERE f.site_id = a.site_id AND ('/' || f.path = a.want OR '/' || f.path = a.want || '.html' OR '/' || f.path = a.want || '/index.html' OR f.path = a.want)) AS there FROM aimed a),
+      said AS (SELECT c.site_id, c.url_path, CASE WHEN t.status IS NULL THEN 200 WHEN t.status >= 400 OR t.target LIKE 'http%' THEN t.status WHEN t.there THEN 200 ELSE 404 END AS status FROM content c LEFT JOIN told t USING (site_id, url_path) WHERE place <= 500)
+      SELECT site_id, url_path, status, status < 400 AS ok FROM said""",
+    "unknown_urls": f"""WITH {_FILES}, {_NAMES}, {_REDIRECTS}, caught AS (SELECT site_id, min_by(status, rule_no) AS status FROM numbered WHERE source IN ('/*', '/(.*)') GROUP BY site_id),
+      p AS (SELECT n.site_id, CASE WHEN c.status IN (404, 410) THEN 1.0 WHEN c.status IS NOT NULL THEN 0.0 WHEN '404.html' = ANY(names) THEN 1.0 WHEN {_STACK}[1] = 'nextjs' THEN 1.0 WHEN {_HOST}[1] IN ('netlify', 'vercel', 'github-pages', 'firebase') THEN 1.0 ELSE 0.5 END::DOUBLE AS point FROM named_files n LEFT JOIN caught c USING (site_id))
+      SELECT site_id, point, point = 0.5 AS inconclusive FROM p""",
+    "site_page_facts": f"""{_WITH} SELECT page_id, nullif(lang, '') AS lang, nullif(title, '') AS title, CASE WHEN regexp_matches(h, '(?i)<meta name="description"') THEN {_plain('description')} END AS description, canonicals[1] AS canonical, ones::BIGINT AS h1s, len(heads)::BIGINT AS headings,
+      len(list_filter(images, lambda x: trim({_ATTR('x', 'alt')}) = ''))::BIGINT AS images_without_alt, nullif({_content('property', 'article:modified_time')}, '') AS modified, nullif({_content('name', 'author')}, '') AS author, array_to_string(flatten(list_transform(nodes, lambda x: CASE WHEN x.t = 'FAQPage' THEN [x.t, 'Question'] ELSE [x.t] END)), ',') AS types FROM counted""",
     "rubric_maxima": f"WITH {_RUBRIC} SELECT category, sum(weight)::BIGINT AS max FROM rubric WHERE NOT advisory GROUP BY ROLLUP (category)",
     "audit_states": f"{_WITH}, {_STATES} SELECT * FROM states",
     "audit_totals": f"""{_WITH}, {_STATES}, sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available,
