@@ -102,14 +102,14 @@ def noindex_for_all(value: Column) -> Column:
 
 
 def excluded_pages(pages: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """(site_id, page_id): pages kept out of search on purpose, from (site_id, page_id, url_path, robots_meta).
+    """(site_id, page_id): pages kept out of search on purpose, from (site_id, page_id, url_path, noindex_for_all).
 
-    They say noindex to all crawlers, are not the homepage and not in the site's sitemap. A site that
+    They say noindex to all crawlers, in a meta tag or a header, are not the homepage and not in the site's sitemap. A site that
     has one page, or would lose all, loses none.
     """
     listed = sitemap_locs(sitemaps).filter("not is_index").select("site_id", path_key(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)).alias("key")).distinct().withColumn("listed", F.lit(True))
     rows = pages.withColumn("key", path_key(F.col("url_path"))).join(listed, ["site_id", "key"], "left")
-    meant = rows.withColumn("out", noindex_for_all(F.col("robots_meta")) & (F.col("key") != "/") & F.col("listed").isNull())
+    meant = rows.withColumn("out", F.col("noindex_for_all") & (F.col("key") != "/") & F.col("listed").isNull())
     counts = meant.groupBy("site_id").agg(F.count("*").alias("pages"), F.count_if("out").alias("outs"))
     return meant.filter("out").join(counts, "site_id").filter("pages > 1 and outs < pages").select("site_id", "page_id")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions.nodes import below, first, having, nodes, text_content, visible_text
 from pagewarden.functions.text import SPACE, collapsed, rounded, trimmed, words
-from pagewarden.operators.access import directives
+from pagewarden.operators.access import directives, noindex_for_all
 from pagewarden.operators.checks import PAGE_CHECKS, Check, _bands, _classed, _if, _less, _resolved, _url_key, title
 from pagewarden.sources.structured_data import ARTICLES, ORGANIZATIONS
 
@@ -98,18 +98,19 @@ def soft_404() -> Column:
     return signs >= 2
 
 
-def robots_meta() -> Column:
-    """All directives for crawlers in the page's meta tags, comma-joined; an agent's own tag has its name before them."""
+def robots_state() -> Column:
+    """struct(noindex, nofollow, for_all) of a page: by meta tags of crawlers (names with 'bot') and by its X-Robots-Tag headers.
 
-    def said(n: Column) -> Column:
-        name, value = F.lower(n["attrs"]["name"]), F.coalesce(n["attrs"]["content"], F.lit(""))
-        return F.when(name == "robots", value).otherwise(F.array_join(F.transform(F.split(value, ","), lambda p: F.concat(name, F.lit(": "), p)), ","))
-
-    return F.array_join(F.transform(having("meta", also=lambda n: F.lower(n["attrs"]["name"]).isin(*ROBOTS_NAMES)), said), ",")
+    for_all: every crawler is told noindex, by the tag named robots or by a header without an agent.
+    """
+    name = lambda n: F.lower(trimmed(F.coalesce(n["attrs"]["name"], F.lit(""))))
+    tags = F.transform(having("meta", also=lambda n: name(n).contains("bot")), lambda n: F.struct(directives(n["attrs"]["content"]).alias("d"), (name(n) == "robots").alias("all")))
+    sent = F.transform(F.coalesce(F.col("robots_header"), F.array().cast("array<string>")), lambda v: F.struct(directives(v).alias("d"), noindex_for_all(v).alias("all")))
+    said = F.concat(F.coalesce(tags, F.array().cast(TAGS)), sent)
+    return F.struct(F.exists(said, lambda x: x["d"]["noindex"]).alias("noindex"), F.exists(said, lambda x: x["d"]["nofollow"]).alias("nofollow"), F.exists(said, lambda x: x["d"]["noindex"] & x["all"]).alias("for_all"))
 
 
-#: Names of meta tags with directives.
-ROBOTS_NAMES = ("robots", "googlebot", "bingbot")
+TAGS = "array<struct<d:struct<noindex:boolean,nofollow:boolean>,all:boolean>>"
 
 
 def indexability_score() -> Column:
@@ -131,7 +132,7 @@ def indexability_score() -> Column:
         .when(_url_key(there) == _url_key(F.col("url")), F.lit(0.0))
         .otherwise(F.lit(2.0))
     )
-    said = directives(robots_meta())
+    said = robots_state()
     critical = said["noindex"] | soft_404() | F.coalesce(elsewhere, F.lit(False))
     return F.when(critical, F.lit(0.0)).otherwise(_less(8, cost, _if(said["nofollow"], 2)))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
 from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
-from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS, robots_state
 from pagewarden.operators.site_checks import llms_txt_score
 from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
 from pagewarden.plans.facts import brands, llms_drafts, page_facts
@@ -65,9 +65,13 @@ AUGMENTED = (
 )
 
 
+#: What pages are sent with as X-Robots-Tag.
+ROBOTS_HEADER = "CASE page_id % 19 WHEN 4 THEN 'noindex' WHEN 7 THEN 'otherbot: noindex' WHEN 9 THEN 'nofollow' END"
+
+
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table with tags added."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.expr(AUGMENTED))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({"html": F.expr(AUGMENTED), "robots_header": F.array_compact(F.array(F.expr(ROBOTS_HEADER)))})
 
 
 def _in(values) -> str:
@@ -112,9 +116,9 @@ _FIELD = lambda x: f"len(list_filter(regexp_split_to_array(lower(regexp_replace(
 
 #: Scores per page, read from the HTML.
 _PAGES = rf"""
-page§ AS (SELECT page_id, url, §html AS h FROM pages),
+page§ AS (SELECT page_id, url, §html AS h, §header AS sent_header FROM pages),
 raw§ AS (
-  SELECT page_id, url, h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id,
+  SELECT page_id, url, h, sent_header, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id,
     lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/')) AS path,
     trim(regexp_replace({_plain("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title,
     regexp_extract(h, '<html lang="([^"]*)"', 1) AS lang,
@@ -126,7 +130,7 @@ raw§ AS (
     {_either('twitter:card', 'name', 'property')} AS tw_card, {_either('twitter:title', 'name', 'property')} AS tw_title, {_either('twitter:description', 'name', 'property')} AS tw_description, {_either('twitter:image', 'name', 'property')} AS tw_image,
     regexp_extract(h, '(?i)<meta name="description" content="([^"]*)"', 1) AS description,
     regexp_matches(h, '<meta name="viewport"') AS sized, string_split_regex(regexp_extract(h, '<meta name="viewport" content="([^"]*)"', 1), '[,;]') AS settings,
-    list_transform(regexp_extract_all(h, '(?i)<meta name="(?:robots|googlebot|bingbot)" content="[^"]*"'), lambda m: lower(regexp_extract(m, 'content="([^"]*)"', 1))) AS said
+    list_transform(regexp_extract_all(h, '(?i)<meta name="(?:robots|googlebot|bingbot)" content="[^"]*"'), lambda m: lower(regexp_extract(m, 'content="([^"]*)"', 1))) || [coalesce(sent_header, '')] AS said
   FROM page§),
 facts§ AS (
   SELECT *, length(title) AS n, string_split(title, ' ') AS tokens, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments,
@@ -236,12 +240,12 @@ checks§ AS (
 """
 
 
-def _pages_sql(html: str, name: str = "") -> str:
+def _pages_sql(html: str, header: str = "NULL::VARCHAR", name: str = "") -> str:
     """Scores of pages with this HTML; name: what the tables' names end in."""
-    return _PAGES.replace("§html", html).replace("§", name)
+    return _PAGES.replace("§html", html).replace("§header", header).replace("§", name)
 
 
-SQL_PAGES = _pages_sql(AUGMENTED)
+SQL_PAGES = _pages_sql(AUGMENTED, ROBOTS_HEADER)
 _FULL = "SELECT *, CASE WHEN score / weight * 100 >= 80 THEN 'pass' WHEN score / weight * 100 >= 50 THEN 'warning' ELSE 'fail' END AS status, floor((weight - score) * 10 + 0.5) / 10 AS lost FROM checks"
 
 
@@ -387,8 +391,8 @@ def llms_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noindex_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages kept out of search on purpose, by their robots meta."""
-    pages = with_nodes(augmented(spark, sf_dir)).select("site_id", "page_id", url_path().alias("url_path"), F.expr("try_element_at(filter(nodes, n -> n.tag = 'meta' and n.attrs['name'] = 'robots'), 1).attrs['content']").alias("robots_meta"))
+    """Pages kept out of search on purpose, by their robots meta and headers."""
+    pages = with_nodes(augmented(spark, sf_dir)).select("site_id", "page_id", url_path().alias("url_path"), robots_state()["for_all"].alias("noindex_for_all"))
     listed = pages.filter("page_id % 8 = 3").groupBy("site_id").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<loc>https://h"), "url_path", F.lit("</loc>")))).alias("text"))
     return excluded_pages(pages, listed)
 
@@ -563,8 +567,8 @@ _WITH = f"WITH {SQL_PAGES}"
 _KEY = lambda p: f"coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '[?#].*$', ''), '(?i)/index\\\\.html?$', '/'), '(?i)\\\\.html?$', ''), '/+$', '')), ''), '/')"
 #: Pages kept out of search on purpose: noindex for all in their robots meta, no homepage, not in the sitemap.
 _OUT = f"""
-keyed AS (SELECT site_id, page_id, {_KEY('path')} AS key, regexp_extract(h, '<meta name="robots" content="([^"]*)"', 1) AS meant FROM raw),
-wanted AS (SELECT k.*, len(list_filter(string_split(lower(meant), ','), lambda x: NOT regexp_matches(trim(x), '^[a-z0-9_.-]+\\s*:') AND trim(x) IN ('noindex', 'none'))) > 0 AND key <> '/'
+keyed AS (SELECT site_id, page_id, {_KEY('path')} AS key, regexp_extract(h, '(?i)<meta name="robots" content="([^"]*)"', 1) AS meant, coalesce(sent_header, '') AS sent_with FROM raw),
+wanted AS (SELECT k.*, (len(list_filter(string_split(lower(meant), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0 OR len(list_filter(string_split(lower(sent_with), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0) AND key <> '/'
     AND NOT EXISTS (SELECT 1 FROM keyed l WHERE l.site_id = k.site_id AND l.key = k.key AND l.page_id % 8 = 3) AS out FROM keyed k),
 left_out AS (SELECT site_id, page_id FROM wanted w WHERE out AND (SELECT count(*) FROM wanted o WHERE o.site_id = w.site_id) > 1 AND EXISTS (SELECT 1 FROM wanted o WHERE o.site_id = w.site_id AND NOT o.out))"""
 _TOTALS = """sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, max(pages) AS pages FROM {} GROUP BY ALL),
@@ -697,7 +701,7 @@ SQL: dict[str, str] = {
       kept AS (SELECT r.site_id, r.check_id, r.weight, r.score FROM results r ANTI JOIN left_out o USING (site_id, page_id)),
       means AS (SELECT site_id, check_id, weight, floor(sum(score) / count(*) * 10 + 0.5) / 10 AS score, count(*) AS pages FROM kept GROUP BY ALL), {_TOTALS.format('means')}""",
     "score_changes": f"""{_WITH},
-      {_pages_sql('html', '_bare')}
+      {_pages_sql('html', name='_bare')}
       SELECT site_id, check_id, b.score AS score_before, a.score AS score_after, floor((coalesce(a.score, 0) - coalesce(b.score, 0)) * 10 + 0.5) / 10 AS gained FROM checks_bare b FULL JOIN checks a USING (site_id, check_id)""",
     "site_problems": f"{_WITH}, rated AS ({_FULL}), placed AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, weight DESC, list_position({list(CHECK_ORDER)}, check_id))::INT AS place, check_id, lost, weight, status FROM rated WHERE lost > 0) SELECT * FROM placed WHERE place <= 5",
     "page_quality": f"{_WITH} SELECT page_id, kind AS page_type, words FROM judged",

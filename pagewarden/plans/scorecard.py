@@ -39,9 +39,13 @@ def site_of(url: Column) -> Column:
 
 
 def with_nodes(pages: DataFrame, author: bool = False) -> DataFrame:
-    """site_id, page_id, url, nodes (and author); the parse in a projection of its own."""
-    own = pages.select(site_of(F.col("url")).alias("site_id"), "page_id", "url", (parsed_page(F.col("html"), F.col("url")) if author else parsed(F.col("html"))).alias("nodes"))
-    return own.select("site_id", "page_id", "url", "nodes.nodes", "nodes.author") if author else own
+    """site_id, page_id, url, robots_header, nodes (and author); the parse in a projection of its own.
+
+    robots_header: the values of X-Robots-Tag that a page is sent with, where the pages have such a column.
+    """
+    sent = F.col("robots_header") if "robots_header" in pages.columns else F.lit(None)
+    own = pages.select(site_of(F.col("url")).alias("site_id"), "page_id", "url", sent.cast("array<string>").alias("robots_header"), (parsed_page(F.col("html"), F.col("url")) if author else parsed(F.col("html"))).alias("nodes"))
+    return own.select("site_id", "page_id", "url", "robots_header", "nodes.nodes", "nodes.author") if author else own
 
 
 def status(score: Column, weight: Column) -> Column:
