@@ -33,19 +33,27 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: x["text"]), "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda would compute it again for each element it meets."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_content(n: Column) -> Column:
     """All text below a node, scripts included."""
-    return _joined(F.filter(below(n), lambda x: x["tag"] == "#text"))
+    return bound(n, lambda m: _joined(F.filter(below(m), lambda x: x["tag"] == "#text")))
 
 
 def visible_text(n: Column, skip_boilerplate: bool = False) -> Column:
     """Text below a node that is not hidden there, with line ends after blocks."""
 
-    def seen(x: Column) -> Column:
-        keep = x["tag"].isin("#text", "#break") & (x["hidden_by"] <= n["id"])
-        return keep & (x["boiler"] <= n["id"]) if skip_boilerplate else keep
+    def said(m: Column) -> Column:
+        def seen(x: Column) -> Column:
+            keep = x["tag"].isin("#text", "#break") & (x["hidden_by"] <= m["id"])
+            return keep & (x["boiler"] <= m["id"]) if skip_boilerplate else keep
+
+        return _joined(F.filter(below(m), seen))
 
-    return _joined(F.filter(below(n), seen))
+    return bound(n, said)
 
 
 def meta(name: str) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.functions.nodes import first, having, meta, nodes, text_content, visible_text
+from pagewarden.functions.nodes import bound, first, having, meta, nodes, text_content, visible_text
 from pagewarden.functions.text import SPACE, collapsed, rounded, trimmed, units, words
 from pagewarden.sources.structured_data import structured_data
 
@@ -373,7 +373,9 @@ def accessibility_score() -> Column:
     kind = lambda n: F.lower(F.coalesce(n["attrs"]["type"], F.lit("")))
     inputs = having("input", "textarea", "select", also=lambda n: (n["tag"] != "input") | ~kind(n).isin("hidden", "submit", "button", "reset", "image"))
     some = lambda n, k: F.coalesce(n["attrs"][k] != "", F.lit(False))
-    named = F.filter(inputs, lambda n: (some(n, "id") & F.coalesce(F.array_contains(targets, n["attrs"]["id"]), F.lit(False))) | some(n, "aria-label") | some(n, "aria-labelledby") | F.exists(labels, lambda b: (b["id"] < n["id"]) & (n["id"] <= b["end"])))
+    inside = lambda n, around: F.exists(around, lambda b: (b["id"] < n["id"]) & (n["id"] <= b["end"]))
+    good = lambda n, around, ids: (some(n, "id") & F.coalesce(F.array_contains(ids, n["attrs"]["id"]), F.lit(False))) | some(n, "aria-label") | some(n, "aria-labelledby") | inside(n, around)
+    named = bound(labels, lambda around: bound(targets, lambda ids: F.filter(inputs, lambda n: good(n, around, ids))))
     share = rounded(F.size(named) / F.nullif(F.size(inputs), F.lit(0)) * 100)
     few = F.size(having("main", "nav", "article", "section", "aside", "header", "footer", "figure", "figcaption")) < 5
     return rounded(_less(4, _if(~main, 1.75), _if(~nav, 0.75), _if(F.coalesce(share < 50, F.lit(False)), 0.75), _if(few & ~main, 0.75)), 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewarden.functions.nodes import below, first, having, nodes, text_content, visible_text
+from pagewarden.functions.nodes import below, bound, first, having, nodes, text_content, visible_text
 from pagewarden.functions.text import SPACE, collapsed, rounded, trimmed, words
 from pagewarden.operators.access import directives, noindex_for_all
 from pagewarden.operators.checks import PAGE_CHECKS, Check, _bands, _classed, _if, _less, _resolved, _url_key, title
@@ -90,9 +90,9 @@ def soft_404() -> Column:
     mains = F.filter(nodes(), lambda n: n["tag"].isin("main", "article") | F.coalesce(n["attrs"]["role"] == "main", F.lit(False)) | _classed(n, "content") | F.coalesce(n["attrs"]["id"] == "content", F.lit(False)))
     body = first(having("body"))
     skipped = F.filter(nodes(), lambda n: n["tag"].isin("nav", "footer", "header", "aside", "script", "style", "template", "noscript", "head", "title") | _veiled(n))
-    texts = F.filter(below(body), lambda n: (n["tag"] == "#text") & ~_inside(n, skipped))
+    texts = bound(skipped, lambda s: bound(body, lambda b: F.filter(below(b), lambda n: (n["tag"] == "#text") & ~_inside(n, s))))
     rest = F.size(words(F.array_join(F.transform(texts, lambda n: n["text"]), " ")))
-    n_words = F.when(F.size(mains) > 0, F.size(words(visible_text(first(mains))))).otherwise(rest)
+    n_words = bound(first(mains), lambda m: F.when(m.isNotNull(), F.size(words(visible_text(m)))).otherwise(rest))
     opening = F.substring(F.lower(collapsed(F.coalesce(visible_text(body), F.lit("")))), 1, 1000)
     signs = _ints(F.lower(title()).rlike(ERROR_TITLES)) + _ints(F.coalesce(n_words, F.lit(0)) < 200) + _ints(opening.rlike(ERROR_BODIES))
     return signs >= 2
@@ -147,7 +147,7 @@ def server_rendered_score() -> Column:
     Hidden text counts as sent.
     """
     skipped = having("script", "style", "noscript", "template", "svg")
-    texts = F.filter(below(first(having("body"))), lambda n: (n["tag"] == "#text") & ~_inside(n, skipped))
+    texts = bound(skipped, lambda s: bound(first(having("body")), lambda b: F.filter(below(b), lambda n: (n["tag"] == "#text") & ~_inside(n, s))))
     sent = F.coalesce(F.size(words(F.array_join(F.transform(texts, lambda n: n["text"]), " "))), F.lit(0))
     empty = lambda n: trimmed(text_content(n)) == ""
     rooted = F.exists(nodes(), lambda n: (F.coalesce(n["attrs"]["id"].isin(*APP_ROOTS), F.lit(False)) | n["attrs"]["data-reactroot"].isNotNull()) & empty(n))
@@ -189,10 +189,10 @@ def controls_score() -> Column:
     hidden = F.filter(nodes(), _veiled)
 
     def tested(test: Callable[[Column], Column]) -> Column:
-        return F.filter(nodes(), lambda n: ~n["tag"].startswith("#") & F.coalesce(test(n), F.lit(False)) & ~_inside(n, hidden))
+        return bound(hidden, lambda h: F.filter(nodes(), lambda n: ~n["tag"].startswith("#") & F.coalesce(test(n), F.lit(False)) & ~_inside(n, h)))
 
     def point(found: Column, good: Callable[[Column], Column]) -> Column:
-        share = rounded(F.size(F.filter(found, good)) / F.nullif(F.size(found), F.lit(0)) * 100)
+        share = bound(found, lambda f: rounded(F.size(F.filter(f, good)) / F.nullif(F.size(f), F.lit(0)) * 100))
         return _if(F.coalesce(share >= 90, F.lit(True)), 1)
 
     role = lambda n: F.coalesce(n["attrs"]["role"], F.lit(""))

@@ -38,11 +38,23 @@ def site_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
+#: Bytes of input up to which pages are dealt to all cores before they are parsed.
+SMALL_INPUT = 256 << 20
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """A small table dealt out evenly, as its file may be one split; a large one has more splits than cores and is left as it is."""
+    if int(pages._jdf.queryExecution().analyzed().stats().sizeInBytes()) > SMALL_INPUT:
+        return pages
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_nodes(pages: DataFrame, author: bool = False) -> DataFrame:
     """site_id, page_id, url, robots_header, nodes (and author); the parse in a projection of its own.
 
     robots_header: the values of X-Robots-Tag that a page is sent with, where the pages have such a column.
     """
+    pages = spread(pages)
     sent = F.col("robots_header") if "robots_header" in pages.columns else F.lit(None)
     own = pages.select(site_of(F.col("url")).alias("site_id"), "page_id", "url", sent.cast("array<string>").alias("robots_header"), (parsed_page(F.col("html"), F.col("url")) if author else parsed(F.col("html"))).alias("nodes"))
     return own.select("site_id", "page_id", "url", "robots_header", "nodes.nodes", "nodes.author") if author else own
@@ -64,7 +76,7 @@ def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS) ->
     """site_id, page_id, check_id, category, weight, score: one row per page and check."""
     nodes = with_facts(with_nodes(pages, author=any(c.id == "content.author" for c in checks)))
     entries = F.array(*(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), F.coalesce(F.least(F.greatest(F.floor(c.score()), F.lit(0)), F.lit(c.weight)), F.lit(0)).cast("int").alias("score")) for c in checks))
-    return nodes.select("site_id", "page_id", entries.alias("entries")).select("site_id", "page_id", F.inline("entries"))
+    return nodes.select("site_id", "page_id", F.inline(entries))  # in one step: of a column, its size would be asked in a filter, and all scores computed again
 
 
 def excluding(results: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,31 +169,41 @@ def parse(html: str | None) -> list[dict] | None:
     return _Page(html).parse()
 
 
-_KEYS = ("id", "parent", "end", "tag", "attrs", "line", "text", "hidden_by", "boiler", "nav")
-
-
-def _rows(nodes: list[dict] | None) -> list[dict] | None:
-    return None if nodes is None else [{k: x[k] for k in _KEYS} for x in nodes]
+def node_arrays(pages: list[list[dict] | None]) -> pa.Array:
+    """Pages of nodes as one Arrow array of lists, built field by field."""
+    ends = np.cumsum([0, *(0 if p is None else len(p) for p in pages)])
+    flat = [n for p in pages if p is not None for n in p]
+    whole = lambda key, kind: pa.array([n[key] for n in flat], kind)
+    keys = [k for n in flat for k in n["attrs"]]
+    values = [v for n in flat for v in n["attrs"].values()]
+    sizes = np.cumsum([0, *(len(n["attrs"]) for n in flat)])
+    attrs = pa.MapArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+    names = [x.split(":")[0] for x in NODE.removeprefix("struct<").replace("map<string,string>", "map").rstrip(">").split(",")]
+    kinds = {"tag": pa.string(), "text": pa.string(), "nav": pa.bool_()}
+    fields = [attrs if k == "attrs" else whole(k, kinds.get(k, pa.int32())) for k in names]
+    nodes = pa.StructArray.from_arrays(fields, names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes, mask=pa.array([p is None for p in pages], pa.bool_()))
 
 
 def parsed(html: Column) -> Column:
     """HTML to its nodes; select it once, in a projection of its own."""
 
-    def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in pages:
-            yield pd.Series([_rows(parse(x)) for x in batch], dtype=object)
+    def run(pages: pa.Array) -> pa.Array:
+        return node_arrays([parse(x) for x in pages.to_pylist()])
 
-    run.__annotations__ = {"pages": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, f"array<{NODE}>")(html)
+    return F.arrow_udf(run, f"array<{NODE}>")(html)
 
 
 def parsed_page(html: Column, url: Column) -> Column:
     """struct(nodes, author): as `parsed`, and who wrote the page."""
 
-    def run(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for htmls, urls in pages:
-            found = [parse(x) for x in htmls]
-            yield pd.DataFrame({"nodes": pd.Series([_rows(n) for n in found], dtype=object), "author": pd.Series([author_facts(n, u) for n, u in zip(found, urls)], dtype=object)})
+    def run(pages: pa.Array, urls: pa.Array) -> pa.Array:
+        found = [parse(x) for x in pages.to_pylist()]
+        facts = [author_facts(n, u) for n, u in zip(found, urls.to_pylist())]
+        text, flag = pa.string(), pa.bool_()
+        kinds = {"name": text, "method": text, "expertise": text, "trust": pa.list_(text)}
+        names = [x.split(":")[0] for x in AUTHOR.removeprefix("struct<").rstrip(">").split(",")]
+        author = pa.StructArray.from_arrays([pa.array([f[k] for f in facts], kinds.get(k, flag)) for k in names], names)
+        return pa.StructArray.from_arrays([node_arrays(found), author], ["nodes", "author"])
 
-    run.__annotations__ = {"pages": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, f"struct<nodes:array<{NODE}>,author:{AUTHOR}>")(html, url)
+    return F.arrow_udf(run, f"struct<nodes:array<{NODE}>,author:{AUTHOR}>")(html, url)

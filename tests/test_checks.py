@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from pagewarden.operators.access import MAJOR_BOTS, bot_access, bot_crawlability, excluded_pages, sitemap_score
+from pagewarden.operators.access import MAJOR_BOTS, bot_access, bot_crawlability, excluded_pages, noindex_for_all, sitemap_score
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS as PAGE_CHECKS
 from pagewarden.plans.scorecard import category_summary, check_summary, page_results, site_summary
 
@@ -105,6 +106,6 @@ def test_robots(spark):
 def test_sitemaps_and_exclusion(spark):
     sites = spark.createDataFrame([("a", "Sitemap: /s", "<urlset><loc>x</loc></urlset>"), ("b", None, "<urlset/>"), ("c", "x", None)], "site_id string, robots string, sitemap string")
     assert {r["site_id"]: r["score"] for r in sitemap_score(sites).collect()} == {"a": 5, "b": 0, "c": 0}
-    pages = spark.createDataFrame([("s", 1, "/", "noindex"), ("s", 2, "/p.html", "noindex"), ("s", 3, "/q/", "noindex"), ("s", 4, "/r", "googlebot: noindex"), ("t", 5, "/x", "none"), ("u", 6, "/x", "none"), ("u", 7, "/y", "none")], "site_id string, page_id int, url_path string, robots_meta string")
+    pages = spark.createDataFrame([("s", 1, "/", "noindex"), ("s", 2, "/p.html", "noindex"), ("s", 3, "/q/", "noindex"), ("s", 4, "/r", "googlebot: noindex"), ("t", 5, "/x", "none"), ("u", 6, "/x", "none"), ("u", 7, "/y", "none")], "site_id string, page_id int, url_path string, robots_meta string").withColumn("noindex_for_all", noindex_for_all(F.col("robots_meta")))
     maps = spark.createDataFrame([("s", "<urlset><loc>https://h/q</loc></urlset>")], "site_id string, text string")
     assert {r["page_id"] for r in excluded_pages(pages, maps).collect()} == {2}
