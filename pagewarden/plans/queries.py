@@ -17,12 +17,12 @@ from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawla
 from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS, robots_state
 from pagewarden.operators.site_checks import llms_txt_score
-from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
+from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, page_runs, payloads, reports, rubric_table, rubric_totals, site_runs, site_totals
 from pagewarden.plans.facts import brands, llms_drafts, page_facts
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
-from pagewarden.sources.site_tree import HOSTS, hosts, page_list, predicted_answers, redirect_rules, served_roots, stacks, unknown_url_points
+from pagewarden.sources.site_tree import HOSTS, hosts, http_behaviour, page_list, predicted_answers, redirect_rules, served_roots, stacks, unknown_url_points
 from pagewarden.sources.structured_data import KINDS
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
@@ -533,6 +533,26 @@ def llms_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llms_drafts(own, brands(own, base), base)
 
 
+def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each site would answer: unknown URLs, its pages, and pages that headers keep out of search."""
+    files = site_files(spark, sf_dir)
+    roots, rules = served_roots(files), redirect_rules(files)
+    pages = page_list(files, roots)
+    sent = headers_for(pages.withColumn("page_id", F.col("url_path")), header_rules(_sites(spark, sf_dir).withColumn("text", F.expr(HEADERS))), header_pattern_regex(F.col("pattern")))
+    kept_out = sent.filter((F.col("name") == "x-robots-tag") & F.exists("values", lambda v: directives(v)["noindex"])).select("site_id", F.col("page_id").alias("url_path"))
+    return http_behaviour(predicted_answers(pages, rules, files, roots), kept_out, unknown_url_points(files, rules, stacks(files), hosts(files), roots))
+
+
+def whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over the page checks and the checks of whole sites that files and headers can answer; the others are skipped."""
+    runs = page_runs(page_scores(spark, sf_dir))
+    own = {"ai-access.bot-crawlability": robots_access, "ai-access.llms-txt": llms_scores, "crawlability.sitemap": sitemap_scores, "crawlability.http-behavior": http_scores}
+    for check, scores in own.items():
+        runs = runs.unionByName(site_runs(check, scores(spark, sf_dir)))
+    sites = _sites(spark, sf_dir).withColumn("mode", F.lit("full"))
+    return site_totals(check_states(runs, rubric_table(spark), noindex_pages(spark, sf_dir), sites))
+
+
 def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rubric_totals(rubric_table(spark))
 
@@ -559,7 +579,7 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts, http_scores, whole_audit)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
@@ -709,3 +729,11 @@ SQL: dict[str, str] = {
     "path_keys": "SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '(?i)/index\\.html?$', '/'), '(?i)\\.html?$', ''), '/+$', '')), ''), '/') AS key FROM pages",
 }
 SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items()}
+SQL["http_scores"] = f"""WITH fine AS (SELECT site_id, count(*) FILTER (ok) / count(*) AS share FROM ({SQL["site_answers"]}) GROUP BY site_id)
+SELECT site_id, point + coalesce(share, 1) + 1 AS score, inconclusive FROM ({SQL["unknown_urls"]}) LEFT JOIN fine USING (site_id)"""
+_SITE_SCORES = " UNION ALL ".join(f"SELECT site_id, '{c}' AS check_id, {w} AS weight, least({w}, floor(score)) AS score FROM ({SQL[q]})" for c, w, q in (("ai-access.bot-crawlability", 12, "robots_access"), ("ai-access.llms-txt", 6, "llms_scores"), ("crawlability.sitemap", 5, "sitemap_scores"), ("crawlability.http-behavior", 3, "http_scores")))
+SQL["whole_audit"] = f"""{_WITH}, {_OUT}, all_checks AS (
+  SELECT r.site_id, r.check_id, r.weight, floor(sum(r.score) / count(*) * 10 + 0.5) / 10 AS score FROM results r ANTI JOIN left_out o USING (site_id, page_id) GROUP BY ALL UNION ALL {_SITE_SCORES}),
+sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, 0::BIGINT AS na_weight, 133 - sum(weight)::BIGINT AS skipped_weight FROM all_checks GROUP BY site_id),
+shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
+SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
