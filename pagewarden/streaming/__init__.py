@@ -1 +1 @@
-"""streaming of the engine."""
+"""Audits of pages as they arrive, with Structured Streaming."""
