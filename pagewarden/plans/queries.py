@@ -737,3 +737,16 @@ SQL["whole_audit"] = f"""{_WITH}, {_OUT}, all_checks AS (
 sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, 0::BIGINT AS na_weight, 133 - sum(weight)::BIGINT AS skipped_weight FROM all_checks GROUP BY site_id),
 shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
 SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
+SQL["page_elements"] = rf"""WITH page AS (SELECT page_id, {AUGMENTED} AS h FROM pages),
+bare AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style|textarea|title)[^>]*>).*?</(?:script|style|textarea|title)>', '\1', 'g') AS h FROM page),
+tags AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM bare)
+SELECT tag, count(*) AS elements, count(DISTINCT page_id) AS pages FROM tags GROUP BY tag"""
+SQL["page_sample"] = rf"""WITH links AS (SELECT DISTINCT ON (site_id, path) lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, page_id FROM pages ORDER BY page_id),
+seen AS (SELECT l.site_id, l.path, min(p.page_id) AS seq, max(p.page_id % 3 = 0) AS nav FROM links l JOIN (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, page_id FROM pages) p USING (site_id, path) WHERE path <> '/' GROUP BY ALL),
+parts AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM seen),
+sections AS (SELECT site_id, p[1] AS section, bool_or(len(p) > 1) AS has_children, bool_or(nav) AS linked, min(seq) AS first FROM parts GROUP BY ALL),
+picked AS (SELECT x.site_id, x.path, x.seq, x.nav, len(x.p) > 1 AS deep, s.* EXCLUDE (site_id) FROM parts x JOIN sections s ON s.site_id = x.site_id AND s.section = x.p[1]
+  WHERE NOT s.has_children OR NOT EXISTS (SELECT 1 FROM parts y WHERE y.site_id = x.site_id AND y.p[1] = x.p[1] AND (len(y.p) > 1) = (len(x.p) > 1) AND (y.nav > x.nav OR (y.nav = x.nav AND y.seq < x.seq)))),
+ranked AS (SELECT *, CASE WHEN has_children AND linked THEN 0 WHEN NOT has_children AND nav THEN 1 WHEN has_children THEN 2 ELSE 3 END AS bucket FROM picked),
+kept AS (SELECT * FROM ranked QUALIFY has_children OR row_number() OVER (PARTITION BY site_id, has_children ORDER BY bucket, seq) <= 15)
+SELECT site_id, path AS url_path, row_number() OVER (PARTITION BY site_id ORDER BY bucket, CASE WHEN has_children THEN (SELECT min(k.seq) FROM kept k WHERE k.site_id = kept.site_id AND k.section = kept.section) ELSE seq END, deep, seq, path)::INT AS place FROM kept QUALIFY place < 25"""
