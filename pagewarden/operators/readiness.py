@@ -28,7 +28,7 @@ def _of(types: tuple[str, ...], valid: bool = False) -> Column:
     """Whether a node of the types is there (a valid one)."""
 
     def test(n: Column) -> Column:
-        there = F.arrays_overlap(n["types"], F.array(*(F.lit(t) for t in types)))
+        there = F.arrays_overlap(n["types"], F.split(F.lit(" ".join(types)), " "))
         return there & F.coalesce(n["valid"], F.lit(False)) if valid else there
 
     return F.exists(F.col("ld")["nodes"], test)
