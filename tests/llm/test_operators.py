@@ -308,6 +308,45 @@ def test_exact_dedup(docs, nothing, block):
     assert exact_dedup.exact_duplicates(nothing, block).count() == 0
 
 
+def brute_features(text):
+    """quality.FEATURES of one text, read word by word and line by line."""
+    data = (text or "").encode()
+    own = [w.encode() for w in VISIBLE.findall(text or "")]
+    lines = [x for x in data.split(b"\n") if x]
+    size, n = max(len(data), 1), max(len(own), 1)
+    sets = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "bang": b"!", "bar": b"|", "symbol": b"#$%&*@^~<>{}[]\\_=+", "stop": b".,;:?", "line": b"\n", "wide": range(128, 256)}
+    counts = {k: sum(b in v for b in data) for k, v in sets.items()}
+    length = [len(w) for w in own]
+    mean = sum(length) / n
+    spread = np.sqrt(max(sum(x * x for x in length) / n - mean * mean, 0))
+    repeats = sum(a == b for a, b in zip(own, own[1:]))
+    caps = sum(sum(65 <= b < 91 for b in w) >= 2 and not any(97 <= b < 123 for b in w) for w in own)
+    most = max(Counter(own).values(), default=0)
+    return [
+        *(c / size for c in counts.values()), *(np.log1p(counts[k]) for k in ("bang", "bar", "symbol")),
+        np.log1p(len(data)), np.log1p(len(own)), mean, spread, repeats / n, np.log1p(repeats), len(set(own)) / n, most / n, np.log1p(size / max(len(lines), 1)), 1 - len(set(lines)) / max(len(lines), 1), caps / n, np.log1p(caps), np.log1p(max(length, default=0)),
+    ]
+
+
+def test_quality_features_match_brute_force():
+    texts = [*TEXTS, "WIN WIN!! now | now now\nline\nline\n\nAB c1 ÉÉ <b> =+ {x}", "one\ttwo  two\n"]
+    got = quality.features_of(pa.array([t or "" for t in texts]))
+    assert got.shape == (len(texts), len(quality.FEATURES))
+    for row, t in zip(got, texts):
+        want = brute_features(t)
+        assert row.tolist() == pytest.approx(want, abs=1e-9), [k for k, a, b in zip(quality.FEATURES, row, want) if abs(a - b) > 1e-9]
+
+
+def test_scores_are_sums_of_tables():
+    r = np.random.default_rng(4)
+    x = r.random((400, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row in x[:20]:
+        total = model.prior + sum(t[sum(row[f] >= c for c in cuts)] for f, (cuts, t) in enumerate(zip(model.cuts, model.tables)))
+        total += sum(t[sum(row[a] >= c for c in model.pair_cuts[a]), sum(row[b] >= c for c in model.pair_cuts[b])] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert model.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_additive_model_learns_a_pair():
     r = np.random.default_rng(3)
     x = r.random((3000, 4))
