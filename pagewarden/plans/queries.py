@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
 from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS, robots_state
-from pagewarden.operators.site_checks import llms_txt_score
+from pagewarden.operators.site_checks import API_SEGMENTS, ARTIFACTS, content_signals, https_score, llms_txt_score, markdown_score, protocols_score
 from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, page_runs, payloads, reports, rubric_table, rubric_totals, site_runs, site_totals
 from pagewarden.plans.facts import brands, llms_drafts, page_facts
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
@@ -45,11 +45,12 @@ _HEAD = (
     _choice(13, "", _LD.format('{"@type": "Organization", "name": "O"}') + _LD.format('{"@type": "WebSite", "url": "u"}'), _LD.format('{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q", "acceptedAnswer": {"@type": "Answer", "text": "a"}}]}'), _LD.format("{,"), _LD.format('{"@type": "Person", "name": "P"}'), _LD.format('{"@type": "Article", "headline": "h", "author": "A. Writer", "datePublished": "2024-01-02", "dateModified": "2024-01-03"}'), _LD.format('{"@type": "Article", "datePublished": "soon"}'), _LD.format('{"@type": "VideoObject", "name": "n", "description": "d", "thumbnailUrl": "t", "uploadDate": "2024-01-02"}') + _LD.format('{"@type": "Dataset", "name": "n", "description": "d"}'), _LD.format('{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q"}]}'), _LD.format('{"@type": "Organization"}') + _LD.format('{"@type": "Person", "name": "P"}') + _LD.format("no"), _LD.format('{"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "n"}]}'), _LD.format('{"@type": "Product", "name": "n"}')),
     _choice(9, "", "concat('<link rel=\"canonical\" href=\"', url, '\">')", '<link rel="canonical" href="/elsewhere/than/here">', '<link rel="canonical" href="https://other.example/a">', '<link rel="canonical" href="/a"><link rel="canonical" href="/b">', '<link rel="canonical" href="">', "concat('<link rel=\"canonical\" href=\"', upper(url), '\">')"),
     _choice(12, "", '<meta name="robots" content="noindex, nofollow">', "", '<meta name="robots" content="nofollow">', '<meta name="robots" content="max-image-preview:none, follow">', "", '<meta name="ROBOTS" content="NONE">', '<meta name="googlebot" content="noindex">'),
+    _choice(10, "", '<link rel="alternate" type="text/markdown" href="/a.md">', "", '<link rel="service-desc" href="/described.json">'),
     _choice(8, "", '<meta name="author" content="Jane Doe">', '<meta name="author" content=" ">', '<meta property="article:author" content="Jane Doe">', '<meta name="twitter:creator" content="@jane">'),
 )
 _BODY = (
     _choice(5, "", "<h2>Parts of it</h2><h3>Smaller parts</h3>", "<h4>Skipped to</h4>", "<h1>Once more</h1>", "<h2>More</h2><h2>Info</h2><h2>Content</h2><h2> section </h2>"),
-    _choice(6, "", '<img src="a.png" alt="A part"><img src="b.png">', '<img src="c.png" alt="" role="presentation">', '<img src="a.png" alt="A part"><img src="b.png" alt="B"><img src="c.png" alt=" "><img src="d.png" alt="D">', '<img src="e.png" alt="" aria-hidden="true"><img src="f.png">'),
+    _choice(6, "", '<img src="a.png" alt="A part"><img src="b.png">', '<img src="c.png" alt="" role="presentation">', '<img src="a.png" alt="A part"><img src="b.png" alt="B"><img src="c.png" alt=" "><img src="d.png" alt="D">', '<img src="e.png" alt="" aria-hidden="true"><img src="f.png">', '<img src="http://x.example/g.png" alt="G">'),
     _choice(7, "", '<form><label for="q">Find</label><input id="q"><input type="hidden" name="h"></form>', '<form><input name="userEmail"><input type="text" name="q"><textarea></textarea></form>', '<form><label>Mail <input type="email" autocomplete="email"></label></form>', '<form><input type="tel" aria-label="Call" autocomplete="off"><select></select><select></select></form>'),
     _choice(4, "", '<section role="main"></section>', "<section></section><aside></aside><figure></figure>"),
     _choice(6, "", '<p><a href="/k1">click here</a> <a href="/k2">Named part</a></p>', '<p><a href="/k1">here</a> <a href="/k2">More</a> <a href="/k3">x</a> <a href="/k4">link</a> <a href="/k5">go</a></p>', '<p><a href="/a1">One part</a> <a href="/a2">Another</a> <a href="/a3">Third one</a></p>', '<p><a href="#">top</a> <a href="javascript:x()">do</a> <a href="mailto:a@b.example">write</a></p>'),
@@ -533,6 +534,54 @@ def llms_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llms_drafts(own, brands(own, base), base)
 
 
+#: What agents find at a site, by the length of its name: path, content type, text.
+ARTIFACT_FILES = (
+    ("/.well-known/mcp.json", "application/json", "{}", 4, 1),
+    ("/.well-known/agent.json", "application/json", '{"name": "A"}', 3, 1),
+    ("/openapi.json", "application/json", '{"openapi": ""}', 4, 2),
+    ("/.well-known/ai", "text/plain", "yes", 5, 1),
+    ("/.well-known/openapi.json", "text/html", '{"openapi": "3"}', 2, 1),
+)
+SIGNAL_LINES = """CASE length(site_id) % 4 WHEN 0 THEN 'Content-Signal: search=yes, ai-train=no
+User-agent: *
+Content-Signal: ai-train=yes, ai-input=maybe' WHEN 1 THEN 'User-agent: GPTBot
+Disallow:' WHEN 2 THEN '' END"""
+SIGNAL_HEADER = "CASE length(site_id) % 6 WHEN 0 THEN 'ai-input=no, search=no' WHEN 3 THEN 'search=YES' END"
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages answered when asked again, by their ids."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(site_of(F.col("url")).alias("site_id"), "page_id")
+    answers = (("negotiated", "page_id % 10 = 3", "text/markdown", "page_id % 7 = 0"), ("alternate", "page_id % 3 > 0", "text/plain", "page_id % 10 = 1"), ("guessed", "page_id % 5 = 0", "text/html", "page_id % 15 = 5"))
+    rows = None
+    for probe, ok, kind, other in answers:
+        own = pages.select("site_id", "page_id", F.lit(probe).alias("probe"), F.expr(f"CASE WHEN {ok} THEN 200 ELSE 404 END").alias("status"), F.expr(f"CASE WHEN {other} THEN 'text/x-markdown' ELSE '{kind}' END").alias("content_type"), F.lit("# A").alias("text"))
+        rows = own if rows is None else rows.union(own)
+    return rows
+
+
+def content_signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals on the use of content, by robots files and headers."""
+    return content_signals(_sites(spark, sf_dir).withColumn("robots", F.expr(SIGNAL_LINES)).withColumn("header", F.expr(SIGNAL_HEADER)), _bots(spark))
+
+
+def https_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = _sites(spark, sf_dir).withColumn("http_status", F.expr("CASE length(site_id) % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 END"))
+    return https_score(with_nodes(augmented(spark, sf_dir)), plain)
+
+
+def markdown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether agents can have pages as Markdown."""
+    return markdown_score(with_nodes(augmented(spark, sf_dir)), _probes(spark, sf_dir))
+
+
+def protocol_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What agents can discover of each site."""
+    entries = F.array(*(F.when(F.length("site_id") % k == m, F.struct(F.lit(p).alias("path"), F.lit(c).alias("content_type"), F.lit(t).alias("text"))) for p, c, t, k, m in ARTIFACT_FILES))
+    files = _sites(spark, sf_dir).select("site_id", F.inline(F.array_compact(entries)))
+    return protocols_score(files, with_nodes(augmented(spark, sf_dir)))
+
+
 def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each site would answer: unknown URLs, its pages, and pages that headers keep out of search."""
     files = site_files(spark, sf_dir)
@@ -544,9 +593,12 @@ def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over the page checks and the checks of whole sites that files and headers can answer; the others are skipped."""
+    """Totals over all checks of pages and sites."""
     runs = page_runs(page_scores(spark, sf_dir))
-    own = {"ai-access.bot-crawlability": robots_access, "ai-access.llms-txt": llms_scores, "crawlability.sitemap": sitemap_scores, "crawlability.http-behavior": http_scores}
+    markdown = markdown_scores(spark, sf_dir).select("site_id", "page_id", F.lit("agent-readiness.markdown").alias("check_id"), F.lit(3).alias("weight"), "score")
+    protocols = protocol_scores(spark, sf_dir).select("site_id", F.coalesce("score", F.lit(0)).alias("score"), F.col("score").isNull().alias("na"))
+    runs = runs.unionByName(page_runs(markdown)).unionByName(site_runs("agent-readiness.protocols", protocols))
+    own = {"ai-access.content-signals": content_signal_scores, "crawlability.https": https_scores, "ai-access.bot-crawlability": robots_access, "ai-access.llms-txt": llms_scores, "crawlability.sitemap": sitemap_scores, "crawlability.http-behavior": http_scores}
     for check, scores in own.items():
         runs = runs.unionByName(site_runs(check, scores(spark, sf_dir)))
     sites = _sites(spark, sf_dir).withColumn("mode", F.lit("full"))
@@ -579,7 +631,7 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts, http_scores, whole_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts, http_scores, whole_audit, content_signal_scores, https_scores, markdown_scores, protocol_scores)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
@@ -732,9 +784,29 @@ SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, nam
 SQL["http_scores"] = f"""WITH fine AS (SELECT site_id, count(*) FILTER (ok) / count(*) AS share FROM ({SQL["site_answers"]}) GROUP BY site_id)
 SELECT site_id, point + coalesce(share, 1) + 1 AS score, inconclusive FROM ({SQL["unknown_urls"]}) LEFT JOIN fine USING (site_id)"""
 _SITE_SCORES = " UNION ALL ".join(f"SELECT site_id, '{c}' AS check_id, {w} AS weight, least({w}, floor(score)) AS score FROM ({SQL[q]})" for c, w, q in (("ai-access.bot-crawlability", 12, "robots_access"), ("ai-access.llms-txt", 6, "llms_scores"), ("crawlability.sitemap", 5, "sitemap_scores"), ("crawlability.http-behavior", 3, "http_scores")))
-SQL["whole_audit"] = f"""{_WITH}, {_OUT}, all_checks AS (
-  SELECT r.site_id, r.check_id, r.weight, floor(sum(r.score) / count(*) * 10 + 0.5) / 10 AS score FROM results r ANTI JOIN left_out o USING (site_id, page_id) GROUP BY ALL UNION ALL {_SITE_SCORES}),
-sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, 0::BIGINT AS na_weight, 133 - sum(weight)::BIGINT AS skipped_weight FROM all_checks GROUP BY site_id),
+_KINDS = {p: k for p, k, _ in ARTIFACTS}
+_SIGNAL = lambda text, k: f"list_filter(list_transform(string_split(lower({text}), ','), lambda x: string_split(x, '=')), lambda x: trim(x[1]) = '{k}' AND trim(x[2]) IN ('yes', 'no'))"
+SQL["content_signal_scores"] = rf"""WITH {_SITES}, lines AS (SELECT site_id, line, trim(raw) AS x FROM {_LINES(SIGNAL_LINES)}),
+said AS (SELECT site_id, line, trim(substr(x, strpos(x, ':') + 1)) AS v FROM lines WHERE lower(x) LIKE 'content-signal%:%'),
+last AS (SELECT site_id, {', '.join(f"max_by(trim(({_SIGNAL('v', k)})[-1][2]), line) FILTER (len({_SIGNAL('v', k)}) > 0) AS s{i}" for i, k in enumerate(('search', 'ai-input', 'ai-train')))} FROM said GROUP BY site_id),
+named AS (SELECT DISTINCT site_id FROM lines WHERE lower(x) LIKE 'user-agent:%' AND lower(trim(substr(x, strpos(x, ':') + 1))) IN {_in(b.lower() for b in BOTS)}),
+told AS (SELECT s.site_id, concat_ws(', ', {', '.join(f"'{k}=' || coalesce(s{i}, trim(({_SIGNAL(SIGNAL_HEADER.replace('site_id', 's.site_id'), k)})[-1][2]))" for i, k in enumerate(('search', 'ai-input', 'ai-train')))}) AS signals, n.site_id IS NOT NULL AS named FROM s LEFT JOIN last l ON l.site_id = s.site_id LEFT JOIN named n ON n.site_id = s.site_id)
+SELECT site_id, signals, CASE WHEN signals <> '' THEN 3 WHEN named THEN 1 ELSE 0 END::INT AS score FROM told"""
+SQL["https_scores"] = f"""WITH page AS (SELECT page_id, url, {AUGMENTED} AS h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages),
+sums AS (SELECT site_id, bool_and(url LIKE 'https:%') AS secure, count(*) FILTER (regexp_matches(h, '<(img|script|iframe|video|audio|source|embed) [^>]*src="http://')) AS mixed_pages FROM page GROUP BY site_id)
+SELECT site_id, secure, mixed_pages, CASE WHEN NOT secure THEN 0 ELSE floor(2 - CASE WHEN mixed_pages > 0 THEN 0.5 ELSE 0 END - CASE WHEN length(site_id) % 4 = 0 THEN 0.5 ELSE 0 END) END::INT AS score FROM sums"""
+SQL["markdown_scores"] = f"""WITH page AS (SELECT page_id, {AUGMENTED} AS h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages),
+asked AS (SELECT *, contains(h, 'type="text/markdown" href=') AS linked, page_id % 10 = 3 AS negotiated, page_id % 3 > 0 AS alternate, page_id % 5 = 0 AND page_id % 15 = 5 AS guessed FROM page)
+SELECT site_id, page_id, CASE WHEN negotiated THEN 3 WHEN linked AND alternate THEN 3 WHEN NOT linked AND guessed THEN 1 ELSE 0 END::INT AS score FROM asked"""
+SQL["protocol_scores"] = f"""WITH page AS (SELECT {AUGMENTED} AS h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS site_id FROM pages),
+shown AS (SELECT site_id, bool_or(regexp_matches(h, '<link rel="service-desc"') OR regexp_matches(lower(h), '<a href="/?({'|'.join(API_SEGMENTS)})[/?#"]')) AS api FROM page GROUP BY site_id),
+files AS (SELECT site_id, f.* EXCLUDE (k, m) FROM shown JOIN (VALUES {', '.join(f"('{p}', '{_KINDS[p]}', '{c}', '{t}', {k}, {m})" for p, c, t, k, m in ARTIFACT_FILES)}) f(path, kind, type, text, k, m) ON length(site_id) % k = m),
+good AS (SELECT site_id, count(DISTINCT kind) AS n FROM files WHERE type NOT LIKE '%html%' AND (kind = 'ai' AND trim(text) <> '' OR json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text ELSE 'null' END) = 'OBJECT' AND CASE kind WHEN 'a2a' THEN coalesce(json_extract_string(text, '$.name'), '') <> '' WHEN 'api' THEN coalesce(json_extract_string(text, '$.openapi'), '') <> '' ELSE TRUE END) GROUP BY site_id)
+SELECT site_id, coalesce(n, 0)::INT AS kinds, CASE WHEN n >= 3 THEN 6 WHEN n = 2 THEN 5 WHEN n = 1 THEN 3 WHEN api THEN 0 END::INT AS score FROM shown LEFT JOIN good USING (site_id)"""
+_SITE_SCORES += "".join(f" UNION ALL SELECT site_id, '{c}', {w}, score FROM ({SQL[q]}) WHERE score IS NOT NULL" for c, w, q in (("crawlability.https", 2, "https_scores"), ("agent-readiness.protocols", 6, "protocol_scores")))
+SQL["whole_audit"] = f"""{_WITH}, {_OUT}, every_page AS (SELECT site_id, page_id, check_id, weight, score FROM results UNION ALL SELECT site_id, page_id, 'agent-readiness.markdown', 3, score FROM ({SQL["markdown_scores"]})),
+all_checks AS (SELECT r.site_id, r.check_id, r.weight, floor(sum(r.score) / count(*) * 10 + 0.5) / 10 AS score FROM every_page r ANTI JOIN left_out o USING (site_id, page_id) GROUP BY ALL UNION ALL {_SITE_SCORES}),
+sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, 133 - sum(weight)::BIGINT AS na_weight, 0::BIGINT AS skipped_weight FROM all_checks GROUP BY site_id),
 shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
 SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
 SQL["page_elements"] = rf"""WITH page AS (SELECT page_id, {AUGMENTED} AS h FROM pages),
