@@ -38,8 +38,8 @@ from pagewarden.llm._shared import written
 from pagewarden.llm._text import LOWER, ODD, VISIBLE, bounded_batches, flat, mixed, texts, units, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
-PART_TOKENS = 1_200_000
-BLOCK_BYTES = 6 << 20
+PART_TOKENS = 800_000
+BLOCK_BYTES = 4 << 20
 DEFAULT = (0.5, 0.4, 0.1)  # bigram, unigram, uniform
 BUCKETS = 40
 STEPS = 4  # bins to an octave
@@ -200,6 +200,8 @@ def counted(of: DataFrame, parts: int) -> DataFrame:
                 stats = (int(total.sum()), int((total > 0).sum()))
             answers.append(np.split(total[where], np.cumsum([len(c[side]) for c in counts])[:-1]))
         out = [{"block": r["block"], "held": r["held"], "part": r["part"], "n1": r["n1"], "n2": r["n2"], "counts": _squeezed(np.concatenate([a, b]), "<u8"), "total": 0, "distinct": 0} for r, a, b in zip(rows, *answers)]
+        del said, hashes, counts, found, kinds, answers
+        pa.default_memory_pool().release_unused()
         out.append({"block": None, "held": None, "part": rows[0]["part"], "n1": 0, "n2": 0, "counts": b"", "total": stats[0], "distinct": stats[1]})
         return pa.Table.from_pylist(out, schema=answered)
 
@@ -293,6 +295,7 @@ def scores(docs: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
             base = np.log10((cw + 1) / (total + distinct + 1))
             sums = [np.add.reduceat(x, b.first) for x in (base, np.log10(p), (cw > 0).astype(np.int64))]
             out.append(pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "held_out": np.full(len(b.doc_ids), b.held), "n_tokens": b.sizes, "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else scored.empty_table()
 
     scored = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
