@@ -6,6 +6,7 @@ row if that alone is larger), so a worker's memory follows the unit and not the
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,14 @@ def units(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield pa.concat_batches(pending)
 
 
+def freed() -> None:
+    """Give memory back to the system: a worker that waits for its next task otherwise keeps what the last one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The column with '' for null."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")

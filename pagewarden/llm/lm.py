@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm._shared import written
-from pagewarden.llm._text import LOWER, ODD, VISIBLE, bounded_batches, flat, mixed, texts, units, word_hashes, words
+from pagewarden.llm._text import LOWER, ODD, VISIBLE, bounded_batches, flat, freed, mixed, texts, units, word_hashes, words
 
 FOLDS, HELD_OUT = 7, 2
 PART_TOKENS = 800_000
@@ -121,8 +121,10 @@ def blocks(docs: DataFrame) -> DataFrame:
                 kept, _ = flat(tokens.dictionary.take(pa.array(order)))
                 ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column("doc_id"))
                 packed = [pa.array([len(kept)]), pa.array([_packed(kept.tobytes())], pa.binary()), pa.array([_squeezed(rank[tokens.indices.to_numpy()], "<u4")], pa.binary())]
+                del tokens, data, begin, order, rank, kept
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([side]), ids, pa.array([sizes.astype(np.int32)]), *packed], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
                 block += 1
+            freed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
     return written(rows.mapInArrow(run, BLOCK_SCHEMA), "lm_blocks")
@@ -148,6 +150,18 @@ class Block:
         self.grams, self.gram = np.unique(grams, return_inverse=True)
 
 
+def rows_of(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, binary values as buffers of the table."""
+    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
+        for k in range(batch.num_rows):
+            yield {n: (c[k].as_buffer() if c[k].is_valid else b"") if pa.types.is_binary(c.type) else c[k].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+
+
+def occupied(*places: np.ndarray) -> np.ndarray:
+    """The parts that some of a block's entries fall in, by the places of the parts' edges."""
+    return np.flatnonzero(np.any([np.diff(p) > 0 for p in places], axis=0))
+
+
 def _counts(where: np.ndarray, n: int, held: bool) -> np.ndarray:
     return np.zeros(n, dtype=np.int64) if held else np.bincount(where, minlength=n)
 
@@ -160,35 +174,36 @@ def counted(of: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 b = Block(row)
                 c1, c2 = _counts(b.number, len(b.hashes), b.held), _counts(b.gram, len(b.grams), b.held)
-                edges = np.array([i * (1 << 52) // parts for i in range(parts + 1)], dtype=np.uint64)
                 at1 = np.searchsorted(b.hashes >> _BIGRAM_BITS, edges)
                 at2 = np.searchsorted(b.grams, edges)
                 out = []
-                for p in range(parts):
+                for p in occupied(at1, at2).tolist():
                     h2 = b.grams[at2[p] : at2[p + 1]]
                     said = b.data[b.begin[at1[p]] : b.begin[at1[p + 1]]]
                     counts = np.concatenate([c1[at1[p] : at1[p + 1]], c2[at2[p] : at2[p + 1]]])
-                    if len(counts):
-                        out.append((p, b.block, b.held, int(at1[p + 1] - at1[p]), len(h2), _packed(said.tobytes()), len(said), _squeezed(np.diff(h2, prepend=np.uint64(0)), "<u8"), b"" if b.held else _squeezed(counts, "<u4")))
+                    out.append((p, b.block, b.held, int(at1[p + 1] - at1[p]), len(h2), _packed(said.tobytes()), len(said), _squeezed(np.diff(h2, prepend=np.uint64(0)), "<u8"), b"" if b.held else _squeezed(counts, "<u4")))
                 for lo in range(0, len(out), 64):
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out[lo : lo + 64]], schema=asked)
+                del b, c1, c2, out
+                freed()
 
+    edges = np.array([i * (1 << 52) // parts for i in range(parts + 1)], dtype=np.uint64)
     names = [x.split()[0] for x in ASKED_SCHEMA.split(", ")]
     asked = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("held", pa.bool_()), ("n1", pa.int32()), ("n2", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     answered = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("part", pa.int32()), ("n1", pa.int32()), ("n2", pa.int32()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
     def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = []
         said, hashes, counts = [], [], []
-        for r in rows:
+        for r in rows_of(table):
             said.append(_unpacked(r["words"], r["size"]))
             hashes.append(np.cumsum(_expanded(r["hashes"], r["n2"], "<u8"), dtype=np.uint64))
             c = _expanded(r["counts"], r["n1"] + r["n2"], "<u4") if r["counts"] else np.zeros(r["n1"] + r["n2"], dtype=np.uint32)
             counts.append((c[: r["n1"]], c[r["n1"] :]))
-            r["words"] = r["hashes"] = r["counts"] = None
+            rows.append({k: r[k] for k in ("part", "block", "held", "n1", "n2")})
         answers, stats = [], (0, 0)
         found = _lines(np.frombuffer(b"".join(said), dtype=np.uint8)).dictionary_encode()
         kinds = ((len(found.dictionary), found.indices.to_numpy()), np.unique(np.concatenate(hashes), return_inverse=True))
@@ -201,7 +216,7 @@ def counted(of: DataFrame, parts: int) -> DataFrame:
             answers.append(np.split(total[where], np.cumsum([len(c[side]) for c in counts])[:-1]))
         out = [{"block": r["block"], "held": r["held"], "part": r["part"], "n1": r["n1"], "n2": r["n2"], "counts": _squeezed(np.concatenate([a, b]), "<u8"), "total": 0, "distinct": 0} for r, a, b in zip(rows, *answers)]
         del said, hashes, counts, found, kinds, answers
-        pa.default_memory_pool().release_unused()
+        freed()
         out.append({"block": None, "held": None, "part": rows[0]["part"], "n1": 0, "n2": 0, "counts": b"", "total": stats[0], "distinct": stats[1]})
         return pa.Table.from_pylist(out, schema=answered)
 
@@ -211,7 +226,7 @@ def counted(of: DataFrame, parts: int) -> DataFrame:
 def _answers(b: Block, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training counts of each token, of its context, and of both together."""
     c1, c2 = [], []
-    for r in sorted(table.select(["part", "n1", "n2", "counts"]).to_pylist(), key=lambda r: r["part"]):
+    for r in sorted(rows_of(table.select(["part", "n1", "n2", "counts"])), key=lambda r: r["part"]):
         c = _expanded(r["counts"], r["n1"] + r["n2"], "<u8").astype(np.int64)
         c1.append(c[: r["n1"]])
         c2.append(c[r["n1"] :])
@@ -260,12 +275,14 @@ def weights(histogram: np.ndarray, rounds: int = 50) -> np.ndarray:
 def train_weights(of: DataFrame, counts: DataFrame, total: int, distinct: int) -> np.ndarray:
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         bins = []
-        for row in left.to_pylist():
+        for row in rows_of(left):
             cw, ch, chw = (c - 1 for c in _answers(Block(row), right))  # each token's own occurrence taken out
             bucket, two, one = _estimates(cw, ch, np.minimum(chw, ch), total - 1, distinct)
             scaled = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * STEPS).astype(np.int64) + 1000, 0) for x in (two, one)]
             key, n = np.unique((bucket * 4096 + scaled[0]) * 4096 + scaled[1], return_counts=True)
             bins.append(pa.table({"bucket": key >> 24, "two": key >> 12 & 4095, "one": key & 4095, "n": n}))
+            del cw, ch, chw, bucket, two, one, scaled
+            freed()
         return pa.concat_tables(bins) if bins else pa.schema([(c, pa.int64()) for c in ("bucket", "two", "one", "n")]).empty_table()
 
     training = of.filter("not held").groupBy("block").cogroup(counts.filter("not held").groupBy("block"))
@@ -286,7 +303,7 @@ def scores(docs: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row in left.to_pylist():
+        for row in rows_of(left):
             b = Block(row)
             cw, ch, chw = _answers(b, right)
             bucket, two, one = _estimates(cw, ch, chw, total, distinct)
@@ -295,7 +312,8 @@ def scores(docs: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
             base = np.log10((cw + 1) / (total + distinct + 1))
             sums = [np.add.reduceat(x, b.first) for x in (base, np.log10(p), (cw > 0).astype(np.int64))]
             out.append(pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "held_out": np.full(len(b.doc_ids), b.held), "n_tokens": b.sizes, "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
-        pa.default_memory_pool().release_unused()
+            del b, cw, ch, chw, bucket, two, one, w, p, base, sums
+        freed()
         return pa.concat_tables(out) if out else scored.empty_table()
 
     scored = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

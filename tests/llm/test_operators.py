@@ -293,6 +293,21 @@ def test_lm_weights_do_not_see_held_out_texts(spark):
     assert len(one) > 20 and one == pytest.approx(other, rel=1e-12)
 
 
+def test_counting_steps_grow_with_entries_and_not_with_parts():
+    h = np.sort(np.random.default_rng(2).integers(0, 1 << 52, 500)).astype(np.uint64)
+    for parts in (8, 80, 800_000):
+        edges = np.array([i * (1 << 52) // parts for i in range(parts + 1)], dtype=np.uint64)
+        at1, at2 = np.searchsorted(h[:100], edges), np.searchsorted(h, edges)
+        own = lm.occupied(at1, at2)
+        assert len(own) <= min(parts, 600) and set(own.tolist()) == {int(np.searchsorted(edges, x, "right")) - 1 for x in h}
+
+
+@pytest.mark.parametrize("part_tokens", [800_000, 40, 3])
+def test_lm_scores_do_not_depend_on_the_number_of_parts(docs, part_tokens):
+    own = docs.filter("length(text) < 500 or text is null")
+    assert {i: r["score"] for i, r in rows(lm.scores(own, part_tokens)).items()} == pytest.approx({i: r["score"] for i, r in rows(lm.scores(own)).items()})
+
+
 def test_mixture_is_a_distribution():
     w = lm.weights(np.array([[3, 1020, 1004, 50], [3, 0, 1004, 10], [5, 0, 0, 7]]))
     assert np.allclose(w.sum(axis=1), 1) and w[3, 0] > w[5, 0] and (w[5] @ [0, 0, 1]) > 0.9
