@@ -101,17 +101,33 @@ def noindex_for_all(value: Column) -> Column:
     return F.exists(F.split(F.lower(F.coalesce(value, F.lit(""))), ","), lambda p: ~F.trim(p).rlike(r"^[a-z0-9_.-]+\s*:") & F.trim(p).rlike(r"(^|\s)(noindex|none)(\s|$)"))
 
 
-def excluded_pages(pages: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """(site_id, page_id): pages kept out of search on purpose, from (site_id, page_id, url_path, noindex_for_all).
+def listed_keys(sitemaps: DataFrame) -> DataFrame:
+    """(site_id, key): keys of the pages that sitemaps (site_id, text) list."""
+    return sitemap_locs(sitemaps).filter("not is_index").select("site_id", path_key(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)).alias("key")).distinct()
+
 
-    They say noindex to all crawlers, in a meta tag or a header, are not the homepage and not in the site's sitemap. A site that
-    has one page, or would lose all, loses none.
+def page_intents(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """(site_id, page_id, listed, homepage, single) from (site_id, page_id, url_path) and the pages' keys in sitemaps (site_id, key).
+
+    listed is null where no sitemap of the site lists pages. single: the site has one page.
     """
-    listed = sitemap_locs(sitemaps).filter("not is_index").select("site_id", path_key(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)).alias("key")).distinct().withColumn("listed", F.lit(True))
-    rows = pages.withColumn("key", path_key(F.col("url_path"))).join(listed, ["site_id", "key"], "left")
-    meant = rows.withColumn("out", F.col("noindex_for_all") & (F.col("key") != "/") & F.col("listed").isNull())
-    counts = meant.groupBy("site_id").agg(F.count("*").alias("pages"), F.count_if("out").alias("outs"))
-    return meant.filter("out").join(counts, "site_id").filter("pages > 1 and outs < pages").select("site_id", "page_id")
+    mapped = listed.select("site_id").distinct().withColumn("mapped", F.lit(True))
+    sizes = pages.groupBy("site_id").agg(F.count("*").alias("n"))
+    rows = pages.select("site_id", "page_id", path_key(F.col("url_path")).alias("key")).join(listed.withColumn("there", F.lit(True)), ["site_id", "key"], "left").join(mapped, "site_id", "left").join(sizes, "site_id")
+    return rows.select("site_id", "page_id", F.when(F.col("mapped"), F.coalesce("there", F.lit(False))).alias("listed"), (F.col("key") == "/").alias("homepage"), (F.col("n") <= 1).alias("single"))
+
+
+def intentional_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """(site_id, page_id) of pages that say noindex to all crawlers on purpose, from (site_id, page_id, url_path, noindex_for_all): not the homepage, not in the sitemap, not a site's only page."""
+    meant = page_intents(pages, listed).filter(~F.coalesce("listed", F.lit(False)) & ~F.col("homepage") & ~F.col("single"))
+    return meant.join(pages.filter("noindex_for_all").select("site_id", "page_id"), ["site_id", "page_id"], "left_semi").select("site_id", "page_id")
+
+
+def excluded_pages(pages: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """(site_id, page_id): pages that are left out of averages, kept out of search on purpose; a site that would lose all pages loses none."""
+    meant = intentional_pages(pages, listed_keys(sitemaps))
+    counts = pages.groupBy("site_id").agg(F.count("*").alias("pages")).join(meant.groupBy("site_id").agg(F.count("*").alias("outs")), "site_id").filter("outs < pages")
+    return meant.join(counts.select("site_id"), "site_id", "left_semi")
 
 
 def headers_for(pages: DataFrame, rules: DataFrame, regex: Column) -> DataFrame:

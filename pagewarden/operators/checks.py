@@ -5,7 +5,7 @@ A check's score is floored and held between 0 and its weight when results are ma
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +18,26 @@ from pagewarden.sources.structured_data import structured_data
 
 @dataclass(frozen=True)
 class Check:
-    """An id, its category and weight, and the score before it is floored."""
+    """An id, its category and weight, the score before it is floored, and facts that it reads.
+
+    facts: columns that are computed once, in a projection of their own, under names that `fact` gives.
+    """
 
     id: str
     category: str
     weight: int
     score: Callable[[], Column]
+    facts: Callable[[], dict[str, Column]] = dict
+
+
+def fact(check_id: str) -> Callable[[str], Column]:
+    """The columns of a check's facts by name."""
+    return lambda name: F.col(f"`{check_id}/{name}`")
+
+
+def with_check_facts(pages: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    own = [c.alias(f"{check.id}/{k}") for check in checks for k, c in check.facts().items()]
+    return pages.select("*", *own) if own else pages
 
 
 def _less(start: float, *costs: Column) -> Column:
@@ -138,7 +152,7 @@ def _host(url: Column) -> Column:
 
 
 def internal_links() -> Column:
-    """Internal links as structs (nav, generic)."""
+    """Internal links as structs (nav, generic, href, text, line)."""
 
     def inside(n: Column) -> Column:
         href = trimmed(F.coalesce(n["attrs"]["href"], F.lit("")))
@@ -151,7 +165,7 @@ def internal_links() -> Column:
         image = F.try_element_at(F.filter(F.slice(nodes(), n["id"] + 2, n["end"] - n["id"]), lambda x: (x["tag"] == "img") & blank(x["attrs"]["alt"]).isNotNull()), F.lit(1))
         text = F.coalesce(F.nullif(collapsed(visible_text(n)), F.lit("")), blank(n["attrs"]["aria-label"]), blank(image["attrs"]["alt"]), blank(n["attrs"]["title"]), F.lit(""))
         low = F.lower(text)
-        return F.struct(n["nav"].alias("nav"), ((units(low) < 2) | low.isin(*GENERIC_ANCHORS)).alias("generic"))
+        return F.struct(n["nav"].alias("nav"), ((units(low) < 2) | low.isin(*GENERIC_ANCHORS)).alias("generic"), trimmed(n["attrs"]["href"]).alias("href"), text.alias("text"), n["line"].alias("line"))
 
     return F.transform(having("a", also=inside), named)
 
@@ -254,7 +268,7 @@ def with_facts(pages: DataFrame) -> DataFrame:
         tags("og", ("title", "description", "image", "url", "type"), "property", "name").alias("og"),
         tags("twitter", ("card", "title", "description", "image"), "name", "property").alias("twitter"),
         canonical_href().alias("canonical"),
-        structured_data(json_ld_blocks()).alias("ld"),
+        structured_data(*json_ld_blocks()).alias("ld"),
         F.lower(url_path()).alias("path"),
     )
     pages = pages.select("*", F.array_min(F.transform("candidates", lambda x: x["rank"])).alias("main_rank"), F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"\.(html?|php)$", "")).alias("segments"))
@@ -286,15 +300,37 @@ def _url_key(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_replace(F.concat(part("PROTOCOL"), F.lit("://"), part("HOST"), path, query), "/$", "")), url)
 
 
-def _resolved(href: Column, base: Column) -> Column:
-    """A reference against an absolute base: absolute, scheme-relative, rooted, or in the base's folder."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*(?=/))?)", 1), F.lit("/"))
+#: The parts of a reference: scheme, authority, path, query, fragment (RFC 3986, appendix B).
+_REFERENCE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its '.' and '..' segments: a fold over the segments, none above the root."""
+    parts = F.split(path, "/")
+    rooted = path.startswith("/")
+    own = F.when(rooted, F.slice(parts, 2, 1_000_000)).otherwise(parts)
+    last = F.element_at(own, -1)
+    kept = F.aggregate(own, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """A reference against an absolute base, by RFC 3986: dot segments, empty, query-only and scheme-relative references."""
+    part = lambda s, k: F.regexp_extract(s, _REFERENCE, k)
+    scheme, authority, path = part(href, 1), part(href, 2), part(href, 3)
+    has = lambda s, form: s.rlike(form)
+    query = F.when(has(href, r"^[^?#]*\?"), F.concat(F.lit("?"), part(href, 4))).otherwise("")
+    fragment = F.when(has(href, "#"), F.concat(F.lit("#"), part(href, 5))).otherwise("")
+    base_query = F.when(has(base, r"^[^?#]*\?"), F.concat(F.lit("?"), part(base, 4))).otherwise("")
+    origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    folder = F.coalesce(F.nullif(F.regexp_extract(part(base, 3), "^(.*/)[^/]*$", 1), F.lit("")), F.lit("/"))
+    merged = F.when(path == "", part(base, 3)).when(path.startswith("/"), without_dots(path)).otherwise(without_dots(F.concat(folder, path)))
     return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(folder, F.regexp_replace(href, r"^(?:\./)+", "")))
+        F.when(scheme != "", F.when(has(href, r"^[^:]*://"), F.concat(scheme, F.lit("://"), authority, without_dots(path), query, fragment)).otherwise(href))
+        .when(href.startswith("//"), F.concat(part(base, 1), F.lit("://"), authority, without_dots(path), query, fragment))
+        .when((path == "") & (query == ""), F.concat(origin, merged, base_query, fragment))
+        .otherwise(F.concat(origin, merged, query, fragment))
     )
 
 
@@ -306,7 +342,7 @@ def open_graph_score() -> Column:
     """Up to 3: title, description and image; url and type; the url that is the canonical one."""
     og = F.col("og")
     costs = [_if(og[k].isNull() | (trimmed(og[k]) == ""), 0.75) for k in ("title", "description", "image")]
-    other = (og["url"] != "") & (_url_key(og["url"]) != _url_key(_resolved(F.col("canonical"), F.col("url"))))
+    other = (og["url"] != "") & (_url_key(og["url"]) != _url_key(resolved(F.col("canonical"), F.col("url"))))
     return _less(3, *costs, _if(og["url"].isNull(), 0.25), _if(og["type"].isNull(), 0.25), _if(F.coalesce(other, F.lit(False)), 0.25))
 
 
@@ -342,8 +378,10 @@ def language_score() -> Column:
     return _less(3, cost)
 
 
-def json_ld_blocks() -> Column:
-    return F.transform(having("script", also=lambda n: F.lower(n["attrs"]["type"]) == "application/ld+json"), text_content)
+def json_ld_blocks() -> tuple[Column, Column]:
+    """(texts, lines) of JSON-LD blocks."""
+    own = having("script", also=lambda n: F.lower(n["attrs"]["type"]) == "application/ld+json")
+    return F.transform(own, text_content), F.transform(own, lambda n: n["line"])
 
 
 def freshness_score() -> Column:
@@ -364,10 +402,8 @@ def freshness_score() -> Column:
     return F.when(~publish & ~modify, F.lit(0.0)).otherwise(_less(5, _if(~publish, 2), _if(~modify, 2)))
 
 
-def accessibility_score() -> Column:
-    """Up to 4: main and nav landmarks, labelled inputs, semantic elements."""
-    role = lambda r: F.exists(nodes(), lambda n: F.coalesce(n["attrs"]["role"] == r, F.lit(False)))
-    main, nav = (F.size(having("main")) > 0) | role("main"), (F.size(having("nav")) > 0) | role("navigation")
+def form_inputs() -> Column:
+    """Fields that need a label, as structs (tag, line, named)."""
     labels = having("label")
     targets = F.transform(labels, lambda n: n["attrs"]["for"])
     kind = lambda n: F.lower(F.coalesce(n["attrs"]["type"], F.lit("")))
@@ -375,10 +411,21 @@ def accessibility_score() -> Column:
     some = lambda n, k: F.coalesce(n["attrs"][k] != "", F.lit(False))
     inside = lambda n, around: F.exists(around, lambda b: (b["id"] < n["id"]) & (n["id"] <= b["end"]))
     good = lambda n, around, ids: (some(n, "id") & F.coalesce(F.array_contains(ids, n["attrs"]["id"]), F.lit(False))) | some(n, "aria-label") | some(n, "aria-labelledby") | inside(n, around)
-    named = bound(labels, lambda around: bound(targets, lambda ids: F.filter(inputs, lambda n: good(n, around, ids))))
-    share = rounded(F.size(named) / F.nullif(F.size(inputs), F.lit(0)) * 100)
-    few = F.size(having("main", "nav", "article", "section", "aside", "header", "footer", "figure", "figcaption")) < 5
-    return rounded(_less(4, _if(~main, 1.75), _if(~nav, 0.75), _if(F.coalesce(share < 50, F.lit(False)), 0.75), _if(few & ~main, 0.75)), 1)
+    return bound(labels, lambda around: bound(targets, lambda ids: F.transform(inputs, lambda n: F.struct(n["tag"].alias("tag"), n["line"].alias("line"), good(n, around, ids).alias("named")))))
+
+
+def accessibility_facts() -> dict[str, Column]:
+    role = lambda r: F.exists(nodes(), lambda n: F.coalesce(n["attrs"]["role"] == r, F.lit(False)))
+    semantic = F.size(having("main", "nav", "article", "section", "aside", "header", "footer", "figure", "figcaption"))
+    return {"main": (F.size(having("main")) > 0) | role("main"), "nav": (F.size(having("nav")) > 0) | role("navigation"), "semantic": semantic, "inputs": form_inputs()}
+
+
+def accessibility_score() -> Column:
+    """Up to 4: main and nav landmarks, labelled inputs, semantic elements."""
+    f = fact("content.accessibility")
+    main, inputs = f("main"), f("inputs")
+    share = rounded(F.size(F.filter(inputs, lambda x: x["named"])) / F.nullif(F.size(inputs), F.lit(0)) * 100)
+    return rounded(_less(4, _if(~main, 1.75), _if(~f("nav"), 0.75), _if(F.coalesce(share < 50, F.lit(False)), 0.75), _if((f("semantic") < 5) & ~main, 0.75)), 1)
 
 
 def author_score() -> Column:
@@ -397,7 +444,7 @@ PAGE_CHECKS = (
     Check("content.internal-links", "content", 4, internal_links_score),
     Check("content.quality", "content", 5, quality_score),
     Check("content.freshness", "content", 5, freshness_score),
-    Check("content.accessibility", "content", 4, accessibility_score),
+    Check("content.accessibility", "content", 4, accessibility_score, accessibility_facts),
     Check("meta.language", "meta", 3, language_score),
     Check("meta.open-graph", "meta", 3, open_graph_score),
     Check("meta.twitter-cards", "meta", 3, twitter_score),

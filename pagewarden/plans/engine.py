@@ -280,20 +280,3 @@ def payloads(states: DataFrame, findings: DataFrame) -> DataFrame:
     cats = category_totals(states).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("category", "score", "max", "skipped"))).alias("categories"))
     rows = site_totals(states).join(cats, "site_id").join(checks, "site_id")
     return rows.select("site_id", F.to_json(F.struct("total", "available", "percentage", "grade", "na_weight", "skipped_weight", "categories", "checks")).alias("payload"))
-
-
-def page_runs(results: DataFrame) -> DataFrame:
-    """Runs of page checks from page results (site_id, page_id, check_id, weight, score)."""
-    lost = F.col("weight") - F.col("score")
-    message = F.when(lost == 0, F.lit("Nothing to mend")).otherwise(F.concat(F.lit("Loses "), lost, F.lit(" of "), F.col("weight")))
-    none = F.array().cast(f"array<{FINDING}>")
-    no = F.lit(False)
-    found = F.when(lost > 0, F.array(F.struct(message.alias("message"), F.col("page_id").cast("string").alias("file"), F.lit(None).cast("int").alias("line")))).otherwise(none)
-    return results.select("site_id", "page_id", F.col("page_id").alias("seq"), "check_id", F.col("score").cast("double").alias("score"), no.alias("na"), no.alias("inconclusive"), no.alias("predicted"), message.alias("message"), F.lit("").alias("recommendation"), found.alias("findings"), none.alias("advice"))
-
-
-def site_runs(check_id: str, scores: DataFrame) -> DataFrame:
-    """Runs of a check of whole sites from (site_id, score), and inconclusive and na where there are such columns."""
-    flag = lambda c: (F.col(c) if c in scores.columns else F.lit(False)).alias(c)
-    none = F.array().cast(f"array<{FINDING}>")
-    return scores.select("site_id", F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("seq"), F.lit(check_id).alias("check_id"), F.col("score").cast("double").alias("score"), flag("na"), flag("inconclusive"), F.lit(False).alias("predicted"), F.concat(F.lit("Scores "), number(F.col("score"))).alias("message"), F.lit("").alias("recommendation"), none.alias("findings"), none.alias("advice"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions.nodes import first, having, meta, text_content, visible_text
 from pagewarden.functions.text import SPACE, collapsed, words
-from pagewarden.operators.checks import _resolved, json_ld_blocks, main_candidates, title_text, url_path
+from pagewarden.operators.checks import json_ld_blocks, resolved, main_candidates, title_text, url_path
 from pagewarden.sources.structured_data import structured_data
 
 #: Hosts of social profiles, logo files by priority, first path segments of pages that are optional reading.
@@ -29,13 +29,13 @@ def _tags(prefix: str) -> Column:
 def page_facts(pages: DataFrame) -> DataFrame:
     """One row of facts per page of (site_id, page_id, url, nodes); a page without nodes has nulls and empty lists."""
     clean = lambda n: collapsed(F.coalesce(text_content(n), F.lit("")))
-    rows = pages.select("*", main_candidates().alias("candidates"), structured_data(json_ld_blocks()).alias("ld"))
+    rows = pages.select("*", main_candidates().alias("candidates"), structured_data(*json_ld_blocks()).alias("ld"))
     wanted = F.try_element_at(F.array_sort(F.filter("candidates", lambda c: c["rank"].isin(0, 1, 7))), F.lit(1))
     rows = rows.withColumn("main", F.get("nodes", wanted["id"]))
     inside = lambda n: (n["id"] > F.col("main.id")) & (n["id"] <= F.col("main.end"))
     paragraph = F.try_element_at(F.filter(F.transform(having("p", also=inside), clean), lambda t: F.size(F.split(t, " ")) >= 8), F.lit(1))
     alt = lambda n: collapsed(F.coalesce(n["attrs"]["alt"], F.lit("")))
-    hrefs = F.transform(having("a", also=lambda n: n["attrs"]["href"].isNotNull()), lambda n: _resolved(n["attrs"]["href"], F.col("url")))
+    hrefs = F.transform(having("a", also=lambda n: n["attrs"]["href"].isNotNull()), lambda n: resolved(n["attrs"]["href"], F.col("url")))
     social = F.filter(hrefs, lambda u: F.coalesce(F.try_parse_url(u, F.lit("HOST")).rlike(SOCIAL_HOSTS) & (F.length(F.try_parse_url(u, F.lit("PATH"))) > 1), F.lit(False)))
     head = first(having("head"))
     last = F.array_max(F.transform(F.filter("nodes", lambda n: (n["id"] >= head["id"]) & (n["id"] <= head["end"])), lambda n: n["line"]))

@@ -13,16 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, path_key, sitemap_score, template_sample
-from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, url_path, with_facts
+from pagewarden.functions.nodes import first, having
+from pagewarden.operators.access import BOTS, MAJOR_BOTS, bot_access, bot_crawlability, directives, excluded_pages, headers_for, noindex_for_all, page_intents, path_key, sitemap_score, template_sample
+from pagewarden.operators.checks import GENERIC_ANCHORS, GENERIC_DESCRIPTIONS, GENERIC_HEADINGS, GENERIC_TITLES, LANGUAGES, POST_TYPES, REGIONS, WORD_COUNTS, resolved, url_path, with_facts
 from pagewarden.operators.readiness import ALL_PAGE_CHECKS, APP_ROOTS, IMPERSONAL_TYPES, MAIN_BUCKETS, PERSONAL, SUPPORT_BUCKETS, robots_state
-from pagewarden.operators.site_checks import API_SEGMENTS, ARTIFACTS, content_signals, https_score, llms_txt_score, markdown_score, protocols_score
-from pagewarden.plans.engine import FINDING, RUBRIC, category_totals, check_states, console_summaries, finding_groups, page_runs, payloads, reports, rubric_table, rubric_totals, site_runs, site_totals
+from pagewarden.operators.results import DESCRIPTION_FIX, OPEN_GRAPH_FIX, TWITTER_FIX, VIEWPORT_TAG, decided
+from pagewarden.operators.results import page_runs as told_pages
+from pagewarden.operators.site_checks import API_SEGMENTS, ARTIFACTS, api_evidence, artifacts_found, content_signals, https_score, is_html, llms_txt_score, markdown_alternate, markdown_score, protocols_score
+from pagewarden.operators.site_results import HTTPS_HOSTS, LABELS, bot_list, crawler_blocks, crawler_rules, declared_schemes, evidence, https_runs, live_markdown_runs, llms_runs, mixed_parts, page_schemes, predicted_http_runs, probe_plan, protocol_runs, robots_runs, scheme_votes, signal_runs, sitemap_runs
+from pagewarden.plans.engine import RUBRIC, category_totals, check_states, console_summaries, finding_groups, payloads, reports, rubric_table, rubric_totals, site_totals
 from pagewarden.plans.facts import brands, llms_drafts, page_facts
 from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summary, compared, excluding, page_results, problems, site_of, site_summary, with_nodes
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
-from pagewarden.sources.site_tree import HOSTS, hosts, http_behaviour, page_list, predicted_answers, redirect_rules, served_roots, stacks, unknown_url_points
+from pagewarden.sources.site_tree import HOSTS, generators, hosts, http_behaviour, page_list, predicted_answers, predicted_artifacts, redirect_rules, served_roots, stacks, unknown_url_points
 from pagewarden.sources.structured_data import KINDS
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
@@ -115,6 +119,8 @@ _HAS = lambda x, k: f"regexp_matches({x}, '(?i)\\s{k}(=|\\s|>)')"
 #: Whether the words of a field's name hold one of personal data.
 _FIELD = lambda x: f"len(list_filter(regexp_split_to_array(lower(regexp_replace(concat({_ATTR(x, 'name')}, ' ', {_ATTR(x, 'id')}), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[-_0-9 ]+'), lambda w: w IN {_in(PERSONAL)})) > 0"
 
+#: One key for the forms of a path.
+_KEY = lambda p: f"coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '[?#].*$', ''), '(?i)/index\\\\.html?$', '/'), '(?i)\\\\.html?$', ''), '/+$', '')), ''), '/')"
 #: Scores per page, read from the HTML.
 _PAGES = rf"""
 page§ AS (SELECT page_id, url, §html AS h, §header AS sent_header FROM pages),
@@ -133,13 +139,16 @@ raw§ AS (
     regexp_matches(h, '<meta name="viewport"') AS sized, string_split_regex(regexp_extract(h, '<meta name="viewport" content="([^"]*)"', 1), '[,;]') AS settings,
     list_transform(regexp_extract_all(h, '(?i)<meta name="(?:robots|googlebot|bingbot)" content="[^"]*"'), lambda m: lower(regexp_extract(m, 'content="([^"]*)"', 1))) || [coalesce(sent_header, '')] AS said
   FROM page§),
+keyed§ AS (SELECT site_id, page_id, §key AS key, regexp_extract(h, '(?i)<meta name="robots" content="([^"]*)"', 1) AS told, coalesce(sent_header, '') AS sent_with FROM raw§),
+wanted§ AS (SELECT k.site_id, k.page_id, (len(list_filter(string_split(lower(told), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0 OR len(list_filter(string_split(lower(sent_with), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0) AND key <> '/'
+    AND NOT EXISTS (SELECT 1 FROM keyed§ l WHERE l.site_id = k.site_id AND l.key = k.key AND l.page_id % 8 = 3) AND count(*) OVER (PARTITION BY k.site_id) > 1 AS out FROM keyed§ k),
 facts§ AS (
-  SELECT *, length(title) AS n, string_split(title, ' ') AS tokens, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments,
+  SELECT *, (SELECT w.out FROM wanted§ w WHERE w.page_id = raw§.page_id) AS meant, length(title) AS n, string_split(title, ' ') AS tokens, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments,
     {_words(_plain('article'))} AS words, {_words("regexp_replace(body, '<[^>]*>', ' ', 'g')")} AS sent, concat(regexp_extract(article, '<p class="byline">([^<]*)', 1), ' ', substr({_plain('body')}, 1, 5000)) AS shown,
     len(list_filter(string_split(article, '<p>')[2:], lambda x: length(trim(replace(regexp_replace(regexp_extract(x, '(?s)^(.*?)(?:</p>|$)', 1), '<[^>]*>', '', 'g'), '&amp;', '&'))) > 50 OR (NOT contains(x, '</p>') AND length(regexp_replace(article, '<[^>]*>', '', 'g')) > 80))) AS paragraphs,
     list_transform(regexp_extract_all(h, '(?s)<h[1-6][^>]*>.*?</h[1-6]>'), lambda x: {{'level': substr(x, 3, 1)::INT, 'text': lower(trim({_plain('x')}))}}) AS heads,
     regexp_extract_all(h, '<img [^>]*>') AS images,
-    list_transform(regexp_extract_all(h, '(?s)<a [^>]*>.*?</a>'), lambda x: {{'href': {_ATTR('x', 'href')}, 'text': lower(trim({_plain('x')})), 'inside': contains(article, x)}}) AS anchors,
+    list_transform(regexp_extract_all(h, '(?s)<a [^>]*>.*?</a>'), lambda x: {{'href': {_ATTR('x', 'href')}, 'text': lower(trim({_plain('x')})), 'said': trim({_plain('x')}), 'inside': contains(article, x)}}) AS anchors,
     regexp_extract_all(article, '(?s)<(?:input|textarea|select)(?: [^>]*)?>') AS fields,
     list_transform(regexp_extract_all(article, '<label for="([^"]*)"', 1), lambda x: x) AS labelled,
     list_transform(list_filter(blocks, lambda b: json_valid(b)), lambda b: {{'t': json_extract_string(b, '$."@type"'), 'b': b}}) AS nodes,
@@ -176,7 +185,7 @@ judged§ AS (
   FROM facts§),
 counted§ AS (
   SELECT *, len(list_filter(tokens, lambda t: t IN ('-', '|', '–', '—', '·', ':'))) + len(list_filter(tokens[:-2], lambda t: length(t) > 1 AND t LIKE '%:')) AS separators,
-    length(trim(description)) AS dn, list_filter(regexp_split_to_array(lower(description), '\s+'), lambda w: length(w) > 3) AS dwords,
+    length(trim({_plain('description')})) AS dn, list_filter(regexp_split_to_array(lower(description), '\s+'), lambda w: length(w) > 3) AS dwords,
     len(list_filter(range(2, len(heads) + 1), lambda i: heads[i].level > heads[i - 1].level + 1)) AS skips, len(list_filter(heads, lambda x: x.level = 1)) AS ones, len(list_filter(heads, lambda x: length(x.text) < 3 OR x.text IN {_in(GENERIC_HEADINGS)})) AS generic_heads,
     floor(len(list_filter(shown_images, lambda x: trim({_ATTR('x', 'alt')}) <> '')) / nullif(len(shown_images), 0) * 100 + 0.5) AS alt_share,
     len(list_filter(links, lambda x: x.inside)) AS content_links, len(list_filter(links, lambda x: x.inside AND (length(x.text) < 2 OR x.text IN {_in(GENERIC_ANCHORS)}))) AS generic_links,
@@ -229,7 +238,7 @@ scores§ AS (
     {{'check_id': 'content.author', 'category': 'content', 'weight': 5, 'x': CASE WHEN coalesce(named, FALSE) THEN 2 WHEN marked THEN 1 ELSE 0 END + CASE WHEN expert THEN 1 ELSE 0 END + CASE WHEN bio THEN 1 ELSE 0 END + CASE WHEN trust >= 3 THEN 1 ELSE 0 END}},
     {{'check_id': 'structured-data.present', 'category': 'structured-data', 'weight': 15, 'x': CASE WHEN ld <> [] THEN least(15, 4 + CASE WHEN mains > 0 THEN 7 + 2 * (mains - 1) WHEN bad_mains > 0 THEN 2 ELSE 0 END + faq + support) WHEN contains(h, '<div itemscope>') THEN 4 ELSE 0 END}},
     {{'check_id': 'structured-data.valid', 'category': 'structured-data', 'weight': 5, 'x': CASE WHEN blocks = [] THEN 0 ELSE 5 - broken * 0.5 - CASE WHEN ld = [] OR rate < 50 THEN 2 WHEN rate < 80 THEN 1 WHEN rate < 100 THEN 0.5 ELSE 0 END END}},
-    {{'check_id': 'crawlability.indexability', 'category': 'crawlability', 'weight': 8, 'x': CASE WHEN noindex OR errors >= 2 OR elsewhere THEN 0 ELSE 8 - canonical_cost - CASE WHEN nofollow THEN 2 ELSE 0 END END}},
+    {{'check_id': 'crawlability.indexability', 'category': 'crawlability', 'weight': 8, 'x': CASE WHEN meant THEN 8 WHEN noindex OR errors >= 2 OR elsewhere THEN 0 ELSE 8 - canonical_cost - CASE WHEN nofollow THEN 2 ELSE 0 END END}},
     {{'check_id': 'agent-readiness.server-rendered', 'category': 'agent-readiness', 'weight': 6, 'x': CASE WHEN rooted AND sent < 50 THEN 0 WHEN (rooted AND sent < 150) OR (NOT rooted AND sent < 30 AND contains(h, '<script>')) THEN 3 - CASE WHEN ones = 0 THEN 1 ELSE 0 END - CASE WHEN title = '' THEN 1 ELSE 0 END ELSE 6 END}},
     {{'check_id': 'agent-readiness.controls', 'category': 'agent-readiness', 'weight': 4, 'x': CASE WHEN {_share('buttons', "x <> ''")} >= 90 THEN 1 ELSE 0 END + CASE WHEN {_share('anchors', "NOT regexp_matches(trim(x.href), '(?i)^(#?$|javascript:)')")} >= 90 THEN 1 ELSE 0 END
         + CASE WHEN contains(article, '<div onclick=') THEN 0 ELSE 1 END + CASE WHEN {_share('personal', _ATTR('x', 'autocomplete') + " NOT IN ('', 'off')")} >= 90 THEN 1 ELSE 0 END}}
@@ -243,15 +252,21 @@ checks§ AS (
 
 def _pages_sql(html: str, header: str = "NULL::VARCHAR", name: str = "") -> str:
     """Scores of pages with this HTML; name: what the tables' names end in."""
-    return _PAGES.replace("§html", html).replace("§header", header).replace("§", name)
+    return _PAGES.replace("§html", html).replace("§header", header).replace("§key", _KEY("path")).replace("§", name)
 
 
 SQL_PAGES = _pages_sql(AUGMENTED, ROBOTS_HEADER)
 _FULL = "SELECT *, CASE WHEN score / weight * 100 >= 80 THEN 'pass' WHEN score / weight * 100 >= 50 THEN 'warning' ELSE 'fail' END AS status, floor((weight - score) * 10 + 0.5) / 10 AS lost FROM checks"
 
 
+def _listed(pages: DataFrame) -> DataFrame:
+    """Keys of the pages in each site's sitemap: every eighth page is in it."""
+    return pages.filter("page_id % 8 = 3").select(site_of(F.col("url")).alias("site_id"), path_key(url_path()).alias("key")).distinct()
+
+
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_results(augmented(spark, sf_dir))
+    pages = augmented(spark, sf_dir)
+    return page_results(pages, listed=_listed(pages))
 
 
 def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,13 +287,14 @@ def site_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check scores of the raw pages against those of the augmented ones."""
-    raw = page_results(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    raw = page_results(pages, listed=_listed(pages))
     return compared(check_summary(raw), check_scores(spark, sf_dir))
 
 
 def _one(check_id: str) -> Callable[[SparkSession, str], DataFrame]:
     check = next(c for c in ALL_PAGE_CHECKS if c.id == check_id)
-    return lambda spark, sf_dir: page_results(augmented(spark, sf_dir), (check,))
+    return lambda spark, sf_dir: page_results(augmented(spark, sf_dir), (check,), _listed(augmented(spark, sf_dir)))
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,31 +416,127 @@ def noindex_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site scores over all page checks, without pages that are kept out of search on purpose."""
-    return site_summary(check_summary(excluding(page_results(augmented(spark, sf_dir)), noindex_pages(spark, sf_dir))))
+    return site_summary(check_summary(excluding(page_scores(spark, sf_dir), noindex_pages(spark, sf_dir))))
+
+
+#: What live sites answer where no text was read, by what is asked for; sites of even name lengths are live.
+LIVE = "length(site_id) % 2 = 0"
+ANSWERS = {"robots": "CASE length(site_id) % 5 WHEN 1 THEN 403 WHEN 2 THEN 200 ELSE 404 END", "llms": "CASE length(site_id) % 3 WHEN 1 THEN 503 ELSE 404 END", "sitemap": "CASE length(site_id) % 7 WHEN 3 THEN 429 ELSE 404 END"}
+TEXTS = {"robots": ("robots.txt", lambda: ROBOTS), "llms": ("llms.txt", lambda: LLMS), "sitemap": ("sitemap.xml", lambda: SITEMAP)}
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each site's robots.txt, llms.txt and sitemap."""
+    own = _sites(spark, sf_dir)
+    sites = own.select("site_id", F.expr(LIVE).alias("live"), F.concat(F.lit("https://"), "site_id").alias("origin"))
+    texts = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(path).alias("path"), F.expr(text()).alias("text")) for k, (path, text) in TEXTS.items()))
+    answers = F.array(*(F.struct(F.lit(k).alias("name"), F.expr(said).alias("status"), F.lit(False).alias("timed_out")) for k, said in ANSWERS.items()))
+    files = site_files(spark, sf_dir)
+    return evidence(sites, own.select("site_id", F.inline(texts)).filter("text is not null"), own.select("site_id", F.inline(answers)), generators(files, stacks(files)))
+
+
+def evidence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the checks that rest on robots.txt, llms.txt and sitemaps."""
+    known = _evidence(spark, sf_dir).persist()  # one row per site and name, read by four checks
+    headers = _sites(spark, sf_dir).withColumn("header", F.expr(SIGNAL_HEADER))
+    return robots_runs(known).unionByName(llms_runs(known)).unionByName(signal_runs(known, headers)).unionByName(sitemap_runs(known))
+
+
+def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their scores, and whether they are inconclusive or predicted."""
+    return evidence_runs(spark, sf_dir).select("site_id", "check_id", "score", "inconclusive", "predicted")
+
+
+def site_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).select("site_id", "name", "state", "source")
+
+
+def blocked_crawlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule keeps which crawlers out, and which delay slows them."""
+    robots = _sites(spark, sf_dir).withColumn("text", F.expr(ROBOTS)).filter("trim(text) <> ''")
+    return crawler_blocks(crawler_rules(robots, bot_list(spark))).select("site_id", "kind", "line", "rule", "delay", F.array_join("crawlers", ", ").alias("crawlers"), "n")
+
+
+#: Headers that sites known by their files send for '/', and their base URLs.
+HSTS = "length(site_id) % 11 = 5"
+BASE_URL = "CASE length(site_id) % 4 WHEN 1 THEN concat('http://', site_id) WHEN 2 THEN concat('https://', site_id, '/') END"
+
+
+def site_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each site is served, by what its files force or declare and where it is hosted."""
+    own, files = _sites(spark, sf_dir), site_files(spark, sf_dir)
+    headers = own.filter(HSTS).select("site_id", F.lit("strict-transport-security").alias("name"), F.lit("_headers").alias("source"))
+    pages = with_nodes(augmented(spark, sf_dir))
+    return scheme_votes(pages, own.withColumn("base_url", F.expr(BASE_URL)), redirect_rules(files), headers, hosts(files))
+
+
+def _site_facts(nodes: DataFrame) -> DataFrame:
+    """What checks of sites and of Markdown read of each page, a few values a page."""
+    head = F.coalesce(first(having("head"))["line"], F.lit(1))
+    tools = F.size(F.filter("nodes", lambda n: F.coalesce(n["attrs"]["toolname"], n["attrs"]["tooldescription"]).isNotNull()))
+    return nodes.select("site_id", "page_id", "url", resolved(markdown_alternate(), F.col("url")).alias("alternate"), head.alias("head_line"), mixed_parts().alias("mixed"), declared_schemes().alias("declared"), tools.alias("tools"), api_evidence().alias("api"))
+
+
+def _markdown_runs(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    asked = probe_plan(pages.select("site_id", "page_id", F.col("page_id").alias("seq")))
+    probes = _probes(spark, sf_dir).filter("probe <> 'guessed'").withColumns({"timed_out": F.lit(False), "html": is_html(F.col("text"), F.col("content_type"))})
+    kept = probes.join(asked, ["site_id", "page_id"], "left_semi")
+    return live_markdown_runs(pages.select("site_id", "page_id", "url", "alternate", "head_line"), kept)
+
+
+def _https_runs(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    secure = F.min(F.when(F.lower("url").startswith("https:"), True).when(F.lower("url").startswith("http:"), False))
+    live = pages.groupBy("site_id").agg(secure.alias("secure")).select("site_id", F.concat(F.when(F.col("secure"), "https://").otherwise("http://"), "site_id").alias("origin"), F.expr("CASE length(site_id) % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 END").alias("http_status"), F.concat(F.lit("https://"), "site_id").alias("location"), F.lit(None).cast("string").alias("hsts"))
+    none = live.filter("false").selectExpr("site_id", "cast(null as string) as scheme", "cast(null as string) as evidence")
+    return https_runs(none, live, page_schemes(pages))
+
+
+def _protocol_runs(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    entries = F.array(*(F.when(F.length("site_id") % k == m, F.struct(F.lit(p).alias("path"), F.lit(c).alias("content_type"), F.lit(t).alias("text"))) for p, c, t, k, m in ARTIFACT_FILES))
+    sites = _sites(spark, sf_dir).withColumn("origin", F.concat(F.lit("https://"), "site_id"))
+    files = sites.select("site_id", F.inline(F.array_compact(entries)))
+    found = artifacts_found(files)
+    kinds = spark.createDataFrame([(p, k) for p, k, _ in ARTIFACTS], "path string, kind string")
+    guessed = predicted_artifacts(site_files(spark, sf_dir), LABELS).withColumnRenamed("artifact", "path").join(F.broadcast(kinds), "path").select("site_id", "path", "kind")
+    shown = pages.groupBy("site_id").agg(F.sum("tools").alias("tools"), F.slice(F.array_sort(F.collect_set(F.when(F.col("api"), F.struct(F.col("url").alias("sample"), F.col("url").alias("file"), F.lit(1).alias("line"))))), 1, 5).alias("api"))
+    invalid = files.select("site_id", "path").join(found.select("site_id", "path"), ["site_id", "path"], "left_anti")
+    closed = sites.filter("false").select("site_id", F.lit("").alias("path"), F.lit("").alias("label"))
+    return protocol_runs(sites, found, guessed, invalid, closed, shown)
+
+
+def _http_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = site_files(spark, sf_dir)
+    roots, rules = served_roots(files), redirect_rules(files)
+    return predicted_http_runs(unknown_url_points(files, rules, stacks(files), hosts(files), roots), predicted_answers(page_list(files, roots), rules, files, roots), _hidden(spark, sf_dir, page_list(files, roots)))
+
+
+def _hidden(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """Pages that the header rules of their site keep out of search."""
+    sent = headers_for(pages.withColumn("page_id", F.col("url_path")), header_rules(_sites(spark, sf_dir).withColumn("text", F.expr(HEADERS))), header_pattern_regex(F.col("pattern")))
+    return sent.filter((F.col("name") == "x-robots-tag") & F.exists("values", lambda v: directives(v)["noindex"])).select("site_id", F.col("page_id").alias("url_path"))
 
 
 def audit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs for the engine: page scores with messages and findings made from them, and checks of whole sites."""
-    scores = page_scores(spark, sf_dir)
-    lost = F.col("weight") - F.col("score")
-    message = F.when(lost == 0, F.lit("All is there")).when(F.col("score") == 0, F.lit("Nothing found")).otherwise(F.concat(F.lit("Lost "), lost))
-    path = F.concat(F.lit("page"), F.col("page_id"), F.lit(".html"))
-    finding = lambda text: F.struct(text.alias("message"), path.alias("file"), (F.col("page_id") % 40).cast("int").alias("line"))
-    found = F.when(lost == 0, F.array().cast(f"array<{FINDING}>")).when(F.col("score") == 0, F.array(finding(message), finding(F.lit("Author attribution and all else is missing")))).otherwise(F.array(finding(message)))
-    pages = scores.select(
-        "site_id", "page_id", F.col("page_id").alias("seq"), "check_id", F.col("score").cast("double").alias("score"), F.lit(False).alias("na"),
-        ((F.col("page_id") % 10 == 7) & (F.col("category") == "structured-data")).alias("inconclusive"), (F.col("page_id") % 5 == 2).alias("predicted"),
-        message.alias("message"), F.when(lost > 1, F.concat(F.lit("Raise it by "), lost)).otherwise(F.lit("")).alias("recommendation"), found.alias("findings"), F.array().cast(f"array<{FINDING}>").alias("advice"),
-    )
-    n = F.length("site_id")
-    entries = F.array(*(F.struct(F.lit(c).alias("check_id"), (n % (w + 2) - 0.5).alias("score"), F.lit(na).alias("na")) for c, w, na in _SITE_RUNS))
-    sites = _sites(spark, sf_dir).select("site_id", F.inline(entries))
-    site = sites.select("site_id", F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("seq"), "check_id", "score", (F.col("na") & (n % 2 == 0)).alias("na"), (n % 3 == 0).alias("inconclusive"), F.lit(False).alias("predicted"), F.lit("Of the site").alias("message"), F.lit("").alias("recommendation"), F.array(F.struct(F.lit("Of the site").alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))).alias("findings"), F.array().cast(f"array<{FINDING}>").alias("advice"))
-    return pages.unionByName(site)
-
-
-#: Checks of whole sites in audit_runs: id, weight, whether they may not apply.
-_SITE_RUNS = (("ai-access.bot-crawlability", 12, False), ("ai-access.content-signals", 3, False), ("crawlability.sitemap", 5, False), ("agent-readiness.protocols", 6, True))
+    """Runs of all 26 checks, with messages, findings and advice."""
+    pages = augmented(spark, sf_dir)
+    nodes = with_nodes(pages, author=True)
+    intents = page_intents(pages.select(site_of(F.col("url")).alias("site_id"), "page_id", url_path().alias("url_path")), _listed(pages))
+    runs = decided(told_pages(nodes, ALL_PAGE_CHECKS), intents)
+    few = _site_facts(with_nodes(pages)).persist()  # a few values a page, read by three checks
+    for more in (_markdown_runs(spark, sf_dir, few), _https_runs(spark, sf_dir, few), _protocol_runs(spark, sf_dir, few), _http_runs(spark, sf_dir), evidence_runs(spark, sf_dir)):
+        runs = runs.unionByName(more)
+    return runs
+
+
+def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ten page checks say of each page, and their findings with lines."""
+    own = told_pages(with_nodes(augmented(spark, sf_dir)), [c for c in ALL_PAGE_CHECKS if c.id in TOLD_IN_SQL])
+    said = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["line"], f["message"])), " | ")
+    return own.select("page_id", "check_id", "message", said.alias("findings"), "recommendation")
+
+
+#: The checks of page_messages.
+TOLD_IN_SQL = ("meta.title", "meta.description", "meta.viewport", "meta.language", "meta.open-graph", "meta.twitter-cards", "content.headings", "content.image-alt", "content.internal-links", "content.quality")
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,16 +544,20 @@ def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every check of every site: status, score, message, recommendation."""
+    """Every check of every site: status, score, what was lost, flags, pages."""
+    return _states(spark, sf_dir).drop("message", "recommendation")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_states(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir), _modes(spark, sf_dir))
 
 
 def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_totals(audit_states(spark, sf_dir))
+    return site_totals(_states(spark, sf_dir))
 
 
 def audit_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return category_totals(audit_states(spark, sf_dir))
+    return category_totals(_states(spark, sf_dir))
 
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,20 +567,20 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return console_summaries(audit_states(spark, sf_dir))
+    return console_summaries(_states(spark, sf_dir))
 
 
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown reports."""
     found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
     notes = _sites(spark, sf_dir).select("site_id", F.concat(F.lit("Pages of "), "site_id").alias("note"))
-    return reports(audit_states(spark, sf_dir), found, notes)
+    return reports(_states(spark, sf_dir), found, notes)
 
 
 def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results as JSON."""
     found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
-    return payloads(audit_states(spark, sf_dir), found)
+    return payloads(_states(spark, sf_dir), found)
 
 
 #: Files of a site besides its pages: name, text, and for which lengths of its name (length % k = m).
@@ -587,22 +703,13 @@ def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = site_files(spark, sf_dir)
     roots, rules = served_roots(files), redirect_rules(files)
     pages = page_list(files, roots)
-    sent = headers_for(pages.withColumn("page_id", F.col("url_path")), header_rules(_sites(spark, sf_dir).withColumn("text", F.expr(HEADERS))), header_pattern_regex(F.col("pattern")))
-    kept_out = sent.filter((F.col("name") == "x-robots-tag") & F.exists("values", lambda v: directives(v)["noindex"])).select("site_id", F.col("page_id").alias("url_path"))
-    return http_behaviour(predicted_answers(pages, rules, files, roots), kept_out, unknown_url_points(files, rules, stacks(files), hosts(files), roots))
+    return http_behaviour(predicted_answers(pages, rules, files, roots), _hidden(spark, sf_dir, pages), unknown_url_points(files, rules, stacks(files), hosts(files), roots))
 
 
 def whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over all checks of pages and sites."""
-    runs = page_runs(page_scores(spark, sf_dir))
-    markdown = markdown_scores(spark, sf_dir).select("site_id", "page_id", F.lit("agent-readiness.markdown").alias("check_id"), F.lit(3).alias("weight"), "score")
-    protocols = protocol_scores(spark, sf_dir).select("site_id", F.coalesce("score", F.lit(0)).alias("score"), F.col("score").isNull().alias("na"))
-    runs = runs.unionByName(page_runs(markdown)).unionByName(site_runs("agent-readiness.protocols", protocols))
-    own = {"ai-access.content-signals": content_signal_scores, "crawlability.https": https_scores, "ai-access.bot-crawlability": robots_access, "ai-access.llms-txt": llms_scores, "crawlability.sitemap": sitemap_scores, "crawlability.http-behavior": http_scores}
-    for check, scores in own.items():
-        runs = runs.unionByName(site_runs(check, scores(spark, sf_dir)))
+    """Totals over all checks of pages and sites, every site read whole."""
     sites = _sites(spark, sf_dir).withColumn("mode", F.lit("full"))
-    return site_totals(check_states(runs, rubric_table(spark), noindex_pages(spark, sf_dir), sites))
+    return site_totals(check_states(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir), sites))
 
 
 def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,44 +738,35 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_sample(links)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts, http_scores, whole_audit, content_signal_scores, https_scores, markdown_scores, protocol_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (site_scorecard, page_scores, check_scores, category_scores, site_problems, score_changes, page_quality, page_titles, page_elements, robots_access, robots_bots, llms_scores, sitemap_scores, sitemap_urls, noindex_pages, page_headers, directive_flags, path_keys, page_sample, full_scorecard, audit_states, audit_totals, audit_categories, audit_findings, audit_summaries, audit_reports, audit_payloads, rubric_maxima, site_page_lists, site_stacks, site_hosts, site_redirects, site_answers, unknown_urls, site_page_facts, llms_texts, http_scores, whole_audit, content_signal_scores, https_scores, markdown_scores, protocol_scores, evidence_scores, site_evidence, blocked_crawlers, site_schemes, page_messages)}
 _KEYS = {c.id: "check_" + c.id.replace(".", "_").replace("-", "_") for c in ALL_PAGE_CHECKS}
 QUERIES |= {name: _one(i) for i, name in _KEYS.items()}
 
 _WITH = f"WITH {SQL_PAGES}"
-_KEY = lambda p: f"coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '[?#].*$', ''), '(?i)/index\\\\.html?$', '/'), '(?i)\\\\.html?$', ''), '/+$', '')), ''), '/')"
 #: Pages kept out of search on purpose: noindex for all in their robots meta, no homepage, not in the sitemap.
-_OUT = f"""
-keyed AS (SELECT site_id, page_id, {_KEY('path')} AS key, regexp_extract(h, '(?i)<meta name="robots" content="([^"]*)"', 1) AS meant, coalesce(sent_header, '') AS sent_with FROM raw),
-wanted AS (SELECT k.*, (len(list_filter(string_split(lower(meant), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0 OR len(list_filter(string_split(lower(sent_with), ','), lambda x: trim(x) IN ('noindex', 'none'))) > 0) AND key <> '/'
-    AND NOT EXISTS (SELECT 1 FROM keyed l WHERE l.site_id = k.site_id AND l.key = k.key AND l.page_id % 8 = 3) AS out FROM keyed k),
-left_out AS (SELECT site_id, page_id FROM wanted w WHERE out AND (SELECT count(*) FROM wanted o WHERE o.site_id = w.site_id) > 1 AND EXISTS (SELECT 1 FROM wanted o WHERE o.site_id = w.site_id AND NOT o.out))"""
+_OUT = "left_out AS (SELECT site_id, page_id FROM wanted w WHERE out AND EXISTS (SELECT 1 FROM wanted o WHERE o.site_id = w.site_id AND NOT o.out))"
 _TOTALS = """sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, max(pages) AS pages FROM {} GROUP BY ALL),
       shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
       SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
 _RUBRIC = "rubric AS (SELECT *, split_part(check_id, '.', 1) AS category FROM (VALUES " + ", ".join(f"({k}, '{i}', '{n}', {w}, '{f}', {a})" for k, (i, n, w, f, _, a) in enumerate(RUBRIC)) + ") t(ord, check_id, name, weight, fixable, advisory))"
+#: §site stands for the runs of site checks and of Markdown, defined below.
 _RUNS = f"""{_OUT}, {_RUBRIC},
 places AS (SELECT DISTINCT site_id FROM page JOIN raw USING (page_id)),
+late AS (SELECT page_id, NOT rooted AND sent < 30 AND contains(h, '<script>') AS near, (rooted AND sent >= 50 AND sent < 150) OR (((rooted AND sent >= 50 AND sent < 150) OR (NOT rooted AND sent < 30 AND contains(h, '<script>'))) AND (ones = 0 OR title = '')) AS guess FROM counted),
 runs AS (
-  SELECT r.site_id, r.page_id, r.page_id AS seq, r.check_id, r.score, r.weight, FALSE AS na, r.page_id % 10 = 7 AND r.category = 'structured-data' AS unsure, r.page_id % 5 = 2 AS guessed,
-    CASE WHEN r.score = r.weight THEN 'All is there' WHEN r.score = 0 THEN 'Nothing found' ELSE concat('Lost ', r.weight - r.score) END AS message, CASE WHEN r.weight - r.score > 1 THEN concat('Raise it by ', r.weight - r.score) ELSE '' END AS rec, o.page_id IS NOT NULL AS out, FALSE AS advisory
-  FROM results r LEFT JOIN left_out o USING (site_id, page_id)
-  UNION ALL SELECT site_id, NULL, 0, c.id, greatest(0, least(c.w, floor(length(site_id) % (c.w + 2) - 0.5)))::INT, c.w, c.na AND length(site_id) % 2 = 0, length(site_id) % 3 = 0, FALSE, 'Of the site', '', FALSE, c.id = 'ai-access.content-signals'
-  FROM places, (VALUES {', '.join(f"('{c}', {w}, {na})" for c, w, na in _SITE_RUNS)}) c(id, w, na))"""
+  SELECT r.site_id, r.page_id, r.check_id, r.score, r.weight, FALSE AS na, r.check_id = 'agent-readiness.server-rendered' AND l.near AS unsure, r.check_id = 'agent-readiness.server-rendered' AND l.guess AS guessed, o.page_id IS NOT NULL AS out
+  FROM results r JOIN late l USING (page_id) LEFT JOIN left_out o ON o.site_id = r.site_id AND o.page_id = r.page_id
+  UNION ALL SELECT m.site_id, m.page_id, 'agent-readiness.markdown', floor(m.score)::INT, 3, FALSE, m.unsure, m.guessed, o.page_id IS NOT NULL FROM (§markdown) m LEFT JOIN left_out o ON o.site_id = m.site_id AND o.page_id = m.page_id
+  UNION ALL SELECT site_id, NULL, check_id, greatest(0, least(weight, floor(score)))::INT, weight, na, unsure, guessed, FALSE FROM (§site))"""
 _STATES = f"""{_RUNS},
-said AS (SELECT site_id, check_id, message, count(*) AS n, min(seq) AS first FROM runs WHERE NOT out AND score < weight GROUP BY ALL),
-common AS (SELECT site_id, check_id, message FROM said QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY n DESC, first) = 1),
-opening AS (SELECT site_id, check_id, message FROM runs WHERE NOT out QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY seq) = 1),
-advised AS (SELECT site_id, check_id, rec FROM runs WHERE NOT out AND score < weight AND rec <> '' QUALIFY row_number() OVER (PARTITION BY site_id, check_id ORDER BY seq) = 1),
 sums_of AS (SELECT site_id, check_id, count(*) FILTER (NOT out) AS n, count(*) FILTER (out) AS outs, sum(score) FILTER (NOT out) AS total, count(*) FILTER (NOT out AND na) AS nas, count(*) FILTER (NOT out AND unsure) AS unsure, count(*) FILTER (NOT out AND guessed) AS guessed, count(*) FILTER (NOT out AND score < weight) AS losing FROM runs GROUP BY ALL),
-every_ AS (SELECT p.site_id, r.*, coalesce(n, 0) > 0 AND length(p.site_id) % 19 <> 0 AS ran, coalesce(n, 0) > 0 AND length(p.site_id) % 19 <> 0 AND nas = n AS na, total / n AS share, n, outs, losing, unsure, guessed, c.message AS common, o.message AS opening, a.rec
-  FROM places p CROSS JOIN rubric r LEFT JOIN sums_of s ON s.site_id = p.site_id AND s.check_id = r.check_id LEFT JOIN common c ON c.site_id = p.site_id AND c.check_id = r.check_id LEFT JOIN opening o ON o.site_id = p.site_id AND o.check_id = r.check_id LEFT JOIN advised a ON a.site_id = p.site_id AND a.check_id = r.check_id),
-meant AS (SELECT *, CASE WHEN ran AND NOT na THEN floor(share * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS score FROM every_),
+every_ AS (SELECT p.site_id, r.*, coalesce(n, 0) > 0 AND §open AS ran, coalesce(n, 0) > 0 AND §open AND nas = n AS na, total / n AS share, n, outs, losing, unsure, guessed
+  FROM places p CROSS JOIN rubric r LEFT JOIN sums_of s ON s.site_id = p.site_id AND s.check_id = r.check_id),
+rated AS (SELECT *, CASE WHEN ran AND NOT na THEN floor(share * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS score FROM every_),
 states AS (SELECT site_id, check_id, name, category, weight, fixable, advisory, ord, score,
   CASE WHEN NOT ran THEN 'skipped' WHEN na THEN 'na' WHEN advisory THEN CASE WHEN score >= weight THEN 'pass' ELSE 'advice' END WHEN unsure > 0 AND score < weight THEN 'warning' WHEN score / weight * 100 >= 80 THEN 'pass' WHEN score / weight * 100 >= 50 THEN 'warning' ELSE 'fail' END AS status,
   CASE WHEN ran AND NOT na AND NOT advisory THEN floor((weight - score) * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS lost, ran AND NOT na AND unsure > 0 AS inconclusive, ran AND NOT na AND guessed > 0 AS predicted,
-  CASE WHEN ran THEN CASE WHEN na THEN opening ELSE coalesce(common, opening) END ELSE '' END AS message, CASE WHEN ran AND NOT na THEN coalesce(rec, '') ELSE '' END AS recommendation,
-  CASE WHEN ran THEN n ELSE 0 END::BIGINT AS pages, CASE WHEN ran THEN losing ELSE 0 END::BIGINT AS failing_pages, CASE WHEN ran THEN outs ELSE 0 END::BIGINT AS excluded_pages FROM meant)"""
+  CASE WHEN ran THEN n ELSE 0 END::BIGINT AS pages, CASE WHEN ran THEN losing ELSE 0 END::BIGINT AS failing_pages, CASE WHEN ran THEN outs ELSE 0 END::BIGINT AS excluded_pages FROM rated)"""
 _TOTALS_OF = """sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available FROM states WHERE NOT advisory GROUP BY site_id),
 shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums),
 graded AS (SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares)"""
@@ -751,23 +849,6 @@ SQL: dict[str, str] = {
     "site_page_facts": f"""{_WITH} SELECT page_id, nullif(lang, '') AS lang, nullif(title, '') AS title, CASE WHEN regexp_matches(h, '(?i)<meta name="description"') THEN {_plain('description')} END AS description, canonicals[1] AS canonical, ones::BIGINT AS h1s, len(heads)::BIGINT AS headings,
       len(list_filter(images, lambda x: trim({_ATTR('x', 'alt')}) = ''))::BIGINT AS images_without_alt, nullif({_content('property', 'article:modified_time')}, '') AS modified, nullif({_content('name', 'author')}, '') AS author, array_to_string(flatten(list_transform(nodes, lambda x: CASE WHEN x.t = 'FAQPage' THEN [x.t, 'Question'] ELSE [x.t] END)), ',') AS types FROM counted""",
     "rubric_maxima": f"WITH {_RUBRIC} SELECT category, sum(weight)::BIGINT AS max FROM rubric WHERE NOT advisory GROUP BY ROLLUP (category)",
-    "audit_states": f"{_WITH}, {_STATES} SELECT * FROM states",
-    "audit_totals": f"""{_WITH}, {_STATES}, sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available,
-      coalesce(sum(weight) FILTER (status = 'na'), 0)::BIGINT AS na_weight, coalesce(sum(weight) FILTER (status = 'skipped'), 0)::BIGINT AS skipped_weight FROM states WHERE NOT advisory GROUP BY site_id),
-      shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums)
-      SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares""",
-    "audit_categories": f"{_WITH}, {_STATES} SELECT site_id, category, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE * 10 + 0.5) / 10 AS score, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS max, coalesce(sum(weight) FILTER (status IN ('skipped', 'na')), 0)::BIGINT AS skipped FROM states WHERE NOT advisory GROUP BY ALL",
-    "audit_findings": f"""{_WITH}, {_RUNS},
-      told AS (SELECT site_id, check_id, seq, out, page_id, unnest(CASE WHEN page_id IS NULL THEN ['Of the site'] WHEN score = weight THEN [] WHEN score = 0 THEN ['Nothing found', 'Author attribution and all else is missing'] ELSE [concat('Lost ', weight - score)] END) AS message, advisory FROM runs),
-      own AS (SELECT site_id, check_id, seq, page_id, (out OR advisory) AS advice, CASE WHEN out THEN 'Page kept out of search: ' || message ELSE message END AS message, CASE WHEN out THEN 2 WHEN advisory THEN 0 ELSE 1 END AS turn, CASE WHEN message LIKE 'Author%' THEN 1 ELSE 0 END AS pos
-        FROM told WHERE NOT out OR check_id = 'content.freshness' OR (check_id = 'content.author' AND message LIKE 'Author%')),
-      grouped AS (SELECT site_id, check_id, advice, message, min((turn, seq, pos)) AS first, count(page_id) AS n_locations, coalesce(string_agg(concat('page', page_id, '.html:', page_id % 40), ', ' ORDER BY seq) FILTER (nth <= 5 AND page_id IS NOT NULL), '') AS locations
-        FROM (SELECT *, row_number() OVER (PARTITION BY site_id, check_id, advice, message ORDER BY turn, seq, pos) AS nth FROM own) GROUP BY ALL)
-      SELECT site_id, check_id, advice, row_number() OVER (PARTITION BY site_id, check_id, advice ORDER BY first, message)::INT AS place, message, n_locations, locations FROM grouped""",
-    "audit_summaries": f"""{_WITH}, {_STATES}, {_TOTALS_OF},
-      worst AS (SELECT site_id, string_agg(concat('- ', name, ': -', regexp_replace(lost::VARCHAR, '\\.0$', ''), ' (', CASE fixable WHEN 'auto' THEN 'auto-fix' ELSE 'assisted' END, ')'), chr(10) ORDER BY lost DESC, ord) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, ord) AS nth FROM states WHERE status IN ('fail', 'warning')) WHERE nth <= 5 GROUP BY site_id),
-      told AS (SELECT site_id, string_agg(name, ', ' ORDER BY ord) FILTER (status = 'advice') AS advised, max(excluded_pages) AS outs FROM states GROUP BY site_id)
-      SELECT t.site_id, concat_ws(chr(10), concat('Score ', total, '/', available, ' (', percentage, '%, ', grade, ')'), lines, CASE WHEN outs > 0 THEN concat('Not scored: ', outs, ' page(s) kept out of search on purpose (noindex)') END, 'Advice, no points: ' || advised) AS summary FROM graded t LEFT JOIN worst USING (site_id) JOIN told USING (site_id)""",
     "noindex_pages": f"{_WITH}, {_OUT} SELECT site_id, page_id FROM left_out",
     "full_scorecard": f"""{_WITH}, {_OUT},
       kept AS (SELECT r.site_id, r.check_id, r.weight, r.score FROM results r ANTI JOIN left_out o USING (site_id, page_id)),
@@ -783,7 +864,6 @@ SQL: dict[str, str] = {
 SQL |= {name: f"{_WITH} SELECT * FROM results WHERE check_id = '{i}'" for i, name in _KEYS.items()}
 SQL["http_scores"] = f"""WITH fine AS (SELECT site_id, count(*) FILTER (ok) / count(*) AS share FROM ({SQL["site_answers"]}) GROUP BY site_id)
 SELECT site_id, point + coalesce(share, 1) + 1 AS score, inconclusive FROM ({SQL["unknown_urls"]}) LEFT JOIN fine USING (site_id)"""
-_SITE_SCORES = " UNION ALL ".join(f"SELECT site_id, '{c}' AS check_id, {w} AS weight, least({w}, floor(score)) AS score FROM ({SQL[q]})" for c, w, q in (("ai-access.bot-crawlability", 12, "robots_access"), ("ai-access.llms-txt", 6, "llms_scores"), ("crawlability.sitemap", 5, "sitemap_scores"), ("crawlability.http-behavior", 3, "http_scores")))
 _KINDS = {p: k for p, k, _ in ARTIFACTS}
 _SIGNAL = lambda text, k: f"list_filter(list_transform(string_split(lower({text}), ','), lambda x: string_split(x, '=')), lambda x: trim(x[1]) = '{k}' AND trim(x[2]) IN ('yes', 'no'))"
 SQL["content_signal_scores"] = rf"""WITH {_SITES}, lines AS (SELECT site_id, line, trim(raw) AS x FROM {_LINES(SIGNAL_LINES)}),
@@ -803,12 +883,146 @@ shown AS (SELECT site_id, bool_or(regexp_matches(h, '<link rel="service-desc"')
 files AS (SELECT site_id, f.* EXCLUDE (k, m) FROM shown JOIN (VALUES {', '.join(f"('{p}', '{_KINDS[p]}', '{c}', '{t}', {k}, {m})" for p, c, t, k, m in ARTIFACT_FILES)}) f(path, kind, type, text, k, m) ON length(site_id) % k = m),
 good AS (SELECT site_id, count(DISTINCT kind) AS n FROM files WHERE type NOT LIKE '%html%' AND (kind = 'ai' AND trim(text) <> '' OR json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text ELSE 'null' END) = 'OBJECT' AND CASE kind WHEN 'a2a' THEN coalesce(json_extract_string(text, '$.name'), '') <> '' WHEN 'api' THEN coalesce(json_extract_string(text, '$.openapi'), '') <> '' ELSE TRUE END) GROUP BY site_id)
 SELECT site_id, coalesce(n, 0)::INT AS kinds, CASE WHEN n >= 3 THEN 6 WHEN n = 2 THEN 5 WHEN n = 1 THEN 3 WHEN api THEN 0 END::INT AS score FROM shown LEFT JOIN good USING (site_id)"""
-_SITE_SCORES += "".join(f" UNION ALL SELECT site_id, '{c}', {w}, score FROM ({SQL[q]}) WHERE score IS NOT NULL" for c, w, q in (("crawlability.https", 2, "https_scores"), ("agent-readiness.protocols", 6, "protocol_scores")))
-SQL["whole_audit"] = f"""{_WITH}, {_OUT}, every_page AS (SELECT site_id, page_id, check_id, weight, score FROM results UNION ALL SELECT site_id, page_id, 'agent-readiness.markdown', 3, score FROM ({SQL["markdown_scores"]})),
-all_checks AS (SELECT r.site_id, r.check_id, r.weight, floor(sum(r.score) / count(*) * 10 + 0.5) / 10 AS score FROM every_page r ANTI JOIN left_out o USING (site_id, page_id) GROUP BY ALL UNION ALL {_SITE_SCORES}),
-sums AS (SELECT site_id, floor(sum(score::DECIMAL(10, 1))::DOUBLE + 0.5)::BIGINT AS total, sum(weight)::BIGINT AS available, 133 - sum(weight)::BIGINT AS na_weight, 0::BIGINT AS skipped_weight FROM all_checks GROUP BY site_id),
-shares AS (SELECT *, floor(total / available * 100 + 0.5)::BIGINT AS percentage FROM sums)
-SELECT *, CASE WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
+SQL["site_evidence"] = rf"""WITH {_FILES}, {_NAMES},
+made AS (SELECT site_id, 'robots' AS name, CASE WHEN {_STACK}[1] = 'wordpress' THEN 'wordpress makes it' WHEN 'package.json' = ANY(names) THEN 'next-sitemap in package.json' END AS source FROM named_files
+  UNION ALL SELECT site_id, 'llms', CASE WHEN {_STACK}[1] = 'wordpress' THEN 'wordpress makes it' END FROM named_files
+  UNION ALL SELECT site_id, 'sitemap', CASE WHEN {_STACK}[1] = 'wordpress' THEN 'WordPress core sitemap' WHEN 'package.json' = ANY(names) THEN 'next-sitemap in package.json' END FROM named_files),
+asked AS ({' UNION ALL '.join(f"SELECT site_id, '{k}' AS name, {text()} AS text, {ANSWERS[k]} AS status, {LIVE} AS live FROM s" for k, (_, text) in TEXTS.items())})
+SELECT a.site_id, a.name, CASE WHEN text IS NOT NULL THEN 'read' WHEN live THEN CASE WHEN status IN (401, 403, 429, 503) THEN 'unreadable' ELSE 'absent' END WHEN source IS NOT NULL THEN 'generated' ELSE 'absent' END AS state, source FROM asked a LEFT JOIN made USING (site_id, name)"""
+_SAID_BY_HEADER = ", ".join(f"'{k}=' || trim(({_SIGNAL(SIGNAL_HEADER, k)})[-1][2])" for k in ("search", "ai-input", "ai-train"))
+SQL["evidence_scores"] = rf"""WITH known AS (SELECT * FROM ({SQL["site_evidence"]})), {_SITES},
+t AS (SELECT site_id, {ROBOTS} AS robots, {LLMS} AS llms, {SITEMAP} AS sitemap, {LIVE} AS live, concat_ws(', ', {_SAID_BY_HEADER}) AS said FROM s),
+state AS (SELECT t.*, r.state AS rs, l.state AS ls, m.state AS ms FROM t JOIN known r ON r.site_id = t.site_id AND r.name = 'robots' JOIN known l ON l.site_id = t.site_id AND l.name = 'llms' JOIN known m ON m.site_id = t.site_id AND m.name = 'sitemap'),
+f AS (SELECT *, coalesce(regexp_matches(robots, '(?im)^[ \t]*sitemap[ \t]*:'), FALSE) AS named, coalesce(len(regexp_extract_all(sitemap, '<loc[\s>]')), 0) AS urls, regexp_matches(llms, '^\s*#\s+\S') AND regexp_matches(llms, '\[[^\]]+\]\([^)]+\)') AS valid,
+    ms = 'unreadable' OR (ms = 'absent' AND live AND rs = 'unreadable') AS lost, len(list_filter(regexp_extract_all(lower(coalesce(robots, '')), '(?m)^user-agent:[ \t]*([^#\n]*)', 1), lambda a: trim(a) IN {_in(b.lower() for b in BOTS)})) > 0 AS addressed FROM state)
+SELECT site_id, 'ai-access.bot-crawlability' AS check_id, CASE rs WHEN 'read' THEN (SELECT score FROM ({SQL["robots_access"]}) a WHERE a.site_id = f.site_id) WHEN 'unreadable' THEN 6 ELSE 8 END::DOUBLE AS score, rs IN ('unreadable', 'generated') AS inconclusive, FALSE AS predicted FROM f
+UNION ALL SELECT site_id, 'ai-access.llms-txt', CASE WHEN ls IN ('unreadable', 'generated') THEN 3 WHEN ls = 'absent' THEN 0 ELSE greatest(0, least(6, 5 - CASE WHEN length(llms) = 0 THEN 3 WHEN length(llms) < 50 THEN 1 ELSE 0 END - CASE WHEN (SELECT blocked FROM ({SQL["llms_scores"]}) b WHERE b.site_id = f.site_id) THEN 2 ELSE 0 END + CASE WHEN valid THEN 1 ELSE 0 END)) END, ls IN ('unreadable', 'generated'), FALSE FROM f
+UNION ALL SELECT site_id, 'ai-access.content-signals', CASE WHEN said <> '' THEN 3 WHEN rs IN ('unreadable', 'generated') THEN 2 WHEN addressed THEN 1 ELSE 0 END, said = '' AND rs IN ('unreadable', 'generated'), said <> '' AND NOT live FROM f
+UNION ALL SELECT site_id, 'crawlability.sitemap', CASE WHEN lost THEN 2.5 WHEN ms = 'absent' THEN 0 ELSE greatest(0, 5 - CASE WHEN rs = 'absent' THEN 1 ELSE 0 END - CASE WHEN NOT named AND rs NOT IN ('unreadable', 'generated') THEN 2 ELSE 0 END - CASE WHEN ms = 'read' AND urls = 0 THEN 2 ELSE 0 END) END, lost OR (ms <> 'absent' AND rs IN ('unreadable', 'generated')), ms = 'generated' FROM f"""
+SQL["blocked_crawlers"] = rf"""WITH {_ROBOTS('/', _ALL_BOTS)},
+listed AS (SELECT * FROM (VALUES {', '.join(f"('{b}', {k})" for k, b in enumerate(BOTS))}) l(name, nth)),
+ruled AS (SELECT a.site_id, lower(a.v) AS agent, r.k = 'allow' AS allow, length(regexp_replace(r.v, '\$$', '')) AS n, r.line, r.v AS rule FROM runs_of a JOIN runs_of r USING (site_id, g) WHERE a.k = 'user-agent' AND r.k IN ('allow', 'disallow') AND r.v <> '' AND regexp_matches('/', '^' || replace(replace(r.v, '.', '\.'), '*', '.*'))),
+slowed AS (SELECT a.site_id, lower(a.v) AS agent, TRY_CAST(d.v AS DOUBLE) AS delay, (SELECT min(u.line) FROM runs_of u WHERE u.site_id = a.site_id AND u.g = a.g AND u.k = 'user-agent') AS line FROM runs_of a JOIN runs_of d USING (site_id, g) WHERE a.k = 'user-agent' AND d.k = 'crawl-delay'),
+best AS (SELECT q.site_id, q.name, r.allow, r.line, r.rule FROM asked q JOIN ruled r USING (site_id, agent) QUALIFY row_number() OVER (PARTITION BY q.site_id, q.name ORDER BY r.n DESC, r.allow DESC, CASE WHEN r.allow THEN -r.line ELSE r.line END) = 1),
+waits AS (SELECT q.site_id, q.name, d.delay, d.line FROM asked q JOIN slowed d USING (site_id, agent) QUALIFY row_number() OVER (PARTITION BY q.site_id, q.name ORDER BY d.delay DESC, d.line) = 1),
+told AS (SELECT site_id, name, 'rule' AS kind, line, rule, NULL::DOUBLE AS delay FROM best WHERE NOT allow UNION ALL SELECT w.site_id, w.name, 'delay', w.line, NULL, w.delay FROM waits w LEFT JOIN best b USING (site_id, name) WHERE w.delay > 5 AND coalesce(b.allow, TRUE))
+SELECT site_id, kind, line::INT AS line, rule, delay, string_agg(name, ', ' ORDER BY nth) AS crawlers, count(*) AS n FROM told JOIN listed USING (name) GROUP BY site_id, kind, line, rule, delay"""
+_SCHEME = lambda x: f"CASE WHEN regexp_matches({x}, '(?i)^https://') THEN 'https' WHEN regexp_matches({x}, '(?i)^http://') THEN 'http' END"
+SQL["site_schemes"] = rf"""{_WITH}, {_FILES.replace("own AS", "own_files AS").replace("FROM own UNION", "FROM own_files UNION")}, {_NAMES}, {_REDIRECTS.replace("rules AS", "rules_of AS")},
+votes AS (SELECT site_id, count(*) FILTER (scheme = 'https') AS https_votes, count(*) FILTER (scheme = 'http') AS http_votes FROM (SELECT site_id, {_SCHEME("canonicals[1]")} AS scheme FROM judged UNION ALL SELECT site_id, CASE WHEN regexp_matches(h, '<meta property="og:url"') THEN {_SCHEME("og_url")} END FROM judged) GROUP BY site_id),
+hosted AS (SELECT site_id, {_HOST}[1] AS host, {_HOST}[2] AS file FROM named_files),
+based AS (SELECT s.site_id, {BASE_URL.replace("site_id", "s.site_id")} AS base, {HSTS.replace("site_id", "s.site_id")} AS hsts, host, file, https_votes, http_votes, CASE host {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in HTTPS_HOSTS.items())} END AS named FROM s JOIN votes USING (site_id) JOIN hosted USING (site_id)),
+told AS (SELECT *, coalesce({_SCHEME("base")}, CASE WHEN http_votes > https_votes THEN 'http' WHEN https_votes > 0 THEN 'https' END) AS declared FROM based)
+SELECT site_id, CASE WHEN hsts THEN 'https' WHEN declared = 'http' THEN CASE WHEN named IS NOT NULL THEN 'https' ELSE 'http' END WHEN declared = 'https' OR named IS NOT NULL THEN 'https' END AS scheme, https_votes, http_votes, hsts AS forced, declared, host,
+  concat_ws('; ', CASE WHEN hsts THEN 'Strict-Transport-Security header in _headers' END, 'site URL declared as ' || declared || '://' || CASE WHEN base IS NOT NULL THEN ' (' || base || ')' ELSE '' END, named || ' serves HTTPS by default (' || file || ')') AS evidence FROM told"""
+#: Markdown of live pages; the first twenty of a site are asked for it.
+_MARKDOWN = rf"""SELECT site_id, page_id, CASE WHEN asked AND page_id % 10 = 3 THEN 3 WHEN linked AND asked AND page_id % 3 > 0 THEN 3 WHEN linked AND NOT asked THEN 3 WHEN NOT asked THEN CASE WHEN others THEN 3 ELSE 1.5 END ELSE 0 END AS score,
+  NOT asked AND (linked OR NOT others) AS unsure, NOT asked AND NOT linked AND others AS guessed
+FROM (SELECT *, bool_or(asked AND page_id % 10 = 3) OVER (PARTITION BY site_id) AS others FROM (SELECT site_id, page_id, contains(h, 'type="text/markdown" href=') AS linked, row_number() OVER (PARTITION BY site_id ORDER BY page_id) <= 20 AS asked FROM raw))"""
+_WEIGHT = "CASE check_id " + " ".join(f"WHEN '{i}' THEN {w}" for i, _, w, _, _, _ in RUBRIC) + " END"
+_SITE = f"""SELECT site_id, check_id, {_WEIGHT} AS weight, score, FALSE AS na, inconclusive AS unsure, predicted AS guessed FROM ({SQL["evidence_scores"]})
+  UNION ALL SELECT site_id, 'crawlability.http-behavior', 3, score, FALSE, inconclusive, TRUE FROM ({SQL["http_scores"]})
+  UNION ALL SELECT site_id, 'crawlability.https', 2, score, FALSE, FALSE, FALSE FROM ({SQL["https_scores"]})
+  UNION ALL SELECT site_id, 'agent-readiness.protocols', 6, coalesce(score, 0), score IS NULL, FALSE, FALSE FROM ({SQL["protocol_scores"]})"""
+
+
+def _states_sql(open_: str = "length(p.site_id) % 19 <> 0") -> str:
+    return f"{_WITH}, {_STATES}".replace("§markdown", _MARKDOWN).replace("§site", _SITE).replace("§open", open_)
+
+
+_SUMMED = """sums AS (SELECT site_id, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE + 0.5)::BIGINT AS total, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS available,
+      coalesce(sum(weight) FILTER (status = 'na'), 0)::BIGINT AS na_weight, coalesce(sum(weight) FILTER (status = 'skipped'), 0)::BIGINT AS skipped_weight FROM states WHERE NOT advisory GROUP BY site_id),
+      shares AS (SELECT *, CASE WHEN available > 0 THEN floor(total / available * 100 + 0.5) ELSE 0 END::BIGINT AS percentage FROM sums)
+      SELECT *, CASE WHEN available = 0 THEN '' WHEN percentage >= 90 THEN 'Ready for AI' WHEN percentage >= 80 THEN 'Nearly Optimized' WHEN percentage >= 70 THEN 'Needs Work' WHEN percentage >= 60 THEN 'Major Gaps' ELSE 'Not AEO Ready' END AS grade FROM shares"""
+SQL["audit_states"] = f"{_states_sql()} SELECT * FROM states"
+SQL["audit_totals"] = f"{_states_sql()}, {_SUMMED}"
+SQL["whole_audit"] = f"{_states_sql('TRUE')}, {_SUMMED}"
+SQL["audit_categories"] = f"{_states_sql()} SELECT site_id, category, floor(coalesce(sum(CASE WHEN status NOT IN ('skipped', 'na') THEN score::DECIMAL(10, 1) END), 0)::DOUBLE * 10 + 0.5) / 10 AS score, coalesce(sum(weight) FILTER (status NOT IN ('skipped', 'na')), 0)::BIGINT AS max, coalesce(sum(weight) FILTER (status IN ('skipped', 'na')), 0)::BIGINT AS skipped FROM states WHERE NOT advisory GROUP BY ALL"
+SQL["audit_summaries"] = rf"""{_states_sql()}, {_TOTALS_OF},
+      worst AS (SELECT site_id, string_agg(concat('- ', name, ': -', regexp_replace(lost::VARCHAR, '\.0$', ''), ' (', CASE fixable WHEN 'auto' THEN 'auto-fix' ELSE 'assisted' END, ')'), chr(10) ORDER BY lost DESC, ord) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY lost DESC, ord) AS nth FROM states WHERE status IN ('fail', 'warning')) WHERE nth <= 5 GROUP BY site_id),
+      told AS (SELECT site_id, string_agg(name, ', ' ORDER BY ord) FILTER (status = 'advice') AS advised, max(excluded_pages) AS outs FROM states GROUP BY site_id)
+      SELECT t.site_id, concat_ws(chr(10), concat('Score ', total, '/', available, ' (', percentage, '%, ', grade, ')'), lines, CASE WHEN outs > 0 THEN concat('Not scored: ', outs, ' page(s) kept out of search on purpose (noindex)') END, 'Advice, no points: ' || advised) AS summary FROM graded t LEFT JOIN worst USING (site_id) JOIN told USING (site_id)"""
+_NEWLINES = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')))"
+#: Lines of tags: line ends before the first one, or before each.
+_AT = lambda tag: "(1 + " + _NEWLINES(f"string_split_regex(h, '{tag}')[1]") + ")"
+_ATS = lambda tag: f"list_transform(range(1, len(string_split_regex(h, '{tag}'))), lambda i: 1 + " + _NEWLINES(f"array_to_string(string_split_regex(h, '{tag}')[1:i], '')") + ")"
+
+
+def _told(*items: tuple[str, str, str]) -> str:
+    """SQL for findings (test, message, line) in order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN concat({line}, ':', {m}) END" for t, m, line in items) + "], lambda x: x IS NOT NULL)"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_HEAD_LINE, _TITLE_LINE, _DESCRIPTION_LINE, _VIEW = _AT("<head"), _AT("<title"), _AT('(?i)<meta name="description"'), _AT('<meta name="viewport"')
+_CITED = lambda m: f"concat({m}, ': \"', title, '\"')"
+_GENERIC_TITLE = f"regexp_full_match(lower(title), '{GENERIC_TITLES}')"
+_TITLE_FINDINGS = _told(
+    ("n < 40", _CITED("concat('Title too short (', n, ' chars, aim for 50-60)')"), _TITLE_LINE), ("n BETWEEN 40 AND 49", _CITED("concat('Title could be longer (', n, ' chars, optimal 50-60)')"), _TITLE_LINE),
+    ("n > 70", _CITED("concat('Title too long (', n, ' chars, may be truncated)')"), _TITLE_LINE), ("n BETWEEN 61 AND 70", _CITED("concat('Title slightly long (', n, ' chars, optimal 50-60)')"), _TITLE_LINE),
+    (_GENERIC_TITLE, _CITED("concat('Generic title \"', title, '\"')"), _TITLE_LINE), ("n < 20 AND separators = 0", _CITED("'Title has no page context (consider \"Page Topic | Brand\")'"), _TITLE_LINE), ("separators > 3", _CITED("concat('Title has ', separators, ' separators and may look spammy')"), _TITLE_LINE),
+)
+_DESCRIBED = """regexp_matches(h, '(?i)<meta name="description"')"""
+_STUFFED = "coalesce(list_max(list_transform(dwords, lambda w: len(list_filter(dwords, lambda v: v = w)))), 0) > 3 AND len(regexp_split_to_array(description, '\\s+')) > 10"
+_DESCRIPTION_FINDINGS = _told(
+    ("dn < 70", _q("Description too short (under 70 chars, optimal 120-160)"), _DESCRIPTION_LINE), ("dn BETWEEN 70 AND 119", _q("Description could be longer (70-119 chars, optimal 120-160)"), _DESCRIPTION_LINE), ("dn > 170", _q("Description too long (over 170 chars, may be truncated)"), _DESCRIPTION_LINE), ("dn BETWEEN 161 AND 170", _q("Description slightly long (161-170 chars, optimal 120-160)"), _DESCRIPTION_LINE),
+    (f"regexp_matches(lower(trim(description)), '{GENERIC_DESCRIPTIONS}')", _q("Description looks generic or placeholder"), _DESCRIPTION_LINE), (f"lower(trim({_plain('description')})) = lower(title)", _q("Description is identical to the title"), _DESCRIPTION_LINE), (_STUFFED, _q("Description may be keyword-stuffed"), _DESCRIPTION_LINE),
+)
+_WIDE = "coalesce(lower(width) = 'device-width', FALSE)"
+_VIEW_FINDINGS = _told(
+    (f"NOT {_WIDE} AND width IS NOT NULL", _q("Viewport sets a fixed width instead of device-width"), _VIEW), (f"NOT {_WIDE} AND width IS NULL", _q("Viewport is missing width=device-width"), _VIEW), ("scale IS NULL", _q("Viewport is missing initial-scale=1"), _VIEW),
+    ("scale IS NOT NULL AND coalesce(TRY_CAST(scale AS DOUBLE) <> 1, TRUE)", _q("Viewport initial-scale is not 1"), _VIEW), ("""contains(regexp_extract(h, '<meta name="viewport" content="([^"]*)"', 1), ';')""", _q('Viewport uses ";" as separator (use ",")'), _VIEW),
+)
+_META = lambda key: _AT(f'<meta (?:property|name)="{key}"')
+_NEEDS = lambda kind, keys, var: [(f"{var}_{k} IS NULL", _q(f"Missing {kind}:{k}"), _HEAD_LINE) for k in keys] + [(f"trim({var}_{k}) = ''", _q(f"Empty {kind}:{k}"), _META(f"{kind}:{k}")) for k in keys]
+_COUNT = lambda tests: " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for t in tests)
+_OG_KEYS, _TW_KEYS = ("title", "description", "image"), ("card", "title", "description")
+_LOOSE_IMAGE = "og_image <> '' AND NOT regexp_matches(og_image, '^[A-Za-z][A-Za-z0-9+.-]*:.')"
+_OG_OTHER = f"og_url <> '' AND {_url_sql('og_url')} <> {_url_sql('canonical')}"
+_OG_FINDINGS = _told(*_NEEDS("og", _OG_KEYS, "og"), ("og_url IS NULL", _q("Missing og:url"), _HEAD_LINE), ("og_type IS NULL", _q('Missing og:type (use "website" or "article")'), _HEAD_LINE), (_LOOSE_IMAGE, _q("og:image is not an absolute URL"), _META("og:image")), (_OG_OTHER, _q("og:url does not match the canonical URL"), _META("og:url")))
+_OG_MISSING, _OG_EMPTY = _COUNT(f"og_{k} IS NULL" for k in _OG_KEYS), _COUNT(f"trim(og_{k}) = ''" for k in _OG_KEYS)
+_TW_ODD = "tw_card <> '' AND tw_card NOT IN ('summary', 'summary_large_image', 'app', 'player')"
+_STAND_IN = "coalesce(tw_card, tw_title, tw_description, tw_image) IS NULL AND concat(og_title, og_description, og_image) <> ''"
+_TW_FINDINGS = f"CASE WHEN {_STAND_IN} THEN [concat({_HEAD_LINE}, ':No twitter:* tags (X falls back to Open Graph)')] ELSE " + _told(*_NEEDS("twitter", _TW_KEYS, "tw"), ("tw_image IS NULL", _q("Missing twitter:image"), _HEAD_LINE), (_TW_ODD, "concat('Invalid twitter:card type \"', tw_card, '\" (use summary, summary_large_image, app, player)')", _META("twitter:card"))) + " END"
+_TW_MISSING, _TW_EMPTY = _COUNT(f"tw_{k} IS NULL" for k in _TW_KEYS), _COUNT(f"trim(tw_{k}) = ''" for k in _TW_KEYS)
+_LANG_OK = f"regexp_matches(lang, '(?i)^([a-z]{{2,3}})(?:-([a-z]{{4}}))?(?:-([a-z]{{2}}|[0-9]{{3}}))?$') AND lower(string_split(lang, '-')[1]) IN {_in(LANGUAGES)}"
+_WHOLE = lambda x: f"{x}::INT"
+SQL["page_messages"] = rf"""{_WITH},
+lined AS (SELECT *, {_ATS('<h[1-6][^>]*>')} AS head_lines, {_ATS('<img ')} AS image_lines, {_ATS('<a ')} AS link_lines, floor(least * 0.33)::INT AS bare, floor(least * 0.66)::INT AS thin,
+  list_filter(list_transform(range(1, len(heads) + 1), lambda i: {{'i': i, 'level': heads[i].level, 'text': heads[i].text}}), lambda x: x.level = 1) AS h1s FROM counted),
+told AS (SELECT page_id, unnest([
+  {{'check_id': 'meta.title', 'message': CASE WHEN n = 0 THEN 'No title tag found' WHEN len({_TITLE_FINDINGS}) > 0 THEN concat('Title: ', n, ' chars - ', len({_TITLE_FINDINGS}), ' issue(s)') ELSE concat('Title OK (', n, ' chars)') END, 'found': CASE WHEN n = 0 THEN [concat({_TITLE_LINE}, ':Empty <title>')] ELSE {_TITLE_FINDINGS} END,
+    'fix': CASE WHEN n = 0 THEN 'Add a unique, descriptive title (50-60 characters) in the form "Page Topic | Brand".' WHEN len({_TITLE_FINDINGS}) > 0 THEN 'Rewrite the title to 50-60 characters, specific to the page, as "Page Topic | Brand".' ELSE '' END}},
+  {{'check_id': 'meta.description', 'message': CASE WHEN NOT {_DESCRIBED} THEN 'No meta description found' WHEN dn = 0 THEN 'Meta description is empty' WHEN len({_DESCRIPTION_FINDINGS}) > 0 THEN concat('Description: ', dn, ' chars - ', len({_DESCRIPTION_FINDINGS}), ' issue(s)') ELSE concat('Description OK (', dn, ' chars)') END,
+    'found': CASE WHEN NOT {_DESCRIBED} THEN [concat({_HEAD_LINE}, ':Missing <meta name="description">')] WHEN dn = 0 THEN [concat({_DESCRIPTION_LINE}, ':Empty <meta name="description">')] ELSE {_DESCRIPTION_FINDINGS} END, 'fix': CASE WHEN dn = 0 OR len({_DESCRIPTION_FINDINGS}) > 0 THEN {_q(DESCRIPTION_FIX)} ELSE '' END}},
+  {{'check_id': 'meta.viewport', 'message': CASE WHEN NOT sized THEN 'No viewport meta tag found' WHEN {_WIDE} AND scale IS NOT NULL THEN 'Mobile-friendly viewport configured' ELSE 'Viewport present but may need optimization' END, 'found': CASE WHEN NOT sized THEN [concat({_HEAD_LINE}, ':Missing <meta name="viewport">')] ELSE {_VIEW_FINDINGS} END,
+    'fix': CASE WHEN NOT sized THEN {_q(f'Add {VIEWPORT_TAG} to the shared <head>.')} WHEN len({_VIEW_FINDINGS}) > 0 THEN {_q(f'Use {VIEWPORT_TAG}.')} ELSE '' END}},
+  {{'check_id': 'meta.language', 'message': CASE WHEN {_LANG_OK} THEN concat('Language: ', lang) WHEN lang <> '' THEN concat('Language attribute present but may be invalid: ', lang) ELSE 'No language attribute found' END,
+    'found': CASE WHEN lang = '' THEN [concat({_AT('<html')}, ':Missing lang attribute on <html>')] WHEN NOT {_LANG_OK} THEN [concat({_AT('<html')}, ':Unrecognized language code "', lower(string_split(lang, '-')[1]), '"')] ELSE [] END, 'fix': CASE WHEN {_LANG_OK} THEN '' ELSE 'Set <html lang="..."> to a valid language tag such as "en" or "en-US" in the root layout.' END}},
+  {{'check_id': 'meta.open-graph', 'message': CASE WHEN {_OG_MISSING} > 0 THEN concat('Missing ', {_OG_MISSING}, ' required OG tag(s)') WHEN {_OG_EMPTY} > 0 THEN concat('Open Graph: ', {_OG_EMPTY}, ' empty required tag(s)') ELSE concat('Open Graph: ', {_COUNT(f"og_{k} IS NOT NULL" for k in ("title", "description", "image", "url", "type"))}, '/7 tags present') END, 'found': {_OG_FINDINGS}, 'fix': CASE WHEN len({_OG_FINDINGS}) > 0 THEN {_q(OPEN_GRAPH_FIX)} ELSE '' END}},
+  {{'check_id': 'meta.twitter-cards', 'message': CASE WHEN {_STAND_IN} THEN 'Using Open Graph fallback (no Twitter-specific tags)' WHEN {_TW_MISSING} > 0 THEN concat('Missing ', {_TW_MISSING}, ' required Twitter tag(s)') WHEN {_TW_EMPTY} > 0 THEN concat('Twitter Cards: ', {_TW_EMPTY}, ' empty required tag(s)')
+      ELSE concat('Twitter Cards: ', {_COUNT([*(f"tw_{k} IS NOT NULL" for k in ("card", "title", "description", "image")), "contains(h, '<meta name=" + chr(34) + "twitter:creator" + chr(34) + "')"])}, '/6 tags present', CASE WHEN tw_card <> '' THEN concat(' (', tw_card, ')') ELSE '' END) END, 'found': {_TW_FINDINGS}, 'fix': CASE WHEN len({_TW_FINDINGS}) > 0 THEN {_q(TWITTER_FIX)} ELSE '' END}},
+  {{'check_id': 'content.headings', 'message': CASE WHEN heads = [] THEN 'No headings found on page' ELSE concat(len(heads), ' heading(s), ', CASE WHEN ones <> 1 OR skips > 0 OR generic_heads > 3 THEN concat({_COUNT(("ones <> 1", "skips > 0", "generic_heads > 3"))}, ' issue(s)') ELSE 'well structured' END) END,
+    'found': CASE WHEN heads = [] THEN [concat({_AT('<body')}, ':Page has no headings (h1-h6)')] ELSE CASE WHEN ones = 0 THEN [concat(head_lines[1], ':No <h1> on the page')] ELSE [] END || list_transform(h1s[2:], lambda x: concat(head_lines[x.i], ':Additional <h1> (only one per page)'))
+      || list_transform(list_filter(range(2, len(heads) + 1), lambda i: heads[i].level > heads[i - 1].level + 1), lambda i: concat(head_lines[i], ':Skipped heading level: H', heads[i].level, ' after H', heads[i - 1].level))
+      || CASE WHEN generic_heads > 3 THEN list_transform(list_filter(range(1, len(heads) + 1), lambda i: length(heads[i].text) < 3 OR heads[i].text IN {_in(GENERIC_HEADINGS)}), lambda i: concat(head_lines[i], ':Generic or very short heading "', heads_said[i], '"')) ELSE [] END END,
+    'fix': CASE WHEN heads = [] THEN 'Structure the page with one <h1> for the topic and <h2>/<h3> for its sections.' WHEN ones <> 1 OR skips > 0 OR generic_heads > 3 THEN (SELECT upper(x[1]) || x[2:] || '.' FROM (SELECT concat_ws('; ', CASE WHEN ones = 0 THEN 'add one <h1> naming the page topic' END, CASE WHEN ones > 1 THEN 'keep a single <h1> and demote the others to <h2>' END, CASE WHEN skips > 0 THEN 'do not skip heading levels (H2 then H3, not H2 then H4)' END, CASE WHEN generic_heads > 3 THEN 'rename generic headings to say what the section is about' END) AS x)) ELSE '' END}},
+  {{'check_id': 'content.image-alt', 'message': CASE WHEN images = [] THEN 'No images found on page' WHEN shown_images = [] THEN concat('No content images (', len(images), ' decorative)') ELSE concat(len(list_filter(shown_images, lambda x: trim({_ATTR('x', 'alt')}) <> '')), '/', len(shown_images), ' images have alt text') END,
+    'found': list_transform(list_filter(range(1, len(images) + 1), lambda i: list_contains(shown_images, images[i]) AND trim({_ATTR('images[i]', 'alt')}) = ''), lambda i: concat(image_lines[i], ':<img src="', {_ATTR('images[i]', 'src')}, '">', CASE WHEN regexp_matches(images[i], '\salt=') THEN ' has empty alt text' ELSE ' has no alt attribute' END)),
+    'fix': CASE WHEN len(list_filter(shown_images, lambda x: trim({_ATTR('x', 'alt')}) = '')) > 0 THEN concat('Add descriptive alt text to ', len(list_filter(shown_images, lambda x: trim({_ATTR('x', 'alt')}) = '')), ' image(s). For purely decorative images use alt="" together with role="presentation" (or aria-hidden="true").') ELSE '' END}},
+  {{'check_id': 'content.internal-links', 'message': CASE WHEN links = [] THEN 'No internal links found' ELSE concat(len(links), ' internal link', CASE WHEN len(links) > 1 THEN 's' ELSE '' END, CASE WHEN content_links > 0 THEN concat(' (', content_links, ' in content)') ELSE '' END, ', ', {_WHOLE(f"floor(len(list_filter(links, lambda x: NOT (length(x.text) < 2 OR x.text IN {_in(GENERIC_ANCHORS)}))) / len(links) * 100 + 0.5)")}, '% descriptive') END,
+    'found': CASE WHEN links = [] THEN [concat({_AT('<body')}, ':No internal links on the page')] WHEN content_links < 3 AND len(links) < 5 THEN [concat({_AT('<body')}, ':Fewer than 3 in-content internal links (and under 5 in total)')] ELSE [] END
+      || list_transform(list_filter(range(1, len(anchors) + 1), lambda i: list_contains(links, anchors[i]) AND anchors[i].inside AND (length(anchors[i].text) < 2 OR anchors[i].text IN {_in(GENERIC_ANCHORS)})), lambda i: concat(link_lines[i], ':Generic anchor text "', CASE WHEN anchors[i].said = '' THEN '(empty)' ELSE anchors[i].said END, '" on an in-content link')),
+    'fix': CASE WHEN links = [] OR (content_links < 3 AND len(links) < 5) OR generic_links > 0 THEN 'Add 3+ in-content links to related pages with descriptive anchor text, and replace generic anchors such as "read more" or "click here" with the target page topic.' ELSE '' END}},
+  {{'check_id': 'content.quality', 'message': CASE WHEN words >= least AND NOT (paragraphs < 3 AND words > 200) AND words >= 50 THEN concat('Good content quality: ', words, ' words (', kind, ' page)') WHEN words >= bare THEN concat(words, ' words (', kind, ' page) - needs improvement') ELSE concat('Thin content: only ', words, ' words (', kind, ' page)') END,
+    'found': {_told(("words < bare", "concat('Very thin content (', kind, ' page: under ', bare, ' words, aim for ', least, '+)')", _AT('<article')), ("words >= bare AND words < thin", "concat('Thin content (', kind, ' page: under ', thin, ' words, aim for ', least, '+)')", _AT('<article')), ("words >= thin AND words < least", "concat('Content could be more substantial (', kind, ' page: under ', least, ' words)')", _AT('<article')),
+      ("paragraphs < 3 AND words > 200", _q("Poor paragraph structure (fewer than 3 paragraphs over 50 characters)"), _AT('<article')), ("words < 50", _q("Page has minimal content (under 50 words) - may be an empty shell or loading state"), _AT('<article')))},
+    'fix': CASE WHEN words < least OR (paragraphs < 3 AND words > 200) OR words < 50 THEN concat('Expand the main content to at least ', least, ' words (', kind, ' page), split it into 3+ real <p> paragraphs, and wrap it in <main> or <article>.') ELSE '' END}}
+], recursive := true) FROM (SELECT *, list_transform(regexp_extract_all(h, '(?s)<h[1-6][^>]*>.*?</h[1-6]>'), lambda x: trim(regexp_replace({_plain('x')}, '\s+', ' ', 'g'))) AS heads_said FROM lined))
+SELECT page_id, check_id, message, array_to_string(found, ' | ') AS findings, fix AS recommendation FROM told"""
 SQL["page_elements"] = rf"""WITH page AS (SELECT page_id, {AUGMENTED} AS h FROM pages),
 bare AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style|textarea|title)[^>]*>).*?</(?:script|style|textarea|title)>', '\1', 'g') AS h FROM page),
 tags AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM bare)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions.text import rounded
-from pagewarden.operators.checks import Check, with_facts
-from pagewarden.operators.readiness import ALL_PAGE_CHECKS
+from pagewarden.operators.access import page_intents
+from pagewarden.operators.checks import Check, fact, url_path, with_check_facts, with_facts
+from pagewarden.operators.readiness import ALL_PAGE_CHECKS, state_of
 from pagewarden.sources.html import parsed, parsed_page
 
 #: Least percentage and name of each grade.
@@ -72,11 +73,37 @@ def grade(percentage: Column) -> Column:
     return out
 
 
-def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS) -> DataFrame:
-    """site_id, page_id, check_id, category, weight, score: one row per page and check."""
-    nodes = with_facts(with_nodes(pages, author=any(c.id == "content.author" for c in checks)))
-    entries = F.array(*(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), F.coalesce(F.least(F.greatest(F.floor(c.score()), F.lit(0)), F.lit(c.weight)), F.lit(0)).cast("int").alias("score")) for c in checks))
-    return nodes.select("site_id", "page_id", F.inline(entries))  # in one step: of a column, its size would be asked in a filter, and all scores computed again
+INDEXABILITY = "crawlability.indexability"
+
+
+def page_results(pages: DataFrame, checks: Sequence[Check] = ALL_PAGE_CHECKS, listed: DataFrame | None = None) -> DataFrame:
+    """site_id, page_id, check_id, category, weight, score: one row per page and check.
+
+    listed: keys of the pages in sitemaps (site_id, key); given them, a page that is kept out of search on
+    purpose has all points for indexability. A stream of pages goes without.
+    """
+    nodes = with_check_facts(with_facts(with_nodes(pages, author=any(c.id == "content.author" for c in checks))), checks)
+    index = [c for c in checks if c.id == INDEXABILITY]
+    meant = listed is not None and bool(index)
+    score = lambda c: F.coalesce(F.least(F.greatest(F.floor(c.score()), F.lit(0)), F.lit(c.weight)), F.lit(0)).cast("int").alias("score")
+    flag = lambda c: [(state_of(fact(INDEXABILITY)("said"))["for_all"] if c.id == INDEXABILITY else F.lit(False)).alias("for_all")] if meant else []
+    entries = F.array(*(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.weight).alias("weight"), score(c), *flag(c)) for c in checks))
+    out = nodes.select("site_id", "page_id", F.inline(entries))  # in one step: of a column, its size would be asked in a filter, and all scores computed again
+    if not meant:
+        return out
+    intents = page_intents(pages.select(site_of(F.col("url")).alias("site_id"), "page_id", url_path().alias("url_path")), listed)
+    return with_intent(out, intents)
+
+
+def with_intent(results: DataFrame, intents: DataFrame) -> DataFrame:
+    """Results (with for_all) in which pages that are kept out of search on purpose have all points for indexability.
+
+    intents: operators.access.page_intents. One join, so that pages are parsed once; its rows are numbers and names.
+    """
+    told = (F.col("check_id") == INDEXABILITY) & F.coalesce("for_all", F.lit(False))
+    kept_out = ~F.coalesce("listed", F.lit(False)) & ~F.col("homepage") & ~F.col("single")
+    rows = results.join(intents.filter(kept_out).select("site_id", "page_id", F.lit(True).alias("meant")), ["site_id", "page_id"], "left")
+    return rows.select("site_id", "page_id", "check_id", "category", "weight", F.when(told & F.col("meant"), F.col("weight")).otherwise(F.col("score")).alias("score"))
 
 
 def excluding(results: DataFrame, excluded: DataFrame) -> DataFrame:

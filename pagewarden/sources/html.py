@@ -201,7 +201,7 @@ def parsed_page(html: Column, url: Column) -> Column:
         found = [parse(x) for x in pages.to_pylist()]
         facts = [author_facts(n, u) for n, u in zip(found, urls.to_pylist())]
         text, flag = pa.string(), pa.bool_()
-        kinds = {"name": text, "method": text, "expertise": text, "trust": pa.list_(text)}
+        kinds = {"name": text, "method": text, "expertise": text, "trust": pa.list_(text), "meta_line": pa.int32(), "schema_line": pa.int32(), "bio_line": pa.int32()}
         names = [x.split(":")[0] for x in AUTHOR.removeprefix("struct<").rstrip(">").split(",")]
         author = pa.StructArray.from_arrays([pa.array([f[k] for f in facts], kinds.get(k, flag)) for k in names], names)
         return pa.StructArray.from_arrays([node_arrays(found), author], ["nodes", "author"])

@@ -19,8 +19,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NODE = "struct<types:array<string>,kind:string,reference:boolean,valid:boolean,named:boolean,issues:array<string>>"
-RESULT = f"struct<blocks:int,parsed:int,broken:int,unresolved:int,published:boolean,modified:boolean,top:array<string>,nodes:array<{NODE}>>"
+NODE = "struct<types:array<string>,kind:string,reference:boolean,valid:boolean,named:boolean,issues:array<string>,line:int,primary:boolean>"
+RESULT = (
+    "struct<blocks:int,parsed:int,broken:int,unresolved:int,published:boolean,modified:boolean,published_line:int,modified_line:int,dates_templated:boolean,"
+    f"templated:boolean,first_line:int,broken_lines:array<int>,unresolved_lines:array<int>,top:array<string>,nodes:array<{NODE}>>"
+)
 MAX_DEPTH = 12
 PLACEHOLDER = "__template__"
 
@@ -69,18 +72,23 @@ def types_of(node: dict) -> list[str]:
     return [re.sub(r"^https?://schema\.org/", "", t) for t in (named if isinstance(named, list) else [named]) if isinstance(t, str)]
 
 
-def typed_nodes(data: Any, depth: int = 0) -> Iterator[dict]:
-    if depth > MAX_DEPTH:
+#: Where a block's own nodes stand: at its top, in a list there, or in its graph.
+PRIMARY = ((), ("[]",), ("@graph", "[]"))
+
+
+def typed_nodes(data: Any, path: tuple[str, ...] = ()) -> Iterator[tuple[dict, tuple[str, ...]]]:
+    """Objects with a type, each with its path from the block."""
+    if len(path) > MAX_DEPTH:
         return
     if isinstance(data, list):
         for x in data:
-            yield from typed_nodes(x, depth + 1)
+            yield from typed_nodes(x, (*path, "[]"))
     elif isinstance(data, dict):
         if data.get("@type"):
-            yield data
+            yield data, path
         for k, v in data.items():
             if k != "@context" and isinstance(v, (dict, list)):
-                yield from typed_nodes(v, depth + 1)
+                yield from typed_nodes(v, (*path, k))
 
 
 def resolver(nodes: list[dict]) -> Callable[[Any], Any]:
@@ -135,85 +143,94 @@ class Validator:
 
     def issues(self, kind: str, node: dict) -> list[str]:
         check: Callable[[dict], list[str]] | None = getattr(self, f"_{kind.lower()}", None)
-        lacks = [f"no {k}" for k in REQUIRED.get(kind, ()) if not _filled_in(node.get(k))]
+        lacks = [f"Missing required field: {k}" for k in REQUIRED.get(kind, ()) if not _filled_in(node.get(k))]
         return lacks + (check(node) if check else [])
 
     def _faqpage(self, node: dict) -> list[str]:
         asked = node.get("mainEntity")
         if not isinstance(asked, list):
-            return ["no list mainEntity"]
+            return ["Missing or invalid mainEntity array"]
         out = []
-        for i, q in enumerate(self._each(asked), 1):
+        for i, q in enumerate(self._each(asked)):
             q = q if isinstance(q, dict) else {}
             answers = [a for a in self._each(q.get("acceptedAnswer")) if isinstance(a, dict)]
-            if "Question" not in types_of(q):
-                out.append(f"question {i} is no Question")
-            if not q.get("name"):
-                out.append(f"question {i} has no name")
-            if not answers:
-                out.append(f"question {i} has no acceptedAnswer")
-            elif "Answer" not in types_of(answers[0]):
-                out.append(f"the answer to question {i} is no Answer")
-            elif not answers[0].get("text"):
-                out.append(f"the answer to question {i} has no text")
+            lacks = {
+                f"Item {i}: Not a Question type": "Question" not in types_of(q),
+                f'Question {i}: Missing "name" (question text)': not q.get("name"),
+                f"Question {i}: Missing acceptedAnswer": not answers,
+                f"Question {i}: acceptedAnswer is not Answer type": bool(answers) and "Answer" not in types_of(answers[0]),
+                f"Question {i}: acceptedAnswer missing text": bool(answers) and not answers[0].get("text"),
+            }
+            out += [said for said, fails in lacks.items() if fails]
         return out
 
     def _howto(self, node: dict) -> list[str]:
+        lacks = [] if _filled_in(node.get("name")) else ['Missing "name" field']
         if not isinstance(node.get("step"), list):
-            return ["no list step"]
-        steps: list = []
-        for s in self._each(node["step"]):
-            inner = s.get("itemListElement") if isinstance(s, dict) and "HowToSection" in types_of(s) else None
-            steps += self._each(inner) if inner else [s]
-        out = [] if len(steps) > 1 else ["under two steps"]
-        for i, s in enumerate(steps, 1):
+            return [*lacks, 'Missing or invalid "step" array']
+        rows: list[tuple[str, dict]] = []
+        for i, s in enumerate(self._each(node["step"])):
             s = s if isinstance(s, dict) else {}
-            out += [] if "HowToStep" in types_of(s) else [f"step {i} is no HowToStep"]
-            out += [] if s.get("text") or s.get("name") else [f"step {i} has no text"]
-        return out
+            inner = s.get("itemListElement")
+            if "HowToSection" not in types_of(s):
+                rows.append((str(i), s))
+            elif isinstance(inner, list) and inner:
+                rows += [(f"{i}.{j}", x if isinstance(x, dict) else {}) for j, x in enumerate(self._each(inner))]
+            else:
+                lacks.append(f"Step {i}: HowToSection has no itemListElement steps")
+        lacks += [] if len(rows) > 1 else ["HowTo should have at least 2 steps"]
+        for at, s in rows:
+            lacks += [] if "HowToStep" in types_of(s) else [f"Step {at}: Not a HowToStep type"]
+            lacks += [] if s.get("text") or s.get("name") else [f"Step {at}: Missing text or name"]
+        return lacks
 
     def _product(self, node: dict) -> list[str]:
         out = []
-        offers = [o for o in self._each(node.get("offers")) if isinstance(o, dict)]
+        offers = self._each(node["offers"]) if _filled_in(node.get("offers")) else []
         if not offers:
-            out.append("no offers")
-        for o in offers:
-            priced = any(o.get(k) not in (None, "") for k in ("price", "lowPrice", "priceRange"))
-            out += [] if priced else ["an offer has no price"]
-            out += [] if o.get("priceCurrency") else ["an offer has no priceCurrency"]
+            out.append("Missing offers (price information)")
+        for i, o in enumerate(offers):
+            o, which = o if isinstance(o, dict) else {}, f"Offer[{i}]: " if len(offers) > 1 else ""
+            priced = any(o.get(k) or (k == "price" and o.get(k) == 0 and o.get(k) is not False) for k in ("price", "lowPrice", "priceRange"))
+            out += [] if priced else [f"{which}Missing price or priceRange"]
+            out += [] if o.get("priceCurrency") else [f"{which}Missing priceCurrency"]
         rating = self.at(node.get("aggregateRating"))
-        if isinstance(rating, dict) and not rating.get("ratingValue"):
-            out.append("aggregateRating has no ratingValue")
+        if isinstance(rating, dict) and not rating.get("ratingValue") and (rating.get("ratingValue") != 0 or rating.get("ratingValue") is False):
+            out.append("AggregateRating missing ratingValue")
         return out
 
     def _article(self, node: dict) -> list[str]:
-        out = [] if is_date(node.get("datePublished")) else ["no date datePublished"]
-        if not _filled_in(node.get("author")):
-            return ["no author", *out]
-        unnamed = any(isinstance(a, dict) and not a.get("name") for a in self._each(node["author"]))
-        return (["an author has no name"] if unnamed else []) + out
+        author = self._each(node["author"])[:1] if _filled_in(node.get("author")) else None
+        date = node.get("datePublished")
+        lacks = {
+            "Missing required field: author": author is None,
+            "Author missing name property": bool(author) and isinstance(author[0], dict) and not author[0].get("name"),
+            "Missing required field: datePublished": not _filled_in(date),
+            "datePublished is not valid ISO 8601 format": _filled_in(date) and not is_date(date),
+        }
+        return [said for said, fails in lacks.items() if fails]
 
     def _breadcrumblist(self, node: dict) -> list[str]:
         if not isinstance(node.get("itemListElement"), list):
-            return ["no list itemListElement"]
+            return ["Missing or invalid itemListElement array"]
         out = []
-        for i, x in enumerate(self._each(node["itemListElement"]), 1):
+        for i, x in enumerate(self._each(node["itemListElement"])):
             x = x if isinstance(x, dict) else {}
             item = self.at(x.get("item"))
-            out += [] if x.get("position") else [f"item {i} has no position"]
-            out += [] if x.get("name") or (isinstance(item, dict) and item.get("name")) else [f"item {i} has no name"]
+            out += [] if x.get("position") else [f"Item[{i}]: Missing position"]
+            out += [] if x.get("name") or (isinstance(item, dict) and item.get("name")) else [f"Item[{i}]: Missing name"]
         return out
 
     def _itemlist(self, node: dict) -> list[str]:
-        return [] if isinstance(node.get("itemListElement"), list) else ["no list itemListElement"]
+        return [] if isinstance(node.get("itemListElement"), list) else ["Missing or invalid itemListElement array"]
 
     def _videoobject(self, node: dict) -> list[str]:
-        return [] if is_date(node.get("uploadDate")) else ["no date uploadDate"]
+        date = node.get("uploadDate")
+        return [] if is_date(date) else ["uploadDate is not valid ISO 8601 format" if _filled_in(date) else "Missing required field: uploadDate"]
 
 
 #: The properties that a kind must have, beyond what has a check of its own.
 REQUIRED = {
-    "HowTo": ("name",),
     "Product": ("name", "image", "description"),
     "Organization": ("name",),
     "Article": ("headline",),
@@ -223,20 +240,29 @@ REQUIRED = {
 }
 
 
-def page_data(texts: list[str] | None) -> dict[str, Any]:
-    blocks = [read_block(t) for t in (texts if texts is not None else [])]
-    how = [s for _, s in blocks]
+def page_data(texts: list[str] | None, lines: list[int] | None = None) -> dict[str, Any]:
+    """RESULT of a page's blocks; lines: where each begins."""
+    texts = list(texts) if texts is not None else []
+    lines = [int(x) for x in lines] if lines is not None else [1] * len(texts)
+    blocks = [(text, line, *read_block(text), bool(_TAG.search(text or ""))) for text, line in zip(texts, lines)]
+    how = [s for _, _, _, s, _ in blocks]
 
-    def stated(key: str) -> bool:  # in a block that template tags keep from parsing, the name is enough
-        return any(states(data, key) if s == "parsed" else s == "unresolved" and f'"{key}"' in t for (data, s), t in zip(blocks, texts if texts is not None else []))
+    def stated(key: str) -> tuple[int | None, bool]:
+        """(line, templated) of the first block that states a date; in one that template tags keep from parsing, the name is enough."""
+        for test in (lambda t, d, s: s == "parsed" and states(d, key), lambda t, d, s: s == "unresolved" and f'"{key}"' in t):
+            for text, line, data, s, tagged in blocks:
+                if test(text, data, s):
+                    return line, tagged
+        return None, False
 
-    nodes = [n for data, s in blocks if s == "parsed" for n in typed_nodes(data)]
+    published, modified = stated("datePublished"), stated("dateModified")
+    nodes = [(n, path, line) for _, line, data, s, _ in blocks if s == "parsed" for n, path in typed_nodes(data)]
     most: dict[str, int] = {}
-    for n in nodes:
+    for n, _, _ in nodes:
         if isinstance(n.get("@id"), str):
             most[n["@id"]] = max(most.get(n["@id"], 0), len(n))
-    validator, out = Validator(nodes), []
-    for n in nodes:
+    validator, out = Validator([n for n, _, _ in nodes]), []
+    for n, path, line in nodes:
         types = types_of(n)
         by_kind: dict[str | None, list[str]] = {}
         for t in types:
@@ -244,16 +270,25 @@ def page_data(texts: list[str] | None) -> dict[str, Any]:
         reference = len(n) < most.get(n.get("@id") if isinstance(n.get("@id"), str) else "", 0)
         for kind, own in by_kind.items():
             issues = validator.issues(kind, n) if kind and not reference else []
-            out.append({"types": own, "kind": kind, "reference": reference, "valid": None if reference or not kind else not issues, "named": bool(n.get("name") or n.get("url")), "issues": issues})
-    return {"blocks": len(blocks), "parsed": how.count("parsed"), "broken": how.count("broken"), "unresolved": how.count("unresolved"), "published": stated("datePublished"), "modified": stated("dateModified"), "top": [t for data, s in blocks if s == "parsed" for t in top_types(data)], "nodes": out}
-
-
-def structured_data(blocks: Column) -> Column:
-    """An array of block texts to RESULT; a null array has no blocks."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([page_data(x) for x in batch], columns=["blocks", "parsed", "broken", "unresolved", "published", "modified", "top", "nodes"])
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, RESULT)(blocks)
+            out.append({"types": own, "kind": kind, "reference": reference, "valid": None if reference or not kind else not issues, "named": bool(n.get("name") or n.get("url")), "issues": issues, "line": line, "primary": path in PRIMARY})
+    return {
+        "blocks": len(blocks), "parsed": how.count("parsed"), "broken": how.count("broken"), "unresolved": how.count("unresolved"), "published": published[0] is not None, "modified": modified[0] is not None,
+        "published_line": published[0], "modified_line": modified[0], "dates_templated": published[1] or modified[1], "templated": any(tagged and s == "parsed" for _, _, _, s, tagged in blocks),
+        "first_line": next((line for _, line, _, s, _ in blocks if s == "parsed"), None), "broken_lines": [line for _, line, _, s, _ in blocks if s == "broken"], "unresolved_lines": [line for _, line, _, s, _ in blocks if s == "unresolved"],
+        "top": [t for _, _, data, s, _ in blocks if s == "parsed" for t in top_types(data)], "nodes": out,
+    }
+
+
+def structured_data(blocks: Column, lines: Column) -> Column:
+    """Arrays of block texts and their lines to RESULT; a null array has no blocks."""
+    names = [x.split(":")[0] for x in RESULT.removeprefix("struct<").split("nodes:")[0].rstrip(",").split(",")] + ["nodes"]
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, at in batches:
+            out = pd.DataFrame([page_data(x, y) for x, y in zip(texts, at)], columns=names)
+            for c in ("published_line", "modified_line", "first_line"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, RESULT)(blocks, lines)
