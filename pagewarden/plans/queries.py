@@ -27,6 +27,7 @@ from pagewarden.plans.scorecard import CHECK_ORDER, category_summary, check_summ
 from pagewarden.sources.author import AUTHOR_PATHS, EXPERTISE, TRUST_PATHS, WORKS
 from pagewarden.sources.site_files import header_pattern_regex, header_rules, sitemap_locs
 from pagewarden.sources.site_tree import HOSTS, generators, hosts, http_behaviour, page_list, predicted_answers, predicted_artifacts, redirect_rules, served_roots, stacks, unknown_url_points
+from pagewarden.sources.staging import staged
 from pagewarden.sources.structured_data import KINDS
 
 _LONG = "A description of one hundred and thirty characters or so that says what stands on this page, in words that do differ from its name."
@@ -431,13 +432,13 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = own.select("site_id", F.expr(LIVE).alias("live"), F.concat(F.lit("https://"), "site_id").alias("origin"))
     texts = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(path).alias("path"), F.expr(text()).alias("text")) for k, (path, text) in TEXTS.items()))
     answers = F.array(*(F.struct(F.lit(k).alias("name"), F.expr(said).alias("status"), F.lit(False).alias("timed_out")) for k, said in ANSWERS.items()))
-    files = site_files(spark, sf_dir)
+    files = staged(site_files(spark, sf_dir), "site_files")
     return evidence(sites, own.select("site_id", F.inline(texts)).filter("text is not null"), own.select("site_id", F.inline(answers)), generators(files, stacks(files)))
 
 
 def evidence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the checks that rest on robots.txt, llms.txt and sitemaps."""
-    known = _evidence(spark, sf_dir).persist()  # one row per site and name, read by four checks
+    known = staged(_evidence(spark, sf_dir), "evidence")  # read by four checks
     headers = _sites(spark, sf_dir).withColumn("header", F.expr(SIGNAL_HEADER))
     return robots_runs(known).unionByName(llms_runs(known)).unionByName(signal_runs(known, headers)).unionByName(sitemap_runs(known))
 
@@ -497,7 +498,7 @@ def _protocol_runs(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFr
     files = sites.select("site_id", F.inline(F.array_compact(entries)))
     found = artifacts_found(files)
     kinds = spark.createDataFrame([(p, k) for p, k, _ in ARTIFACTS], "path string, kind string")
-    guessed = predicted_artifacts(site_files(spark, sf_dir), LABELS).withColumnRenamed("artifact", "path").join(F.broadcast(kinds), "path").select("site_id", "path", "kind")
+    guessed = predicted_artifacts(staged(site_files(spark, sf_dir), "site_files"), LABELS).withColumnRenamed("artifact", "path").join(F.broadcast(kinds), "path").select("site_id", "path", "kind")
     shown = pages.groupBy("site_id").agg(F.sum("tools").alias("tools"), F.slice(F.array_sort(F.collect_set(F.when(F.col("api"), F.struct(F.col("url").alias("sample"), F.col("url").alias("file"), F.lit(1).alias("line"))))), 1, 5).alias("api"))
     invalid = files.select("site_id", "path").join(found.select("site_id", "path"), ["site_id", "path"], "left_anti")
     closed = sites.filter("false").select("site_id", F.lit("").alias("path"), F.lit("").alias("label"))
@@ -505,8 +506,8 @@ def _protocol_runs(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFr
 
 
 def _http_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = site_files(spark, sf_dir)
-    roots, rules = served_roots(files), redirect_rules(files)
+    files = staged(site_files(spark, sf_dir), "site_files")
+    roots, rules = staged(served_roots(files), "roots"), staged(redirect_rules(files), "redirects")
     return predicted_http_runs(unknown_url_points(files, rules, stacks(files), hosts(files), roots), predicted_answers(page_list(files, roots), rules, files, roots), _hidden(spark, sf_dir, page_list(files, roots)))
 
 
@@ -516,16 +517,33 @@ def _hidden(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
     return sent.filter((F.col("name") == "x-robots-tag") & F.exists("values", lambda v: directives(v)["noindex"])).select("site_id", F.col("page_id").alias("url_path"))
 
 
+#: Tables of runs, and of pages kept out of search, by application and state of the pages table.
+_TABLES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, kept out): the audit of a pages table, made once in an application and read by all reports on it.
+
+    A pages table that was written anew since is audited anew.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, at.getModificationTime(), at.getLen())
+    if key not in _TABLES:
+        _TABLES[key] = (audit_runs(spark, sf_dir), staged(noindex_pages(spark, sf_dir), "kept_out"))
+    return _TABLES[key]
+
+
 def audit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all 26 checks, with messages, findings and advice."""
     pages = augmented(spark, sf_dir)
     nodes = with_nodes(pages, author=True)
     intents = page_intents(pages.select(site_of(F.col("url")).alias("site_id"), "page_id", url_path().alias("url_path")), _listed(pages))
-    runs = decided(told_pages(nodes, ALL_PAGE_CHECKS), intents)
-    few = _site_facts(with_nodes(pages)).persist()  # a few values a page, read by three checks
+    runs = decided(staged(told_pages(nodes, ALL_PAGE_CHECKS), "page_runs"), intents)
+    few = staged(_site_facts(with_nodes(pages)), "site_facts")  # a few values a page, read by three checks
     for more in (_markdown_runs(spark, sf_dir, few), _https_runs(spark, sf_dir, few), _protocol_runs(spark, sf_dir, few), _http_runs(spark, sf_dir), evidence_runs(spark, sf_dir)):
         runs = runs.unionByName(more)
-    return runs
+    return staged(runs, "audit_runs")
 
 
 def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,7 +567,8 @@ def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_states(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir), _modes(spark, sf_dir))
+    runs, out = audited(spark, sf_dir)
+    return check_states(runs, rubric_table(spark), out, _modes(spark, sf_dir))
 
 
 def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +581,8 @@ def audit_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all pages, equal ones together, with their first places."""
-    out = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
+    runs, kept_out = audited(spark, sf_dir)
+    out = finding_groups(runs, rubric_table(spark), kept_out)
     return out.withColumn("locations", F.array_join("locations", ", "))
 
 
@@ -572,15 +592,21 @@ def audit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown reports."""
-    found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
+    states, found = _reported(spark, sf_dir)
     notes = _sites(spark, sf_dir).select("site_id", F.concat(F.lit("Pages of "), "site_id").alias("note"))
-    return reports(_states(spark, sf_dir), found, notes)
+    return reports(states, found, notes)
 
 
 def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results as JSON."""
-    found = finding_groups(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir))
-    return payloads(_states(spark, sf_dir), found)
+    return payloads(*_reported(spark, sf_dir))
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States and grouped findings of one run of all checks."""
+    runs, out = audited(spark, sf_dir)
+    rubric = rubric_table(spark)
+    return staged(check_states(runs, rubric, out, _modes(spark, sf_dir)), "states"), staged(finding_groups(runs, rubric, out), "findings")
 
 
 #: Files of a site besides its pages: name, text, and for which lengths of its name (length % k = m).
@@ -709,7 +735,8 @@ def http_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals over all checks of pages and sites, every site read whole."""
     sites = _sites(spark, sf_dir).withColumn("mode", F.lit("full"))
-    return site_totals(check_states(audit_runs(spark, sf_dir), rubric_table(spark), noindex_pages(spark, sf_dir), sites))
+    runs, out = audited(spark, sf_dir)
+    return site_totals(check_states(runs, rubric_table(spark), out, sites))
 
 
 def rubric_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
