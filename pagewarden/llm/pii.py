@@ -233,6 +233,8 @@ def _sign_edits(text: str) -> list[Edit]:
     out: list[Edit] = []
     for m in SPELLED_AT.finditer(text):
         host = HOST.match(text, m.end())
+        if host is None:  # a sentence ends at the dot
+            continue
         dots = list(_SPELLED_DOT.finditer(text, host.start(), host.end()))
         sure = m[1].lower() in SURE_AT_WORDS
         labels = re.split(r"(?i)" + _DOT, host[0])

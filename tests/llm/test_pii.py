@@ -74,6 +74,12 @@ def test_plain_texts_gain_nothing(text):
     assert pii.scan(text)[1] == []
 
 
+@pytest.mark.parametrize("before", ["look at home. Then ", "wait at noon.\n", "stay at x dot  , "])
+def test_a_sentence_that_ends_after_an_at_is_no_host(before):
+    assert pii.scan(before + SHOWN[0][0])[1] == [((0, len(before) + 5, len(before) + 32), "john@example.com")]
+    assert pii.scan(f"{SHOWN[0][0]}, {before.strip()}")[1] == [((0, 5, 32), "john@example.com")]
+
+
 def test_offsets_match_a_map_of_single_characters():
     r = np.random.default_rng(4)
     for _ in range(300):
