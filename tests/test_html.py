@@ -1,4 +1,11 @@
-from pagewarden.sources.html import decoded, parse
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from pagewarden.operators.checks import with_facts
+from pagewarden.plans.scorecard import with_nodes
+from pagewarden.sources.batches import PART_BYTES, PART_ROWS, parts
+from pagewarden.sources.html import decoded, node_arrays, node_parts, parse
 
 
 def tags(html):
@@ -59,3 +66,27 @@ def test_entities_are_decoded_once():
 
 def test_null_and_empty():
     assert parse(None) is None and parse("") == []
+
+
+def test_pages_are_parsed_in_parts_of_bounded_size():
+    own = ["<p>a</p>", None, "", "<p>" + "b" * (PART_BYTES // 2) + "</p>", "<i>c</i>" * 4] * 150 + ["<p>d</p>"] * (3 * PART_ROWS)
+    out = list(node_parts(iter([pa.array(own[:7], pa.string()), pa.array(own[7:], pa.string())])))
+    assert [x.as_py() for part in out for x in part] == [x.as_py() for x in node_arrays([parse(x) for x in own])]
+    at = 0
+    for part in out:
+        held = own[at : (at := at + len(part))]
+        assert len(held) <= PART_ROWS and (len(held) == 1 or sum(len(x or "") for x in held) <= PART_BYTES)
+
+
+def test_parts_hold_every_row_once():
+    assert list(parts(np.array([], dtype=int))) == []
+    assert list(parts(np.array([5, 0, 20, 3, 3, 3, 0]), 6, 3)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
+
+
+def test_rows_of_many_parts_stay_whole(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    html = """concat('<title>t', id, '</title><script type="application/ld+json">{"@type": "Person", "name": "n', id, '"}</script>')"""
+    pages = spark.range(0, 1300, 1, 1).selectExpr("id AS page_id", "concat('https://s.example/', id) AS url", f"CASE WHEN id % 7 <> 3 THEN {html} END AS html")
+    got = with_facts(with_nodes(pages, author=True)).select("page_id", "title", "author.name", F.coalesce("ld.blocks", F.lit(0)).alias("blocks")).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert {r["page_id"]: (r["title"], r["name"], r["blocks"]) for r in got} == {i: (f"t{i}", f"n{i}", 1) if i % 7 != 3 else ("", None, 0) for i in range(1300)}
