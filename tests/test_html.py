@@ -1,11 +1,13 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewarden.operators.checks import with_facts
 from pagewarden.plans.scorecard import with_nodes
 from pagewarden.sources.batches import PART_BYTES, PART_ROWS, parts
-from pagewarden.sources.html import decoded, node_arrays, node_parts, parse
+from pagewarden.sources.html import decoded, node_arrays, node_parts, page_parts, parse
+from pagewarden.sources.structured_data import data_parts, page_data
 
 
 def tags(html):
@@ -78,6 +80,22 @@ def test_pages_are_parsed_in_parts_of_bounded_size():
         assert len(held) <= PART_ROWS and (len(held) == 1 or sum(len(x or "") for x in held) <= PART_BYTES)
 
 
+def test_authors_are_found_in_parts_of_bounded_size():
+    own = [f'<meta name="author" content="Ann {i}">' if i % 5 else None for i in range(3 * PART_ROWS + 1)] + ["<p>" + "b" * (PART_BYTES // 2) + "</p>"] * 3
+    out = list(page_parts(iter([(pa.array(own, pa.string()), pa.array(["https://s.example/"] * len(own)))])))
+    assert [len(part) for part in out] == [PART_ROWS] * 3 + [2, 1, 1]
+    assert [x["nodes"] for part in out for x in part.to_pylist()] == node_arrays([parse(x) for x in own]).to_pylist()
+    assert [x["author"]["name"] for part in out for x in part.to_pylist()] == [f"Ann {i}" if i % 5 else None for i in range(3 * PART_ROWS + 1)] + [None] * 3
+
+
+def test_structured_data_is_read_in_parts_of_bounded_size():
+    own = [[f'{{"@type": "Person", "name": "n{i}"}}'] if i % 4 else None for i in range(2 * PART_ROWS + 7)] + [['"' + "b" * (PART_BYTES // 2) + '"']] * 3
+    lines = [None if x is None else [1] for x in own]
+    out = list(data_parts(iter([(pd.Series(own), pd.Series(lines))])))
+    assert [len(part) for part in out] == [PART_ROWS] * 2 + [8, 1, 1]
+    assert [n for part in out for n in part["nodes"]] == [page_data(x, y)["nodes"] for x, y in zip(own, lines)]
+
+
 def test_parts_hold_every_row_once():
     assert list(parts(np.array([], dtype=int))) == []
     assert list(parts(np.array([5, 0, 20, 3, 3, 3, 0]), 6, 3)) == [(0, 2), (2, 3), (3, 5), (5, 7)]
