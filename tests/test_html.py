@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -5,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pagewarden.operators.checks import with_facts
 from pagewarden.plans.scorecard import with_nodes
-from pagewarden.sources.batches import PART_BYTES, PART_ROWS, parts
-from pagewarden.sources.html import decoded, node_arrays, node_parts, page_parts, parse
+from pagewarden.sources.batches import BATCH_BYTES, PART_BYTES, PART_ROWS, parts, small_batches
+from pagewarden.sources.html import MAX_BYTES, decoded, node_arrays, node_parts, page_parts, parse, sent
 from pagewarden.sources.structured_data import data_parts, page_data
 
 
@@ -108,3 +110,41 @@ def test_rows_of_many_parts_stay_whole(spark):
     got = with_facts(with_nodes(pages, author=True)).select("page_id", "title", "author.name", F.coalesce("ld.blocks", F.lit(0)).alias("blocks")).collect()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert {r["page_id"]: (r["title"], r["name"], r["blocks"]) for r in got} == {i: (f"t{i}", f"n{i}", 1) if i % 7 != 3 else ("", None, 0) for i in range(1300)}
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        held = run()
+        return tracemalloc.get_traced_memory()[1], held
+    finally:
+        tracemalloc.stop()
+
+
+def test_objects_of_a_dense_page_stay_small():
+    most, nodes = peak(lambda: parse("<p>x" * 5000))
+    assert len(nodes) == 15000 and most / len(nodes) < 500
+
+
+def test_objects_of_a_part_go_before_the_next():
+    page, url = "<p>x" * 200, "https://s.example/"
+    taken = lambda n: peak(lambda: [len(x) for x in page_parts(iter([(pa.array([page] * n), pa.array([url] * n))]))])
+    taken(1)
+    one, many = taken(PART_ROWS), taken(3 * PART_ROWS)
+    assert many[1] == [PART_ROWS] * 3 and many[0] < 1.3 * one[0]
+
+
+def test_no_more_of_a_page_is_sent_to_a_worker_than_is_read(spark):
+    pages = spark.createDataFrame([(0, "é<p>"), (1, "<p>" + "b" * (3 * MAX_BYTES)), (2, "é" * (MAX_BYTES + 5)), (3, None), (4, "")], "id int, html string")
+    for row in pages.select("html", sent(F.col("html")).alias("sent")).collect():
+        assert len(row["sent"] or "") <= MAX_BYTES and parse(row["sent"]) == parse(row["html"])
+
+
+def test_batch_sizes_set_with_units_are_read(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for said, then in (("64m", BATCH_BYTES), ("1GB", BATCH_BYTES), ("1m", 1 << 20), ("4096", 4096)):
+        spark.conf.set(key, said)
+        small_batches(spark)
+        assert spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == then
+    spark.conf.set(key, before)
