@@ -102,3 +102,18 @@ def test_author_scan_is_linear_in_nesting():
     began = time.perf_counter()
     facts = author_facts(parse("<html><body>" + "<div itemprop='author'>" * 30_000 + "By no one, xby Jane Doe, contributor" + "</div>" * 30_000), "https://a.example/")
     assert time.perf_counter() - began < 10 and facts["microdata"]
+
+
+def test_an_audit_parses_pages_once(spark, monkeypatch):
+    from pagewarden.operators.results import RUN
+    from pagewarden.plans import queries as Q
+
+    made, none = [], spark.createDataFrame([], "site_id string, page_id long, seq long, check_id string, " + RUN)
+    monkeypatch.setattr(Q, "with_nodes", lambda *a, **k: made.append(1) or with_nodes(*a, **k))
+    monkeypatch.setattr(Q, "staged", lambda df, name: df)
+    monkeypatch.setattr(Q, "_TABLES", {})
+    monkeypatch.setattr(Q, "ALL_PAGE_CHECKS", tuple(c for c in ALL_PAGE_CHECKS if c.id == "crawlability.indexability"))
+    for own in ("_markdown_runs", "_https_runs", "_protocol_runs", "_http_runs", "evidence_runs"):
+        monkeypatch.setattr(Q, own, lambda *a: none)
+    Q.audited(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
